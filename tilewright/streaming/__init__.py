@@ -1,0 +1 @@
+"""The covered workload reads finished point tables only, so there is no streaming job here."""
