@@ -6,11 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.operators.grid import Grid, cell_index, inside_grid, line_value
-from tilewright.operators.layout import LAYOUT_KEY, RECT_COLUMNS, layout_from_rects, with_coordinates
+from tilewright.operators.grid import Grid, cell_index, inside_grid, line_value, number
+from tilewright.operators.layout import LAYOUT_KEY, RECT_COLUMNS, layout_from_rects
 from tilewright.session import local_table, pin
 
 Rect = tuple[int, int, int, int]
@@ -64,6 +63,62 @@ def profile_points(points: DataFrame, grid: Grid) -> DataFrame:
     return pin(profile)
 
 
+# Cuts of many rectangles at once. ``boxes`` lists each rectangle with its range
+# of positions on both axes. The rectangle lists its own positions, so that it
+# meets the profile by equality.
+SPLITS = """
+WITH listed AS (
+  SELECT leaf, tall, first, last, px, explode(sequence(y_from, y_to)) AS py
+  FROM (SELECT *, explode(sequence(x_from, x_to)) AS px FROM {boxes})
+), lines AS (
+  SELECT leaf, tall, first, last, IF(tall, py, px) AS pos, sum(n) AS n,
+         min(IF(tall, lo_y, lo_x)) AS lo, max(IF(tall, hi_y, hi_x)) AS hi
+  FROM listed JOIN {profile} USING (px, py)
+  GROUP BY leaf, tall, first, last, IF(tall, py, px)
+), ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY leaf ORDER BY pos) AS upto,
+         sum(n) OVER (PARTITION BY leaf) AS total
+  FROM lines
+), middle AS (
+  SELECT *,
+    max(IF((total - 1) div 2 BETWEEN upto - n AND upto - 1, pos, NULL)) OVER w AS pos_low,
+    max(IF(total div 2 BETWEEN upto - n AND upto - 1, pos, NULL)) OVER w AS pos_high,
+    max(IF((total - 1) div 2 BETWEEN upto - n AND upto - 1, hi, NULL)) OVER w AS end_low,
+    max(IF(total div 2 BETWEEN upto - n AND upto - 1, lo, NULL)) OVER w AS start_high
+  FROM ranked WINDOW w AS (PARTITION BY leaf)
+), aimed AS (
+  SELECT *, (end_low + start_high) / 2 AS mean, """ f"""
+    (pos_low + {STEP - NEXT_HALF}) div {STEP} AS home_low,
+    (pos_high + {STEP - NEXT_HALF}) div {STEP} AS home_high""" """
+  FROM middle
+), cut AS (
+  SELECT *, CASE WHEN last - first >= 2 THEN
+      least(greatest(IF(pos_low = pos_high, home_low, {nearest}), first + 1), last - 1)
+    END AS line
+  FROM aimed
+)
+SELECT leaf, max(total) AS n, CAST(max(line) AS INT) AS line,
+       sum(IF({below}, n, 0)) AS n_low, sum(IF(pos >= {step} * line, n, 0)) AS n_high
+FROM cut GROUP BY leaf
+"""
+
+
+def nearest_text(grid: Grid) -> str:
+    """SQL text for the line nearest to ``mean``, the lowest on a tie.
+
+    Used when the two middle values lie in different positions: the lower one is
+    then the largest value of its position, the upper one the smallest of its own.
+    """
+
+    def among(axis: str) -> str:
+        low, high, n, step = grid.axis(axis)
+        value = f"IF(k = {n}, {number(high)}, k * {number(step)} + {number(low)})"
+        around = f"sequence(greatest(home_low - 1, 0), least(home_high + 1, {n}))"
+        return f"array_min(transform({around}, k -> struct(abs({value} - mean) AS gap, k AS k))).k"
+
+    return f"IF(tall, {among('y')}, {among('x')})"
+
+
 def median_splits(
     spark: SparkSession, profile: DataFrame, rects: Sequence[Rect], grid: Grid, boundary: str
 ) -> dict[Rect, Split]:
@@ -73,102 +128,36 @@ def median_splits(
     its median y, any other at the column line nearest to its median x. The
     lowest line wins a tie, and a rectangle without an inner line has no cut.
     """
-    wanted = local_table(
-        spark, [(k, *r) for k, r in enumerate(rects)], "leaf int, c0 int, c1 int, r0 int, r1 int"
-    )
-    boxes = with_coordinates(wanted, grid)
-    tall = (F.col("max_y") - F.col("min_y")) > (F.col("max_x") - F.col("min_x"))
-    boxes = boxes.select(
-        "leaf", tall.alias("tall"), *RECT_COLUMNS,
-        F.when(tall, F.col("r0")).otherwise(F.col("c0")).alias("first"),
-        F.when(tall, F.col("r1")).otherwise(F.col("c1")).alias("last"),
-    )
-
-    def positions(low: str, high: str, n: int) -> Column:
-        closed = F.lit(boundary == "closed") | (F.col(high) == n)
-        end = F.col(high) * STEP - F.when(closed, 0).otherwise(1)
-        return F.sequence(F.col(low) * STEP, end)
-
-    listed = boxes.withColumn("px", F.explode(positions("c0", "c1", grid.nx))).withColumn(
-        "py", F.explode(positions("r0", "r1", grid.ny))
-    )
-    rows = listed.join(profile, ["px", "py"])
-    along = F.when(F.col("tall"), F.col("py")).otherwise(F.col("px"))
-    lines = rows.groupBy("leaf", "tall", "first", "last", along.alias("pos")).agg(
-        F.sum("n").alias("n"),
-        F.min(F.when(F.col("tall"), F.col("lo_y")).otherwise(F.col("lo_x"))).alias("lo"),
-        F.max(F.when(F.col("tall"), F.col("hi_y")).otherwise(F.col("hi_x"))).alias("hi"),
-    )
-
-    leaf = W.partitionBy("leaf")
-    ranked = lines.withColumns(
-        {
-            "upto": F.sum("n").over(leaf.orderBy("pos")),
-            "total": F.sum("n").over(leaf),
-        }
-    )
-    upto, before, total = F.col("upto"), F.col("upto") - F.col("n"), F.col("total")
-    holds_low = (before <= F.floor((total - 1) / 2)) & (F.floor((total - 1) / 2) < upto)
-    holds_high = (before <= F.floor(total / 2)) & (F.floor(total / 2) < upto)
-    middle = ranked.withColumns(
-        {
-            "pos_low": F.max(F.when(holds_low, F.col("pos"))).over(leaf),
-            "pos_high": F.max(F.when(holds_high, F.col("pos"))).over(leaf),
-            "end_low": F.max(F.when(holds_low, F.col("hi"))).over(leaf),
-            "start_high": F.max(F.when(holds_high, F.col("lo"))).over(leaf),
-        }
-    )
-    cut = middle.withColumn("line", cut_line(grid))
-    edge = F.col("line") * STEP
-    below = F.col("pos") <= edge if boundary == "closed" else F.col("pos") < edge
-    known = cut.groupBy("leaf", "tall").agg(
-        F.max("total").alias("n"),
-        F.max("line").alias("line"),
-        F.sum(F.when(below, F.col("n")).otherwise(0)).alias("n_low"),
-        F.sum(F.when(F.col("pos") >= edge, F.col("n")).otherwise(0)).alias("n_high"),
-    )
-    found = {r.leaf: r for r in known.collect()}
-    empty = Split(0, "x", None, 0, 0)
-    return {
-        rect: Split(
-            found[k].n, "y" if found[k].tall else "x", found[k].line, found[k].n_low, found[k].n_high
+    closed = boundary == "closed"
+
+    def position_range(low: int, high: int, n: int) -> tuple[int, int]:
+        return STEP * low, STEP * high - (0 if closed or high == n else 1)
+
+    def is_tall(rect: Rect) -> bool:
+        c0, c1, r0, r1 = rect
+        height = grid.line("y", r1) - grid.line("y", r0)
+        return height > grid.line("x", c1) - grid.line("x", c0)
+
+    rows = []
+    for leaf, (c0, c1, r0, r1) in enumerate(rects):
+        tall = is_tall((c0, c1, r0, r1))
+        ends = (r0, r1) if tall else (c0, c1)
+        rows.append(
+            (leaf, tall, *ends, *position_range(c0, c1, grid.nx), *position_range(r0, r1, grid.ny))
         )
-        if k in found
-        else empty
-        for k, rect in enumerate(rects)
-    }
-
-
-def cut_line(grid: Grid) -> Column:
-    """Inner grid line nearest to the median, from the positions of the two middle values.
-
-    When both middle values share a position, so does the median. Otherwise the
-    lower one is the largest value of its position and the upper one the
-    smallest of its own, and their mean is compared with the lines themselves.
-    """
-    low_pos, high_pos = F.col("pos_low"), F.col("pos_high")
-
-    def home(pos: Column) -> Column:
-        return F.floor(pos / STEP) + F.when(pos % STEP == NEXT_HALF, 1).otherwise(0)
-
-    mean = (F.col("end_low") + F.col("start_high")) / 2
-
-    def nearest(axis: str) -> Column:
-        _, _, n, _ = grid.axis(axis)
-        around = F.sequence(
-            F.greatest(home(low_pos) - 1, F.lit(0)), F.least(home(high_pos) + 1, F.lit(n))
-        )
-        gaps = F.transform(
-            around, lambda k: F.struct(F.abs(line_value(k, grid, axis) - mean).alias("gap"), k.alias("k"))
-        )
-        return F.array_min(gaps)["k"]
-
-    between = F.when(F.col("tall"), nearest("y")).otherwise(nearest("x"))
-    line = F.when(low_pos == high_pos, home(low_pos)).otherwise(between)
-    first, last = F.col("first"), F.col("last")
-    return F.when(
-        last - first >= 2, F.least(F.greatest(line, first + 1), last - 1).cast("int")
-    )
+    boxes = local_table(
+        spark, rows,
+        "leaf int, tall boolean, first int, last int, x_from int, x_to int, y_from int, y_to int",
+    )
+    query = SPLITS.replace("{nearest}", nearest_text(grid)).replace("{step}", str(STEP))
+    query = query.replace("{below}", f"pos {'<=' if closed else '<'} {STEP} * line")
+    found = {r.leaf: r for r in spark.sql(query, boxes=boxes, profile=profile).collect()}
+    splits = {}
+    for leaf, rect in enumerate(rects):
+        axis = "y" if is_tall(rect) else "x"
+        row = found.get(leaf)
+        splits[rect] = Split(row.n, axis, row.line, row.n_low, row.n_high) if row else Split(0, axis, None, 0, 0)
+    return splits
 
 
 def action_of(rect: Rect, split: Split, grid: Grid) -> int:

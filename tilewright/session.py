@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 SMALL_ROWS = 100_000
 
 # Largest grid whose per-cell lookup is carried inside an expression as a literal.
-LITERAL_CELLS = 20_000
+LITERAL_CELLS = 10_000
 
 # Rows one task may sort, buffer or aggregate for a single key. Groups above
 # this are split into slices before any window or exact median runs on them.
@@ -28,8 +28,12 @@ ARROW_TYPES = {
     "bigint": pa.int64(),
     "double": pa.float64(),
     "string": pa.string(),
-    "array<bigint>": pa.list_(pa.int64()),
+    "array<int>": pa.list_(pa.int32()),
     "array<double>": pa.list_(pa.float64()),
+    "array<array<double>>": pa.list_(pa.list_(pa.float64())),
+    "array<struct<c0:int,c1:int,r0:int,r1:int>>": pa.list_(
+        pa.struct([(name, pa.int32()) for name in ("c0", "c1", "r0", "r1")])
+    ),
 }
 
 
@@ -62,7 +66,8 @@ def pin(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     if rows is None:
         return cut_lineage(df)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return local_table(df.sparkSession, rows, ddl)
+    plain = [tuple(r.asDict(recursive=True).values()) for r in rows]
+    return local_table(df.sparkSession, plain, ddl)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
