@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,35 +13,53 @@ from tilewright.operators.layout import LAYOUT_KEY, RECT_COLUMNS, cell_owner
 from tilewright.session import GROUP_ROWS, LITERAL_CELLS, collect_small, literal_array
 
 
-def owner_lookup(layout: DataFrame, grid: Grid) -> list[int] | None:
-    """Owner pid of every cell in row-major order, when the layout is single and the grid small enough.
+class Owners:
+    """A single layout as the driver knows it: its id and the owner of every cell in row-major order."""
+
+    def __init__(self, layout_id: int, cells: list[int]):
+        self.layout_id = layout_id
+        self.cells = cells
+
+
+# What has been read of a layout DataFrame, for as long as that DataFrame lives.
+KNOWN: WeakKeyDictionary[DataFrame, tuple[Grid, Owners | None]] = WeakKeyDictionary()
+
+
+def owner_lookup(layout: DataFrame, grid: Grid) -> Owners | None:
+    """Cell owners, when the layout is single and the grid small enough for a literal.
 
     Larger grids, or tables with several layouts, are handled by a join to ``cell_owner``.
     """
+    if layout not in KNOWN or KNOWN[layout][0] != grid:
+        KNOWN[layout] = grid, read_owners(layout, grid)
+    return KNOWN[layout][1]
+
+
+def read_owners(layout: DataFrame, grid: Grid) -> Owners | None:
     if grid.cells > LITERAL_CELLS:
         return None
     rows = collect_small(layout.select(LAYOUT_KEY, "pid", *RECT_COLUMNS), grid.cells)
     if not rows or len({r[LAYOUT_KEY] for r in rows}) != 1:
         return None
-    owners = [-1] * grid.cells
+    cells = [-1] * grid.cells
     for r in rows:
         for i in range(r.r0, r.r1):
-            owners[i * grid.nx + r.c0 : i * grid.nx + r.c1] = [r.pid] * (r.c1 - r.c0)
-    return owners
+            cells[i * grid.nx + r.c0 : i * grid.nx + r.c1] = [r.pid] * (r.c1 - r.c0)
+    return Owners(rows[0][LAYOUT_KEY], cells)
 
 
-def owner_at(owners: list[int], i: Column, j: Column, grid: Grid) -> Column:
+def owner_at(owners: Owners, i: Column, j: Column, grid: Grid) -> Column:
     """Owner of a cell. Never null, so joins on it push no null test down over the lookup."""
-    found = F.get(literal_array(owners, "int"), (i * grid.nx + j).cast("int"))
+    found = F.get(literal_array(owners.cells, "int"), (i * grid.nx + j).cast("int"))
     return F.coalesce(found, F.lit(-1))
 
 
-def owners_in_span(owners: list[int], i0: Column, i1: Column, j0: Column, j1: Column, grid: Grid) -> Column:
+def owners_in_span(owners: Owners, i0: Column, i1: Column, j0: Column, j1: Column, grid: Grid) -> Column:
     """Distinct owners of the cells in a block of rows i0..i1 and columns j0..j1.
 
     Nearly every block is one cell, which is answered without building arrays.
     """
-    table = literal_array(owners, "int")
+    table = literal_array(owners.cells, "int")
     many = F.array_distinct(
         F.flatten(
             F.transform(
@@ -70,9 +90,8 @@ def explode_owners(df: DataFrame, layout: DataFrame, grid: Grid, keys: list[str]
     block = [F.col(c) for c in ("i0", "i1", "j0", "j1")]
     owners = owner_lookup(layout, grid)
     if owners is not None:
-        layout_id = layout.select(LAYOUT_KEY).first()[0]
         return df.select(
-            F.lit(layout_id).alias(LAYOUT_KEY),
+            F.lit(owners.layout_id).alias(LAYOUT_KEY),
             "*",
             F.explode(owners_in_span(owners, *block, grid)).alias("pid"),
         ).drop("i0", "i1", "j0", "j1")
@@ -103,9 +122,8 @@ def assign_partitions(
     owners = owner_lookup(layout, grid)
     cells = assign_cells(points, grid)
     if owners is not None:
-        layout_id = layout.select(LAYOUT_KEY).first()[0]
         pid = owner_at(owners, F.col("i"), F.col("j"), grid)
-        return cells.withColumns({LAYOUT_KEY: F.lit(layout_id), "pid": pid}).drop("i", "j")
+        return cells.withColumns({LAYOUT_KEY: F.lit(owners.layout_id), "pid": pid}).drop("i", "j")
     return cells.join(cell_owner(layout), ["i", "j"]).drop("i", "j")
 
 

@@ -100,7 +100,8 @@ def retain_latest(df: DataFrame, capacity: int, by: Sequence[str], order: str, l
     """
     back = df.withColumn("_back", -ordinal(order, df))
     sliced = with_slices(back, by, "_back", limit)
-    sizes = sliced.groupBy(*by, SLICE).agg(F.count("*").alias("_n"))
+    large = with_slices(back, by, "_back", limit, how="inner")
+    sizes = large.groupBy(*by, SLICE).agg(F.count("*").alias("_n"))
     newer = W.partitionBy(*by).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     ahead = sizes.select(*by, SLICE, F.sum("_n").over(newer).alias("_newer")).filter(F.col(SLICE) > 0)
     newer_rows = F.coalesce("_newer", F.lit(0))

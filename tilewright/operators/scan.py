@@ -3,7 +3,8 @@
 A window function puts a whole group into one task. Here a group with more than
 ``limit`` rows is first cut into slices of its order range. The window runs per
 slice, and what the earlier slices of the group add up to comes from a table
-with one row per slice. Groups within the limit are one slice and need no carry.
+with one row per slice. Groups within the limit are one slice and need no carry;
+when there are no larger ones, adaptive execution drops that side of the plan.
 """
 
 from __future__ import annotations
@@ -38,31 +39,49 @@ def ordinal(order: str, df: DataFrame) -> Column:
     return F.col(order).cast("double")
 
 
-def with_slices(df: DataFrame, by: Sequence[str], order: str, limit: int) -> DataFrame:
-    """Add the slice number of each row: 0 in every group of at most ``limit`` rows.
+def crowded(df: DataFrame, keys: Sequence[str], at: Column, limit: int) -> DataFrame:
+    """Groups with more than ``limit`` rows and the range of their order column.
 
-    A larger group gets two slices per ``limit`` rows, of equal width in the
-    order column. Groups that large number at most rows / limit, so their table
-    is small enough to broadcast whatever the size of ``df``.
+    They number at most rows / limit, so this table is small whatever the size of ``df``.
     """
-    if not by:
-        return with_slices(df.withColumn("_all", F.lit(0)), ["_all"], order, limit).drop("_all")
-    at = ordinal(order, df)
-    large = (
-        df.groupBy(*by)
+    return (
+        df.groupBy(*keys)
         .agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
         .filter(F.col("_n") > limit)
     )
+
+
+def cut_up(df: DataFrame, large: DataFrame, keys: Sequence[str], at: Column, limit: int, name: str, how: str) -> DataFrame:
+    """Number equal-width slices within each group listed in ``large``; other groups are slice 0."""
     k = F.ceil(F.col("_n") * 2 / F.lit(limit))
     place = F.floor(F.try_divide(at - F.col("_lo"), F.col("_hi") - F.col("_lo")) * k)
-    slice_no = F.when(F.col("_n").isNull(), 0).otherwise(F.coalesce(F.least(place, k - 1), F.lit(0)))
+    number = F.when(F.col("_n").isNull(), 0).otherwise(F.coalesce(F.least(place, k - 1), F.lit(0)))
     return (
-        df.join(F.broadcast(large), list(by), "left")
-        .withColumn(SLICE, slice_no.cast("bigint"))
+        df.join(F.broadcast(large), list(keys), how)
+        .withColumn(name, number.cast("bigint"))
         .drop("_n", "_lo", "_hi")
     )
 
 
+def with_slices(df: DataFrame, by: Sequence[str], order: str, limit: int, how: str = "left") -> DataFrame:
+    """Add the slice number of each row: 0 in every group of at most ``limit`` rows.
+
+    A larger group gets two slices per ``limit`` rows, of equal width in the
+    order column. A slice that is still too full, because the order column is
+    dense there, is cut up once more. ``how="inner"`` keeps large groups only.
+    """
+    if not by:
+        return with_slices(df.withColumn("_all", F.lit(0)), ["_all"], order, limit, how).drop("_all")
+    at = ordinal(order, df)
+    outer, inner = list(by), [*by, "_outer"]
+    large = crowded(df, outer, at, limit)
+    dense = crowded(cut_up(df, large, outer, at, limit, "_outer", "inner"), inner, at, limit)
+    sliced = cut_up(df, large, outer, at, limit, "_outer", how)
+    sliced = cut_up(sliced, dense, inner, at, limit, "_inner", "left")
+    number = F.col("_outer") * F.lit(1 << 32) + F.col("_inner")
+    return sliced.withColumn(SLICE, number).drop("_outer", "_inner")
+
+
 def running(
     df: DataFrame, by: Sequence[str], order: str, values: Mapping[str, tuple[str, Column]],
     inclusive: bool = True, limit: int = GROUP_ROWS,
@@ -82,9 +101,10 @@ def running(
             value = F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v")))
         inputs[name] = (kind, value)
     base = base.withColumns({f"_in_{n}": v for n, (_, v) in inputs.items()})
+    large = with_slices(base, keys, order, limit, how="inner")
     base = with_slices(base, keys, order, limit)
 
-    sums = base.groupBy(*keys, SLICE).agg(
+    sums = large.groupBy(*keys, SLICE).agg(
         *[AGGREGATES[k](f"_in_{n}").alias(f"_sum_{n}") for n, (k, _) in inputs.items()]
     )
     over_slices = W.partitionBy(*keys).orderBy(SLICE)
