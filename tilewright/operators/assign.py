@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,12 @@ from pyspark.sql import functions as F
 from tilewright.functions.scalar import metres_to_degrees
 from tilewright.operators.grid import Grid, assign_cells, cell_span, inside_grid
 from tilewright.operators.layout import LAYOUT_KEY, RECT_COLUMNS, cell_owner
-from tilewright.session import GROUP_ROWS, LITERAL_CELLS, collect_small, literal_array
+from tilewright.session import LITERAL_CELLS, collect_small, literal_array, shuffle_slots
+
+# Points a task of a join or of a placed table should hold: at least, unless a
+# partition has fewer, and at most.
+TASK_ROWS = 50_000
+JOIN_ROWS = 2_000_000
 
 
 class Owners:
@@ -206,20 +212,29 @@ def fullest_partition(stats: DataFrame) -> DataFrame:
     return stats.groupBy(LAYOUT_KEY).agg(best.alias("top")).select(LAYOUT_KEY, "top.*")
 
 
-def placement(points: DataFrame, layout: DataFrame, grid: Grid, rows_per_task: int = GROUP_ROWS) -> tuple[list[int], list[int], int]:
+def fair_share(total: int, tasks: int, most: int) -> int:
+    """Rows one task should get: an even share, but neither tiny nor more than ``most``."""
+    return max(min(total // tasks, most), min(TASK_ROWS, most))
+
+
+def placement(points: DataFrame, layout: DataFrame, grid: Grid, rows_per_task: int | None = None) -> tuple[list[int], list[int], int]:
     """First slot and number of slots of each pid, and the total number of slots.
 
     A partition within ``rows_per_task`` points is one slot. A fuller one is
     spread over as many slots as it needs, so no task holds more than its share.
+    By default a share is the points divided by the session's shuffle partitions.
     """
     stats = layout if "n" in layout.columns else partition_stats(points, layout, grid)
     counts = {r.pid: r.n for r in stats.select("pid", "n").collect()}
-    slots = [max(1, -(-counts.get(p, 0) // rows_per_task)) for p in range(max(counts) + 1)]
-    first = [sum(slots[:p]) for p in range(len(slots))]
+    share = rows_per_task or fair_share(
+        sum(counts.values()), shuffle_slots(points.sparkSession), JOIN_ROWS
+    )
+    slots = [max(1, -(-counts.get(p, 0) // share)) for p in range(max(counts) + 1)]
+    first = [0, *accumulate(slots)][:-1]
     return first, slots, sum(slots)
 
 
-def partition_by_layout(points: DataFrame, layout: DataFrame, grid: Grid, rows_per_task: int = GROUP_ROWS) -> DataFrame:
+def partition_by_layout(points: DataFrame, layout: DataFrame, grid: Grid, rows_per_task: int | None = None) -> DataFrame:
     """Move the table so that each Spark partition holds points of one rectangle only."""
     first, slots, total = placement(points, layout, grid, rows_per_task)
     placed = assign_partitions(points, layout, grid)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.assign import (
+    JOIN_ROWS,
     assign_partitions,
     buffer_points,
     placement,
@@ -32,9 +33,6 @@ TILE_SHIFT = 3
 # Rows one join cell may hold before it is split over several tasks.
 HOT_ROWS = 50_000
 
-# Points one join task holds at most, on average.
-TASK_POINTS = 2_000_000
-
 
 def join_cell(v: Column, side: float) -> Column:
     return F.floor(v / F.lit(side))
@@ -141,10 +139,10 @@ def with_part(df: DataFrame, hot: DataFrame | None) -> DataFrame:
 
 
 def tile_moves(
-    circles: DataFrame, points: DataFrame, mirrored: bool, total: int, rows_per_task: int
+    circles: DataFrame, points: DataFrame, mirrored: bool, total: int, rows_per_task: int | None
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Send each point to the task of its tile and each circle to the tiles its cells lie in."""
-    slots = max(shuffle_slots(points.sparkSession), -(-total // rows_per_task))
+    slots = max(shuffle_slots(points.sparkSession), -(-total // (rows_per_task or JOIN_ROWS)))
     slot = F.pmod(F.xxhash64("tx", "ty"), F.lit(slots)).cast("int")
     return (
         with_tiles(circles, mirrored).withColumn("slot", slot).repartitionById(slots, F.col("slot")),
@@ -168,11 +166,11 @@ def with_tiles(circles: DataFrame, mirrored: bool) -> DataFrame:
 
 def layout_moves(
     circles: DataFrame, points: DataFrame, mirrored: bool, radius: float, layout: DataFrame,
-    grid: Grid, boundary: str, rows_per_task: int,
+    grid: Grid, boundary: str, rows_per_task: int | None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Send each point to its partition and each circle to every partition it may reach.
 
-    A partition fuller than ``rows_per_task`` is spread over several tasks by tile.
+    A partition fuller than a task's share is spread over several tasks by tile.
     """
     reach = buffer_points(circles, radius * CELL_SLACK)
     circles = with_tiles(
@@ -219,7 +217,7 @@ def crowded_pairs(circles: DataFrame, points: DataFrame, hot: DataFrame, radius:
 
 def pairs_with_part(
     left: DataFrame, right: DataFrame, radius: float, layout: DataFrame | None, grid: Grid | None,
-    boundary: str, hot_rows: int, rows_per_task: int,
+    boundary: str, hot_rows: int, rows_per_task: int | None,
 ) -> DataFrame:
     mirrored = left is right
     side = radius * CELL_SLACK if radius > 0 else 1.0
@@ -252,7 +250,7 @@ def pairs_with_part(
 def distance_join(
     left: DataFrame, right: DataFrame, radius: float, layout: DataFrame | None = None,
     grid: Grid | None = None, boundary: str = "half_open", hot_rows: int = HOT_ROWS,
-    rows_per_task: int = TASK_POINTS,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """pairs(circle_id, point_id) with dx*dx + dy*dy <= radius*radius.
 
@@ -268,7 +266,7 @@ def distance_join(
 def distance_join_grouped(
     left: DataFrame, right: DataFrame, radius: float, layout: DataFrame | None = None,
     grid: Grid | None = None, boundary: str = "half_open", hot_rows: int = HOT_ROWS,
-    rows_per_task: int = TASK_POINTS,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """matches(circle_id, part, point_ids, n): the neighbours of each circle.
 
