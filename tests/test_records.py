@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tilewright.operators import evaluation as E
 from tilewright.operators import experience as X
 from tilewright.operators.layout import same_layout
-from tilewright.operators.scan import SLICE, running, with_position, with_slices
+from tilewright.operators.scan import SLICE, oversized, running, with_position, with_slices
 from tilewright.session import local_table
 from tilewright.sources.vectors import workload_table
 
@@ -40,7 +40,9 @@ def test_sliced_running_values_equal_plain_ones(rows, by, inclusive):
 
 
 def test_slices_keep_order_and_stay_small(rows):
-    sliced = with_slices(rows, ["g"], "o", 100)
+    assert oversized(rows, ["g"], "o", 2000) is None
+    large = oversized(rows, ["g"], "o", 100)
+    sliced = with_slices(rows, ["g"], "o", 100, large)
     sizes = sliced.groupBy("g", SLICE).count()
     assert sizes.agg(F.max("count")).first()[0] <= 200
     ends = sliced.groupBy("g", SLICE).agg(F.min("o").alias("a"), F.max("o").alias("b")).collect()

@@ -12,6 +12,7 @@ from tilewright.functions.scalar import priority
 from tilewright.operators.scan import (
     SLICE,
     ordinal,
+    oversized,
     running,
     with_blocks,
     with_position,
@@ -98,21 +99,25 @@ def retain_latest(df: DataFrame, capacity: int, by: Sequence[str], order: str, l
     Slices of a large group that lie wholly behind the newest ``capacity`` rows
     are dropped by their counts, before any row is ranked.
     """
+    latest_first = F.col(order).desc()
+
+    def newest(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*group).orderBy(latest_first))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= capacity)
+
     back = df.withColumn("_back", -ordinal(order, df))
-    sliced = with_slices(back, by, "_back", limit)
-    large = with_slices(back, by, "_back", limit, how="inner")
-    sizes = large.groupBy(*by, SLICE).agg(F.count("*").alias("_n"))
+    large = oversized(back, by, "_back", limit)
+    if large is None:
+        return newest(df, by).select(*df.columns)
+    parts = with_slices(back, by, "_back", limit, large, how="inner")
+    sizes = parts.groupBy(*by, SLICE).agg(F.count("*").alias("_n"))
     newer = W.partitionBy(*by).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     ahead = sizes.select(*by, SLICE, F.sum("_n").over(newer).alias("_newer")).filter(F.col(SLICE) > 0)
     newer_rows = F.coalesce("_newer", F.lit(0))
+    sliced = with_slices(back, by, "_back", limit, large)
     open_rows = sliced.join(ahead, [*by, SLICE], "left").filter(newer_rows < capacity)
-    rank = F.row_number().over(W.partitionBy(*by, SLICE).orderBy(F.col(order).desc()))
-    return (
-        open_rows.withColumn("_rank", rank)
-        .filter(F.col("_rank") <= capacity)
-        .filter(F.col("_rank") + newer_rows <= capacity)
-        .select(*df.columns)
-    )
+    kept = newest(open_rows, [*by, SLICE]).filter(F.col("_rank") + newer_rows <= capacity)
+    return kept.select(*df.columns)
 
 
 def initial_priority(df: DataFrame, order: str | None = None, limit: int = GROUP_ROWS) -> DataFrame:

@@ -3,19 +3,19 @@
 A window function puts a whole group into one task. Here a group with more than
 ``limit`` rows is first cut into slices of its order range. The window runs per
 slice, and what the earlier slices of the group add up to comes from a table
-with one row per slice. Groups within the limit are one slice and need no carry;
-when there are no larger ones, adaptive execution drops that side of the plan.
+with one row per slice. Whether there are such groups is counted first; without
+them the plan is the plain window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.session import GROUP_ROWS
+from tilewright.session import GROUP_ROWS, pin
 
 SLICE = "_slice"
 
@@ -63,18 +63,21 @@ def cut_up(df: DataFrame, large: DataFrame, keys: Sequence[str], at: Column, lim
     )
 
 
-def with_slices(df: DataFrame, by: Sequence[str], order: str, limit: int, how: str = "left") -> DataFrame:
-    """Add the slice number of each row: 0 in every group of at most ``limit`` rows.
+def oversized(df: DataFrame, by: Sequence[str], order: str, limit: int) -> DataFrame | None:
+    """The groups that must be sliced, None when there are none. Runs one counting job."""
+    large = pin(crowded(df, by, ordinal(order, df), limit))
+    return None if large.isEmpty() else large
 
-    A larger group gets two slices per ``limit`` rows, of equal width in the
+
+def with_slices(df: DataFrame, by: Sequence[str], order: str, limit: int, large: DataFrame, how: str = "left") -> DataFrame:
+    """Add the slice number of each row: 0 in every group that is not in ``large``.
+
+    A large group gets two slices per ``limit`` rows, of equal width in the
     order column. A slice that is still too full, because the order column is
     dense there, is cut up once more. ``how="inner"`` keeps large groups only.
     """
-    if not by:
-        return with_slices(df.withColumn("_all", F.lit(0)), ["_all"], order, limit, how).drop("_all")
     at = ordinal(order, df)
     outer, inner = list(by), [*by, "_outer"]
-    large = crowded(df, outer, at, limit)
     dense = crowded(cut_up(df, large, outer, at, limit, "_outer", "inner"), inner, at, limit)
     sliced = cut_up(df, large, outer, at, limit, "_outer", how)
     sliced = cut_up(sliced, dense, inner, at, limit, "_inner", "left")
@@ -101,35 +104,41 @@ def running(
             value = F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v")))
         inputs[name] = (kind, value)
     base = base.withColumns({f"_in_{n}": v for n, (_, v) in inputs.items()})
-    large = with_slices(base, keys, order, limit, how="inner")
-    base = with_slices(base, keys, order, limit)
+    stop = 0 if inclusive else -1
 
-    sums = large.groupBy(*keys, SLICE).agg(
+    def here(rows: DataFrame, group: list[str]) -> DataFrame:
+        frame = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, stop)
+        found = [AGGREGATES[k](f"_in_{n}").over(frame).alias(f"_run_{n}") for n, (k, _) in inputs.items()]
+        return rows.select("*", *found)
+
+    def finish(rows: DataFrame, total: Callable[[str, str], Column]) -> DataFrame:
+        out = []
+        for name, (kind, _) in inputs.items():
+            value = total(kind, name)
+            value = value["v"] if values[name][0] == "last" else value
+            value = F.coalesce(value, F.lit(0)) if values[name][0] == "count" else value
+            out.append(value.alias(name))
+        return rows.select(*df.columns, *out)
+
+    large = oversized(base, keys, order, limit)
+    if large is None:
+        return finish(here(base, keys), lambda kind, name: F.col(f"_run_{name}"))
+
+    parts = with_slices(base, keys, order, limit, large, how="inner")
+    sums = parts.groupBy(*keys, SLICE).agg(
         *[AGGREGATES[k](f"_in_{n}").alias(f"_sum_{n}") for n, (k, _) in inputs.items()]
     )
-    over_slices = W.partitionBy(*keys).orderBy(SLICE)
-    earlier = over_slices.rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     fold = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     carry = sums.select(
         *keys, SLICE,
         *[fold[k](f"_sum_{n}").over(earlier).alias(f"_pre_{n}") for n, (k, _) in inputs.items()],
     ).filter(F.col(SLICE) > 0)
-
-    stop = 0 if inclusive else -1
-    frame = W.partitionBy(*keys, SLICE).orderBy(order).rowsBetween(W.unboundedPreceding, stop)
-    here = base.select(
-        "*", *[AGGREGATES[k](f"_in_{n}").over(frame).alias(f"_run_{n}") for n, (k, _) in inputs.items()]
+    sliced = here(with_slices(base, keys, order, limit, large), [*keys, SLICE])
+    return finish(
+        sliced.join(carry, [*keys, SLICE], "left"),
+        lambda kind, name: merge(kind, F.col(f"_pre_{name}"), F.col(f"_run_{name}")),
     )
-    joined = here.join(carry, [*keys, SLICE], "left")
-    out = {}
-    for name, (kind, _) in inputs.items():
-        value = merge(kind, F.col(f"_pre_{name}"), F.col(f"_run_{name}"))
-        if values[name][0] == "last":
-            value = value["v"]
-        elif kind == "count":
-            value = F.coalesce(value, F.lit(0))
-        out[name] = value
-    return joined.select(*df.columns, *[v.alias(n) for n, v in out.items()])
 
 
 def with_position(df: DataFrame, by: Sequence[str], order: str, name: str = "pos", limit: int = GROUP_ROWS) -> DataFrame:

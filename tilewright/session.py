@@ -62,7 +62,8 @@ def pin(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     to re-read and cannot be lost with an executor. A larger one is written to
     the checkpoint folder.
     """
-    rows = collect_small(df, limit)
+    simple = all(f.dataType.simpleString() in ARROW_TYPES for f in df.schema.fields)
+    rows = collect_small(df, limit) if simple else None
     if rows is None:
         return cut_lineage(df)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
