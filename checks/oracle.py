@@ -263,7 +263,7 @@ SELECT a.idx AS i, b.idx AS j,
 FROM lines a JOIN lines b ON a.axis = 'y' AND b.axis = 'x' CROSS JOIN total
 LEFT JOIN hist h ON h.i = a.idx AND h.j = b.idx
 LEFT JOIN stats s ON a.idx >= s.r0 AND a.idx < s.r1 AND b.idx >= s.c0 AND b.idx < s.c1""",
-    "q_same_layout": f"""WITH {GREEDY}, {layout_values(EVEN_CUTS)}
+    "q_same_layout": f"""WITH {GREEDY}, {layout_values(MIXED_CUTS)}
 SELECT *, 'left' AS side FROM (SELECT pid, c0, c1, r0, r1 FROM lay_7 EXCEPT ALL SELECT pid, c0, c1, r0, r1 FROM lay)
 UNION ALL
 SELECT *, 'right' FROM (SELECT pid, c0, c1, r0, r1 FROM lay EXCEPT ALL SELECT pid, c0, c1, r0, r1 FROM lay_7)""",

@@ -185,10 +185,10 @@ def q_apply_cuts(spark, sf_dir):
     points, grid = event_grid(spark, sf_dir)
     cuts = L.legal_cuts(L.root_layout(spark, grid), grid)
     chosen = cuts.select(F.col("action").alias("layout_id"), "action")
-    copies = L.root_layout(spark, grid).drop("layout_id").join(
-        chosen.select("layout_id"), how="cross"
+    roots = chosen.select(
+        "layout_id", *[F.lit(v).alias(c) for c, v in dict(pid=0, c0=0, c1=grid.nx, r0=0, r1=grid.ny).items()]
     )
-    made = L.apply_cuts(copies, chosen, grid)
+    made = L.apply_cuts(L.with_coordinates(roots, grid), chosen, grid)
     return partition_stats(points, made, grid).select("layout_id", "pid", "c0", "c1", "r0", "r1", "n")
 
 
@@ -223,8 +223,8 @@ def q_raster(spark, sf_dir):
 
 @query
 def q_same_layout(spark, sf_dir):
-    points, grid, layout = even_layout(spark, sf_dir)
-    return L.layout_difference(greedy_layout(points, grid), layout)
+    points, grid = event_grid(spark, sf_dir)
+    return L.layout_difference(greedy_layout(points, grid), L.replay_cuts(spark, grid, MIXED_CUTS))
 
 
 @query

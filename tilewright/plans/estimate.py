@@ -20,7 +20,8 @@ def partition_loads(
     keys = [LAYOUT_KEY, "pid"]
     points_in = owner_counts(block_counts(points, grid, boundary=boundary), layouts, grid, "n")
     copies = circle_stats(points, layouts, workload, grid, boundary)
-    rows = layouts.select(*keys).join(workload.select("qid").distinct(), how="cross")
+    qids = workload.agg(F.array_sort(F.collect_set("qid"))).scalar()
+    rows = layouts.select(*keys, F.explode(qids).alias("qid"))
     n = F.coalesce("n", F.lit(0)).cast("bigint")
     m = F.coalesce("m", F.lit(0)).cast("bigint")
     return (
