@@ -76,7 +76,7 @@ def main() -> None:
             seconds.append(time.perf_counter() - start)
         timings[name] = round(statistics.median(seconds), 4)
 
-    # The reference protocol: median of three cached runs per radius, weighted by rate.
+    # The workload protocol: median of three runs over cached points per radius, weighted by rate.
     arms = {
         "none": None,
         "greedy": layout,

@@ -17,7 +17,7 @@ from tilewright.functions.rectangles import RECT_DDL
 from tilewright.functions.scalar import METRES_PER_DEGREE
 from tilewright.operators.grid import Grid, all_cells, cell_counts, number
 from tilewright.operators.layout import LAYOUT_KEY, with_coordinates
-from tilewright.session import local_table, pin
+from tilewright.session import cut_lineage, local_table
 
 # Cells of the histogram that loads are read from, unless the grid itself has more.
 HISTOGRAM_CELLS = 50_000
@@ -145,7 +145,8 @@ class Loads:
             tuple(math.ceil(q.distance / METRES_PER_DEGREE / s) if s else 0 for s in steps)
             for q in queries
         ]
-        self.sums = pin(summed_area(cell_counts(points, self.fine), self.fine))
+        # Every round reads the sums, so they are written once.
+        self.sums = cut_lineage(summed_area(cell_counts(points, self.fine), self.fine))
 
     def corners(self) -> str:
         """The four signed corners of a rectangle for each reach."""
