@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilewright.llm.common import on_workers
+from tilewright.llm.common import on_workers, remainder
 from tilewright.llm.exact_dedup import exact_groups
 from tilewright.llm.packing import pack
+from tilewright.llm.quality import fit_quality, quality_scores
 from tilewright.llm.token_counts import token_counts
+from tilewright.llm.toxicity import fit_toxicity, toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), remainder(3)
+    machine = fit_quality(docs, table(spark, sf_dir, "labels"), fold != 1)
+    scored = quality_scores(docs.select("doc_id", "text"), machine)
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -26,4 +36,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op5_token_counts)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), remainder(5)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = toxicity_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_quality_machine, op3_best_fit_packing, op5_token_counts, op6_toxicity)
+}
