@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import on_workers, remainder
 from tilewright.llm.exact_dedup import exact_groups
+from tilewright.llm.near_dedup import Settings as NearSettings
+from tilewright.llm.near_dedup import near_duplicates
 from tilewright.llm.packing import pack
 from tilewright.llm.quality import fit_quality, quality_scores
 from tilewright.llm.token_counts import token_counts
@@ -43,7 +45,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), NearSettings(words=2))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_quality_machine, op3_best_fit_packing, op5_token_counts, op6_toxicity)
+    for f in (op1_exact_dedup, op2_quality_machine, op3_best_fit_packing, op5_token_counts, op6_toxicity, op7_minhash_near_dedup)
 }
