@@ -11,4 +11,61 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM d WINDOW best AS (PARTITION BY plain ORDER BY chars DESC, doc_id)
 """
 
-ORACLE = {"op1_exact_dedup": OP1}
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+                      ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM w
+), one AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM s
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), lead AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN lead USING (doc_id)
+"""
+
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT item_id, least(13, len(w)) AS span,
+         unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda s: array_to_string(w[s:s + least(13, len(w)) - 1], ' '))) AS gram
+  FROM i WHERE len(w) > 0
+), spans AS (
+  SELECT DISTINCT span FROM windows
+), grams AS (
+  SELECT doc_id, span, place, array_to_string(w[place:place + span - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS place FROM d JOIN spans ON len(w) >= span)
+), hits AS (
+  SELECT DISTINCT doc_id, item_id, grams.span, place FROM grams JOIN windows ON grams.gram = windows.gram AND grams.span = windows.span
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(place, place + span)) AS p FROM hits) GROUP BY doc_id
+), names AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
+ORACLE = {"op1_exact_dedup": OP1, "op7_minhash_near_dedup": OP7, "op10_prefix_decontamination": OP10}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import on_workers, remainder
+from tilewright.llm.decontaminate import contamination
 from tilewright.llm.exact_dedup import exact_groups
 from tilewright.llm.near_dedup import Settings as NearSettings
 from tilewright.llm.near_dedup import near_duplicates
@@ -49,7 +50,19 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearSettings(words=2))
 
 
+def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_quality_machine, op3_best_fit_packing, op5_token_counts, op6_toxicity, op7_minhash_near_dedup)
+    for f in (
+        op1_exact_dedup,
+        op2_quality_machine,
+        op3_best_fit_packing,
+        op5_token_counts,
+        op6_toxicity,
+        op7_minhash_near_dedup,
+        op10_prefix_decontamination,
+    )
 }
