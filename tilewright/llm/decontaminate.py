@@ -60,10 +60,12 @@ def hits_of(words: Column, candidates: Column) -> Column:
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", row: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
+    ``row`` names one more column that holds the whole row of ``docs`` as a struct.
+
     A window is ``window`` consecutive item words; an item of fewer words, but not none, is
     one window. ``n_hit`` counts the text's words inside any occurrence of a window,
     ``n_items`` the items with such windows; contaminated means n_hit > 0 and
@@ -78,7 +80,11 @@ def contamination(
     items = write_table(items.withColumn("span", F.least(F.lit(window), F.size("words"))), "items")
     vocabulary = write_table(items.select(F.explode("words").alias("word")).distinct(), "vocabulary")
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), benchmark_words(whole_text(text_col)).alias("words"))
+    texts = docs.select(
+        F.col(id_col).alias("doc_id"),
+        benchmark_words(whole_text(text_col)).alias("words"),
+        (F.struct("*") if row else F.lit(None).cast("int")).alias("whole"),
+    )
     seen = texts.select(F.explode("words").alias("word")).join(vocabulary, "word", "left_semi")
     rarity = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     prefix = write_table(prefixes(items, rarity), "prefixes")
@@ -100,12 +106,13 @@ def contamination(
         F.array("words"),
         lambda w: F.struct(F.size(w).alias("n"), hits_of(w, F.coalesce("candidates", none)).alias("hits")),
     )[0]
-    judged = joined.select("doc_id", judged.alias("j"))
+    judged = joined.select("doc_id", "whole", judged.alias("j"))
     hits = F.col("j.hits")
     names = F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item_id"].cast("string"))))
     n_words = F.col("j.n").cast("long")
     counted = judged.select(
         "doc_id",
+        "whole",
         n_words.alias("n_words"),
         F.coalesce(F.size(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["places"])))), F.lit(0)).alias("n_hit"),
         F.coalesce(names, F.array().cast("array<string>")).alias("names"),
@@ -118,4 +125,5 @@ def contamination(
         F.size("names").cast("long").alias("n_items"),
         F.sha2(F.array_join("names", ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *([F.col("whole").alias(row)] if row else []),
     )

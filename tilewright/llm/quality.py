@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tilewright.llm.common import Cache, whole_text, word_hashes
 from tilewright.llm.toxicity import labelled_sample
@@ -211,6 +212,5 @@ def quality_scores(docs: DataFrame, machine: Machine, settings: Settings | None
             )
 
     kept = docs.drop("score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     rows = kept.withColumn("_bytes", whole_text(text_col).cast("binary"))
-    return rows.mapInArrow(score, ", ".join(filter(None, (schema, "score double, predicted int"))))
+    return rows.mapInArrow(score, StructType(kept.schema.fields).add("score", "double").add("predicted", "integer"))
