@@ -11,6 +11,28 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
 FROM d WINDOW best AS (PARTITION BY plain ORDER BY chars DESC, doc_id)
 """
 
+OP4 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), md5(coalesce(text, ''))) - 1 AS position
+  FROM conversations
+), people AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
+), said AS (
+  SELECT t.conv_id, perspective, position // 64 AS part, position, role = perspective AS own,
+         '<|im_start|>' || replace(CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(role, '\s', '_', 'g') END, '<|', '< |') || chr(10) AS head,
+         replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id
+), placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY position) AS stop FROM said
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns, max(stop)::BIGINT AS n_chars,
+       sha256(string_agg(head || body, '' ORDER BY position)) AS text_sha256,
+       coalesce(string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || '-' || stop::BIGINT END, ',' ORDER BY position), '') AS mask
+FROM placed GROUP BY conv_id, perspective, part
+"""
+
 OP7 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -37,6 +59,18 @@ WITH RECURSIVE w AS (
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN lead USING (doc_id)
 """
 
+OP8 = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), q AS (
+  SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest, max(page_id) OVER (PARTITION BY payload) AS lead FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> lead THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> lead THEN lead END AS refers_to
+FROM q
+"""
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -68,4 +102,10 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
-ORACLE = {"op1_exact_dedup": OP1, "op7_minhash_near_dedup": OP7, "op10_prefix_decontamination": OP10}
+ORACLE = {
+    "op1_exact_dedup": OP1,
+    "op4_perspective_rotation": OP4,
+    "op7_minhash_near_dedup": OP7,
+    "op8_warc_normaliser": OP8,
+    "op10_prefix_decontamination": OP10,
+}
