@@ -27,16 +27,16 @@ def benchmark_words(text: Column) -> Column:
 
 
 def prefixes(items: DataFrame, rarity: DataFrame) -> DataFrame:
-    """The rarest word of every window: word, item_id, its place in the item, and first and last window it stands for."""
-    windows = items.select("item_id", "words", "span", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("span"))).alias("start"))
-    places = windows.select("item_id", "span", "start", F.posexplode(F.slice("words", F.col("start") + 1, F.col("span"))).alias("at", "word"))
+    """The rarest word of every window: word, item, its place in the item, and first and last window it stands for."""
+    windows = items.select("item", "words", "span", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("span"))).alias("start"))
+    places = windows.select("item", "span", "start", F.posexplode(F.slice("words", F.col("start") + 1, F.col("span"))).alias("at", "word"))
     ranked = places.join(rarity, "word", "left")
-    rarest = ranked.groupBy("item_id", "span", "start").agg(
+    rarest = ranked.groupBy("item", "span", "start").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("rarest")
     )
     return (
         rarest.where("rarest.n > 0")
-        .groupBy("item_id", "span", F.col("rarest.word").alias("word"), (F.col("start") + F.col("rarest.at")).alias("place"))
+        .groupBy("item", "span", F.col("rarest.word").alias("word"), (F.col("start") + F.col("rarest.at")).alias("place"))
         .agg(F.min("start").alias("first"), F.max("start").alias("last"))
     )
 
@@ -77,7 +77,9 @@ def contamination(
     columns_of(benchmark, item_id, item_text)
     items = benchmark.select(F.col(item_id).alias("item_id"), benchmark_words(whole_text(item_text)).alias("words"))
     items = items.where(F.col("item_id").isNotNull() & (F.size("words") > 0))
-    items = write_table(items.withColumn("span", F.least(F.lit(window), F.size("words"))), "items")
+    own = F.sha2(F.concat_ws(" ", F.col("item_id").cast("string"), "words"), 256)  # an item id may have several texts
+    items = items.withColumns({"span": F.least(F.lit(window), F.size("words")), "item": own}).dropDuplicates(["item"])
+    items = write_table(items, "items")
     vocabulary = write_table(items.select(F.explode("words").alias("word")).distinct(), "vocabulary")
 
     texts = docs.select(
@@ -92,9 +94,8 @@ def contamination(
     spots = texts.withColumn("n", F.size("words")).select("doc_id", "n", F.posexplode("words").alias("at", "word"))
     diagonal = F.col("at") - F.col("place")
     fits = (diagonal + F.col("last") >= 0) & (diagonal + F.col("first") + F.col("span") <= F.col("n"))
-    spots = spots.join(prefix, "word").where(fits).select("doc_id", "item_id", diagonal.alias("diagonal")).distinct()
-    content = items.select("item_id", "words", "span")
-    found = spots.join(content, "item_id").groupBy("doc_id").agg(
+    spots = spots.join(prefix, "word").where(fits).select("doc_id", "item", diagonal.alias("diagonal")).distinct()
+    found = spots.join(items, "item").groupBy("doc_id").agg(
         F.collect_list(F.struct("item_id", "diagonal", "words", "span")).alias("candidates")
     )
     found = write_table(found.withColumnRenamed("doc_id", "found_id"), "candidates")
