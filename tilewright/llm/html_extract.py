@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import columns_of, whole_text
-from tilewright.llm.dom import Page, parse, tidy
+from tilewright.llm.dom import INLINE, Page, parse, tidy
 from tilewright.session import write_table
 
 #: What marks an element as no part of an article.
@@ -45,6 +45,8 @@ NOISE_NAMES = frozenset(
 )
 COMMENT_NAMES = frozenset("comment comments disqus reply replies respond".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: Inside an article these stay or go with the element around them.
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption hr".split())
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -78,20 +80,30 @@ def signed(text: str) -> int:
     return code - (1 << 64) if code >= 1 << 63 else code
 
 
+def owners(page: Page) -> list[int]:
+    """For each element the nearest one around it that is not inline, which its text belongs to."""
+    out: list[int] = []
+    for k, (tag, parent) in enumerate(zip(page.tags, page.parents)):
+        out.append(out[parent] if tag in INLINE and parent >= 0 else k)
+    return out
+
+
 def page_values(page: Page) -> Iterator[tuple[int, int, int]]:
     """(element path, kind, value): its style as kind 0, its content as kind 1, once per page and path."""
-    path = paths(page)
+    path, owner = paths(page), owners(page)
     children: dict[int, list[str]] = {}
     content: dict[int, list[str]] = {}
     for k in range(len(path)):
+        if owner[k] != k:
+            continue
         children.setdefault(path[k], [])
         if page.parents[k] >= 0:
-            row = children[path[page.parents[k]]]
+            row = children[path[owner[page.parents[k]]]]
             if not row or row[-1] != page.tags[k]:  # a run of equal tags is one
                 row.append(page.tags[k])
     for k, _, text in page.runs:
         if text and not text.isspace():
-            content.setdefault(path[k], []).append(text)
+            content.setdefault(path[owner[k]], []).append(text)
     for p, row in children.items():
         yield p, 0, signed(" ".join(row))
     for p, texts in content.items():
@@ -100,19 +112,22 @@ def page_values(page: Page) -> Iterator[tuple[int, int, int]]:
 
 def importance(page: Page, tree: dict[int, tuple[float, float]], s: Settings) -> list[float]:
     """Greatest importance in the branch of each element; unknown elements count fully."""
-    path = paths(page)
-    has_text = {k for k, _, text in page.runs if text and not text.isspace()}
+    path, owner = paths(page), owners(page)
+    has_text = {owner[k] for k, _, text in page.runs if text and not text.isspace()}
     below: list[list[float]] = [[] for _ in path]
     tags: list[list[str]] = [[] for _ in path]
     best = [0.0] * len(path)
     for k in range(len(path) - 1, -1, -1):
+        if owner[k] != k:
+            continue
         style, content = tree.get(path[k], (1.0, 1.0))
         parts = below[k] + ([content] if k in has_text else [])
         kinds = sum(a != b for a, b in zip(tags[k], tags[k][1:])) + bool(tags[k])
         weight = s.damping ** kinds
         own = ((1 - weight) * style + weight * sum(parts) / len(parts)) if parts else 0.0
         best[k] = max(best[k], own)
-        if (parent := page.parents[k]) >= 0:
+        if page.parents[k] >= 0:
+            parent = owner[page.parents[k]]
             if parts:
                 below[parent].append(own)
             tags[parent].append(page.tags[k])
@@ -153,7 +168,8 @@ def main_blocks(page: Page, tree: dict[int, tuple[float, float]] | None, s: Sett
         return blocks(plain)
     best, weak = importance(page, tree, s), [False] * n
     for k in range(1, n):
-        weak[k] = best[k] < s.threshold or weak[page.parents[k]]
+        follows = page.tags[k] in INLINE or (inside[k] and page.tags[k] in PROSE_TAGS)
+        weak[k] = weak[page.parents[k]] or (not follows and best[k] < s.threshold)
     return blocks(weak) or blocks(plain)
 
 
