@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import accumulate
 from weakref import WeakKeyDictionary
 
@@ -10,75 +13,111 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import metres_to_degrees
 from tilewright.operators.grid import Grid, assign_cells, cell_span, inside_grid
-from tilewright.operators.layout import LAYOUT_KEY, RECT_COLUMNS, cell_owner
-from tilewright.session import LITERAL_CELLS, collect_small, literal_array, shuffle_slots
+from tilewright.operators.layout import LAYOUT_KEY, RECT_COLUMNS
+from tilewright.session import SMALL_ROWS, collect_small, literal_array, shuffle_slots
 
 # Points a task of a join or of a placed table should hold: at least, unless a
 # partition has fewer, and at most.
 TASK_ROWS = 50_000
 JOIN_ROWS = 2_000_000
 
+# Numbers the lookup of all layouts of a table may hold in the plan. A layout of n
+# rectangles needs at most 4 n * n, whatever the number of points or cells.
+LOOKUP_ENTRIES = 2_000_000
 
+
+@dataclass
 class Owners:
-    """A single layout as the driver knows it: its id and the owner of every cell in row-major order."""
+    """One layout as the driver knows it.
 
-    def __init__(self, layout_id: int, cells: list[int]):
-        self.layout_id = layout_id
-        self.cells = cells
+    The edges of its rectangles cut the grid into bands of rows and strips of columns.
+    ``band`` and ``strip`` say where a grid row or column lies, ``cells`` who owns each
+    band and strip, in row-major order; -1 is nobody. So the table follows the number of
+    rectangles, however fine the grid.
+    """
 
+    layout_id: int
+    band: list[int]
+    strip: list[int]
+    cells: list[int]
 
-# What has been read of a layout DataFrame, for as long as that DataFrame lives.
-KNOWN: WeakKeyDictionary[DataFrame, tuple[Grid, Owners | None]] = WeakKeyDictionary()
 
+# What has been read of a layout DataFrame, for as long as that DataFrame lives.
+KNOWN: WeakKeyDictionary[DataFrame, tuple[Grid, list[Owners]]] = WeakKeyDictionary()
 
-def owner_lookup(layout: DataFrame, grid: Grid) -> Owners | None:
-    """Cell owners, when the layout is single and the grid small enough for a literal.
 
-    Larger grids, or tables with several layouts, are handled by a join to ``cell_owner``.
-    """
+def owner_lookup(layout: DataFrame, grid: Grid) -> list[Owners]:
+    """Owners of every layout in the table. Layouts are small by nature; a table that is not is refused."""
     if layout not in KNOWN or KNOWN[layout][0] != grid:
         KNOWN[layout] = grid, read_owners(layout, grid)
     return KNOWN[layout][1]
 
 
-def read_owners(layout: DataFrame, grid: Grid) -> Owners | None:
-    if grid.cells > LITERAL_CELLS:
-        return None
-    rows = collect_small(layout.select(LAYOUT_KEY, "pid", *RECT_COLUMNS), grid.cells)
-    if not rows or len({r[LAYOUT_KEY] for r in rows}) != 1:
-        return None
-    cells = [-1] * grid.cells
+def read_owners(layout: DataFrame, grid: Grid) -> list[Owners]:
+    rows = collect_small(layout.select(LAYOUT_KEY, "pid", *RECT_COLUMNS))
+    if rows is None:
+        raise ValueError(f"more than {SMALL_ROWS} layout rows; place them in several tables")
+    by_layout: dict[int, list] = {}
     for r in rows:
-        for i in range(r.r0, r.r1):
-            cells[i * grid.nx + r.c0 : i * grid.nx + r.c1] = [r.pid] * (r.c1 - r.c0)
-    return Owners(rows[0][LAYOUT_KEY], cells)
+        by_layout.setdefault(r[LAYOUT_KEY], []).append(r)
+    found = [owners_of(key, parts, grid) for key, parts in sorted(by_layout.items())]
+    if sum(len(o.cells) + len(o.band) + len(o.strip) for o in found) > LOOKUP_ENTRIES:
+        raise ValueError(f"the layouts need more than {LOOKUP_ENTRIES} lookup entries")
+    return found
+
+
+def owners_of(layout_id: int, rects: list, grid: Grid) -> Owners:
+    def pieces(n: int, low: str, high: str) -> tuple[list[int], list[int]]:
+        edges = sorted({0, n} | {r[c] for r in rects for c in (low, high)})
+        return edges, [bisect_right(edges, k) - 1 for k in range(n)]
+
+    rows, band = pieces(grid.ny, "r0", "r1")
+    columns, strip = pieces(grid.nx, "c0", "c1")
+    width = len(columns) - 1
+    cells = [-1] * (width * (len(rows) - 1))
+    for r in rects:
+        first, stop = columns.index(r.c0), columns.index(r.c1)
+        for k in range(rows.index(r.r0), rows.index(r.r1)):
+            cells[k * width + first : k * width + stop] = [r.pid] * (stop - first)
+    return Owners(layout_id, band, strip, cells)
+
+
+def at(table: list[int], k: Column) -> Column:
+    return F.get(literal_array(table, "int"), k.cast("int"))
+
 
+def owner_at(owners: Owners, i: Column, j: Column) -> Column:
+    """Owner of a cell, -1 for a null cell and one that nobody owns.
 
-def owner_at(owners: Owners, i: Column, j: Column, grid: Grid) -> Column:
-    """Owner of a cell. Never null, so joins on it push no null test down over the lookup."""
-    found = F.get(literal_array(owners.cells, "int"), (i * grid.nx + j).cast("int"))
-    return F.coalesce(found, F.lit(-1))
+    Never null, so joins on it push no null test down over the lookup.
+    """
+    width = max(owners.strip) + 1
+    return F.coalesce(at(owners.cells, at(owners.band, i) * width + at(owners.strip, j)), F.lit(-1))
 
 
-def owners_in_span(owners: Owners, i0: Column, i1: Column, j0: Column, j1: Column, grid: Grid) -> Column:
-    """Distinct owners of the cells in a block of rows i0..i1 and columns j0..j1.
+def owners_in_span(owners: Owners, i0: Column, i1: Column, j0: Column, j1: Column) -> Column:
+    """Distinct owners of the cells in a block of rows i0..i1 and columns j0..j1; [-1] if there are none.
 
     Nearly every block is one cell, which is answered without building arrays.
     """
+    width = max(owners.strip) + 1
     table = literal_array(owners.cells, "int")
     many = F.array_distinct(
         F.flatten(
             F.transform(
-                F.sequence(i0, i1),
+                F.sequence(at(owners.band, i0), at(owners.band, i1)),
                 lambda i: F.transform(
-                    F.sequence(j0, j1),
-                    lambda j: F.get(table, (i * grid.nx + j).cast("int")),
+                    F.sequence(at(owners.strip, j0), at(owners.strip, j1)),
+                    lambda j: F.get(table, (i * width + j).cast("int")),
                 ),
             )
         )
     )
-    one = F.array(owner_at(owners, i0, j0, grid))
-    return F.when((i0 == i1) & (j0 == j1), one).otherwise(many)
+    some = F.array_remove(many, -1)
+    nobody = F.array(F.lit(-1))
+    one = F.array(owner_at(owners, i0, j0))
+    single = (i0.isNull() | j0.isNull()) | ((i0 == i1) & (j0 == j1))
+    return F.when(single, one).otherwise(F.when(F.size(some) > 0, some).otherwise(nobody))
 
 
 def spans(grid: Grid, radius: str, boundary: str) -> tuple[Column, Column, Column, Column]:
@@ -88,26 +127,31 @@ def spans(grid: Grid, radius: str, boundary: str) -> tuple[Column, Column, Colum
     return i0, i1, j0, j1
 
 
-def explode_owners(df: DataFrame, layout: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
-    """One row per distinct owner of the block (i0, i1, j0, j1) of each input row.
+def placed_in(df: DataFrame, layout: DataFrame, grid: Grid, pids: Callable[[Owners], Column]) -> DataFrame:
+    """One row per input row, layout and pid, by a projection: no shuffle, no join."""
+    owners = owner_lookup(layout, grid)
+    if not owners:
+        return df.select(F.lit(None).cast("int").alias(LAYOUT_KEY), "*", F.lit(-1).alias("pid")).limit(0)
+    if len(owners) == 1:
+        return df.select(F.lit(owners[0].layout_id).alias(LAYOUT_KEY), "*", F.explode(pids(owners[0])).alias("pid"))
+    each = [F.struct(F.lit(o.layout_id).alias(LAYOUT_KEY), pids(o).alias("pids")) for o in owners]
+    spread = df.select("*", F.explode(F.array(*each)).alias("_of"))
+    return spread.select(f"_of.{LAYOUT_KEY}", *df.columns, F.explode("_of.pids").alias("pid"))
 
-    ``keys`` identify an input row; they are only needed on the join path.
-    """
+
+def explode_owners(df: DataFrame, layout: DataFrame, grid: Grid) -> DataFrame:
+    """One row per distinct owner, in each layout, of the block (i0, i1, j0, j1) of each input row."""
     block = [F.col(c) for c in ("i0", "i1", "j0", "j1")]
-    owners = owner_lookup(layout, grid)
-    if owners is not None:
-        return df.select(
-            F.lit(owners.layout_id).alias(LAYOUT_KEY),
-            "*",
-            F.explode(owners_in_span(owners, *block, grid)).alias("pid"),
-        ).drop("i0", "i1", "j0", "j1")
-    return (
-        df.withColumn("i", F.explode(F.sequence("i0", "i1")))
-        .withColumn("j", F.explode(F.sequence("j0", "j1")))
-        .join(cell_owner(layout), ["i", "j"])
-        .dropDuplicates([LAYOUT_KEY, "pid", *keys])
-        .drop("i", "j", "i0", "i1", "j0", "j1")
-    )
+    placed = placed_in(df, layout, grid, lambda o: owners_in_span(o, *block))
+    return placed.drop("i0", "i1", "j0", "j1")
+
+
+def only_layout(layout: DataFrame, grid: Grid) -> int:
+    """Id of the one layout in the table; physical placement and joins take one at a time."""
+    ids = [o.layout_id for o in owner_lookup(layout, grid)]
+    if len(ids) != 1:
+        raise ValueError(f"one layout is wanted here, the table has {len(ids)}")
+    return ids[0]
 
 
 def assign_partitions(
@@ -117,20 +161,22 @@ def assign_partitions(
 
     ``half_open`` gives every point exactly one partition per layout. ``closed``
     repeats a point that lies on a shared line. Points outside the grid go to
-    the nearest edge cell, or are left out with ``outside="drop"``.
+    the nearest edge cell, or are left out with ``outside="drop"``. A point with a null
+    coordinate, and one in a cell that no rectangle covers, has the pid -1.
     """
     if outside == "drop":
         points = points.filter(inside_grid(grid))
     if boundary == "closed":
         i0, i1, j0, j1 = spans(grid, "0", boundary)
-        block = points.withColumns({"i0": i0, "i1": i1, "j0": j0, "j1": j1})
-        return explode_owners(block, layout, grid, keys=points.columns)
-    owners = owner_lookup(layout, grid)
+        return explode_owners(points.withColumns({"i0": i0, "i1": i1, "j0": j0, "j1": j1}), layout, grid)
+    own = points.columns
     cells = assign_cells(points, grid)
-    if owners is not None:
-        pid = owner_at(owners, F.col("i"), F.col("j"), grid)
-        return cells.withColumns({LAYOUT_KEY: F.lit(owners.layout_id), "pid": pid}).drop("i", "j")
-    return cells.join(cell_owner(layout), ["i", "j"]).drop("i", "j")
+    owners = owner_lookup(layout, grid)
+    if len(owners) == 1:
+        pid = owner_at(owners[0], F.col("i"), F.col("j"))
+        return cells.withColumns({LAYOUT_KEY: F.lit(owners[0].layout_id), "pid": pid}).select(*own, LAYOUT_KEY, "pid")
+    placed = placed_in(cells, layout, grid, lambda o: F.array(owner_at(o, F.col("i"), F.col("j"))))
+    return placed.select(*own, LAYOUT_KEY, "pid")
 
 
 def buffer_points(points: DataFrame, radius: float | Column) -> DataFrame:
@@ -152,7 +198,7 @@ def replicate_circles(circles: DataFrame, layout: DataFrame, grid: Grid, boundar
     i0, i1 = cell_span("by0", "by1", grid, "y", boundary)
     j0, j1 = cell_span("bx0", "bx1", grid, "x", boundary)
     block = circles.withColumns({"i0": i0, "i1": i1, "j0": j0, "j1": j1})
-    return explode_owners(block, layout, grid, keys=["id", "radius"])
+    return explode_owners(block, layout, grid)
 
 
 def block_counts(points: DataFrame, grid: Grid, workload: DataFrame | None = None, boundary: str = "half_open") -> DataFrame:
@@ -183,7 +229,7 @@ def block_counts(points: DataFrame, grid: Grid, workload: DataFrame | None = Non
 
 def owner_counts(blocks: DataFrame, layouts: DataFrame, grid: Grid, name: str) -> DataFrame:
     """Rows per (layout_id, qid, pid) from block counts."""
-    placed = explode_owners(blocks, layouts, grid, keys=["qid", "i0", "i1", "j0", "j1"])
+    placed = explode_owners(blocks, layouts, grid)
     return placed.groupBy(LAYOUT_KEY, "qid", "pid").agg(F.sum("n").alias(name))
 
 
@@ -224,6 +270,7 @@ def placement(points: DataFrame, layout: DataFrame, grid: Grid, rows_per_task: i
     spread over as many slots as it needs, so no task holds more than its share.
     By default a share is the points divided by the session's shuffle partitions.
     """
+    only_layout(layout, grid)
     stats = layout if "n" in layout.columns else partition_stats(points, layout, grid)
     counts = {r.pid: r.n for r in stats.select("pid", "n").collect()}
     share = rows_per_task or fair_share(

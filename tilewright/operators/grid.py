@@ -94,6 +94,7 @@ def line_index(value: Column, grid: Grid, axis: str) -> Column:
 
 def cell_text(value: str, grid: Grid, axis: str) -> str:
     """SQL text for the grid column or row of a coordinate, clamped to the grid, cells closed below.
+    Null for a null coordinate.
 
     The division can land on the wrong side of a line by a rounding error, so
     the result is corrected against the line values themselves.
@@ -105,7 +106,7 @@ def cell_text(value: str, grid: Grid, axis: str) -> str:
     raw = f"floor((({value}) - {low}) / {step})"
     below = f"CASE WHEN ({value}) < {raw} * {step} + {low} THEN 1 ELSE 0 END"
     above = f"CASE WHEN ({value}) >= ({raw} + 1) * {step} + {low} THEN 1 ELSE 0 END"
-    return f"CAST(least(greatest({raw} - {below} + {above}, 0), {n - 1}) AS INT)"
+    return f"CASE WHEN ({value}) IS NOT NULL THEN CAST(least(greatest({raw} - {below} + {above}, 0), {n - 1}) AS INT) END"
 
 
 def cell_index(value: str, grid: Grid, axis: str) -> Column:
@@ -123,7 +124,7 @@ def cell_span(low: str, high: str, grid: Grid, axis: str, boundary: str) -> tupl
     start, _, _, step = grid.axis(axis)
     if boundary == "closed":
         on_line = f"({low}) = ({first}) * {number(step)} + {number(start)}"
-        first = f"greatest(({first}) - CASE WHEN {on_line} THEN 1 ELSE 0 END, 0)"
+        first = f"CASE WHEN ({low}) IS NOT NULL THEN greatest(({first}) - CASE WHEN {on_line} THEN 1 ELSE 0 END, 0) END"
     return F.expr(first), cell_index(high, grid, axis)
 
 

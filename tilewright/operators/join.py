@@ -21,7 +21,7 @@ from tilewright.operators.assign import (
     slot_of,
 )
 from tilewright.operators.grid import Grid
-from tilewright.session import LITERAL_CELLS, collect_small, cut_lineage, local_table, shuffle_slots
+from tilewright.session import collect_small, cut_lineage, local_table, shuffle_slots
 
 # Join cells are wider than the radius by this factor, so that rounding in the
 # cell index cannot separate a pair that passes the distance test.
@@ -181,10 +181,7 @@ def layout_moves(
     )
     tile_hash = F.xxhash64("tx", "ty")
     first, slots, total = placement(points, layout, grid, rows_per_task)
-    if total <= LITERAL_CELLS:
-        slot = slot_of(tile_hash, first, slots)
-    else:
-        slot = F.pmod(F.xxhash64("pid", "tx", "ty"), F.lit(total)).cast("int")
+    slot = slot_of(tile_hash, first, slots)
     return (
         circles.withColumn("slot", slot).repartitionById(total, F.col("slot")),
         points.withColumn("slot", slot).repartitionById(total, F.col("slot")),

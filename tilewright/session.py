@@ -14,9 +14,6 @@ from pyspark.sql.types import StructType
 # and broadcast. Everything larger stays a distributed table.
 SMALL_ROWS = 100_000
 
-# Largest grid whose per-cell lookup is carried inside an expression as a literal.
-LITERAL_CELLS = 10_000
-
 # Rows one task may sort, buffer or aggregate for a single key. Groups above
 # this are split into slices before any window or exact median runs on them.
 GROUP_ROWS = 10_000_000
