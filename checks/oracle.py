@@ -6,7 +6,7 @@ range joins and plain windows, none of the methods the library uses.
 
 from __future__ import annotations
 
-from checks.queries import ABORT_PRICE, DISTANCES, EVEN_CUTS, MIXED_CUTS, RADIUS, RATES
+from checks.queries import ABORT_PRICE, DISTANCES, EVEN_CUTS, FINE, FINE_CUTS, MIXED_CUTS, RADIUS, RATES
 
 N = 30
 
@@ -40,11 +40,11 @@ GRID = f"""{POINTS}, lines AS MATERIALIZED (
 )"""
 
 
-def apply_by_hand(actions: list[int]) -> list[list[int]]:
+def apply_by_hand(actions: list[int], n: int = N) -> list[list[int]]:
     """Rectangles (c0, c1, r0, r1) a cut sequence leads to."""
-    rects = [[0, N, 0, N]]
+    rects = [[0, n, 0, n]]
     for action in actions:
-        i, j, vertical = action // (2 * N), action // 2 % N, action % 2
+        i, j, vertical = action // (2 * n), action // 2 % n, action % 2
         c0, c1, r0, r1 = owner = next(
             r for r in rects if r[0] <= j < r[1] and r[2] <= i < r[3]
         )
@@ -53,9 +53,9 @@ def apply_by_hand(actions: list[int]) -> list[list[int]]:
     return rects
 
 
-def layout_values(actions: list[int], name: str = "lay") -> str:
+def layout_values(actions: list[int], name: str = "lay", n: int = N) -> str:
     rows = ", ".join(
-        f"({pid}, {', '.join(map(str, r))})" for pid, r in enumerate(apply_by_hand(actions))
+        f"({pid}, {', '.join(map(str, r))})" for pid, r in enumerate(apply_by_hand(actions, n))
     )
     return f"{name}(pid, c0, c1, r0, r1) AS (VALUES {rows})"
 
@@ -77,14 +77,30 @@ BOXES = """boxes AS (
 )"""
 
 
-def overlap(radius: str) -> str:
+def overlap(radius: str, n: int = N) -> str:
     """Does the square around (x, y) meet the box? Outermost boxes have no far edge."""
     return (
-        f"(x - {radius} < max_x OR c1 = {N}) AND (x + {radius} >= min_x OR c0 = 0) AND "
-        f"(y - {radius} < max_y OR r1 = {N}) AND (y + {radius} >= min_y OR r0 = 0)"
+        f"(x - {radius} < max_x OR c1 = {n}) AND (x + {radius} >= min_x OR c0 = 0) AND "
+        f"(y - {radius} < max_y OR r1 = {n}) AND (y + {radius} >= min_y OR r0 = 0)"
     )
 
 
+def fine_line(axis: str, k: str) -> str:
+    low, high = f"min_{axis}", f"max_{axis}"
+    return f"CASE WHEN {k} = {FINE} THEN b.{high} ELSE {k} * ((b.{high} - b.{low}) / {FINE}) + b.{low} END"
+
+
+# Points on a coarse raster and a layout of a fine grid, its rectangles in coordinates.
+FINE_BOXES = f"""{POINTS.replace("/ 8.64e10 AS x", "/ 8.64e10 * 10)::DOUBLE / 10 AS x").replace("date_diff(", "floor(date_diff(").replace("value / 10 AS y", "floor(value / 10 * 10)::DOUBLE / 10 AS y")},
+{layout_values(FINE_CUTS, n=FINE)}, boxes AS (
+  SELECT l.*, {fine_line("x", "l.c0")} AS min_x, {fine_line("x", "l.c1")} AS max_x,
+         {fine_line("y", "l.r0")} AS min_y, {fine_line("y", "l.r1")} AS max_y
+  FROM lay l, bb b
+)"""
+
+FINE_CLOSED = "x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y"
+
+
 CUTS_OF = f"""
   SELECT l.pid, 0 AS dir, k::INT AS i, l.c0 AS j FROM {{layout}} l, range({N} + 1) t(k) WHERE k > l.r0 AND k < l.r1
   UNION ALL
@@ -159,19 +175,17 @@ def pairs(radius: str) -> str:
 NEAR = f"WITH {pairs(f'{RADIUS}::DOUBLE')} "
 
 TRIALS = f"""
-rows AS (
+trials AS (
   SELECT (o_orderkey // 9)::INT AS layout_id, ((o_orderkey % 9) // 3)::INT AS qid,
          (o_orderkey % 3)::INT AS trial, o_totalprice / 1000 AS seconds,
          o_totalprice > {ABORT_PRICE} AS aborted
   FROM orders
-), trials AS (
-  SELECT * FROM rows WHERE layout_id IN (SELECT layout_id FROM rows GROUP BY 1 HAVING count(*) = 9)
 ), costs AS (
-  SELECT layout_id, qid, median(seconds) AS seconds FROM trials GROUP BY ALL HAVING NOT bool_or(aborted)
+  SELECT layout_id, qid, CASE WHEN NOT bool_or(aborted) THEN median(seconds) END AS seconds FROM trials GROUP BY ALL
 ), {WORKLOAD}, evals AS (
   SELECT layout_id, layout_id AS seq,
-         CASE WHEN count(*) = 3 THEN sum(seconds * rate) END AS cost,
-         CASE WHEN count(*) = 3 THEN 'ok' ELSE 'aborted' END AS status
+         CASE WHEN count(seconds) = 3 THEN sum(seconds * rate) END AS cost,
+         CASE WHEN count(seconds) = 3 THEN 'ok' ELSE 'aborted' END AS status
   FROM costs JOIN workload USING (qid) GROUP BY ALL
 ), marked AS (
   SELECT *, coalesce(cost < best_before, false) AS improved,
@@ -180,6 +194,17 @@ rows AS (
         FROM evals)
 )"""
 
+
+
+def grouped(max_ids: int) -> str:
+    """Neighbour lists in parts of so many ids, with the number of all neighbours of the circle."""
+    return NEAR + f""", placed AS (
+  SELECT *, row_number() OVER (PARTITION BY circle_id ORDER BY point_id) - 1 AS place, count(*) OVER (PARTITION BY circle_id) AS n
+  FROM pairs
+) SELECT circle_id, (place // {max_ids})::INT AS part, string_agg(point_id::VARCHAR, ',' ORDER BY point_id) AS point_ids,
+         any_value(n) AS n FROM placed GROUP BY circle_id, part"""
+
+
 STEPS = """
 steps AS (
   SELECT user_id AS episode, row_number() OVER w - 1 AS step, value / 100 AS reward,
@@ -200,7 +225,45 @@ memory AS (
   SELECT draw, min(idx) AS idx FROM draws JOIN cum ON upto >= s GROUP BY draw
 )"""
 
+
+
+def toss(seed: int, *keys: str) -> str:
+    """Whole number fixed by a seed and keys: 13 hexadecimal digits of an md5."""
+    return f"('0x' || substr(md5('{seed}:' || {" || ':' || ".join(keys)}), 1, 13))::BIGINT"
+
+
+def drawn(name: str, source: str, draws: str, seed: int, capacity: int) -> str:
+    """Rows of memory where cumulated priorities reach tossed values, with weights: tables drawn_<name>."""
+    return f"""own_{name} AS (
+  SELECT *, sum(priority) OVER (ORDER BY idx) AS reach, sum(priority) OVER () AS total FROM memory WHERE {source}
+), toss_{name} AS (
+  SELECT k AS draw, ({toss(seed, 'k')} + 0.5::DOUBLE) / {16**13} * (SELECT max(total) FROM own_{name}) AS s FROM range({draws}) t(k)
+), hit_{name} AS (
+  SELECT draw, arg_min(idx, idx) AS idx, arg_min(priority, idx) AS priority,
+         pow({capacity} * arg_min(priority, idx) / max(total), -0.7::DOUBLE) AS w
+  FROM toss_{name} JOIN own_{name} ON reach >= s GROUP BY draw
+), drawn_{name} AS (
+  SELECT draw, idx, priority, w / (SELECT max(w) FROM hit_{name}) AS weight FROM hit_{name}
+)"""
+
+
+def batch_rows(name: str) -> str:
+    return f"SELECT '{name}' AS source, idx, round(priority, 6) AS priority, round(weight, 6) AS weight FROM drawn_{name}"
+
+
+DEMO = "idx IN (SELECT event_id FROM events WHERE event_type = 'purchase')"
+DEMO_ROWS = "(SELECT least(8, count(*)) FROM events WHERE event_type = 'purchase')"
+
 ORACLE = {
+    "q_sample_k": f"""WITH {MEMORY}
+SELECT idx, round(priority, 6) AS priority, 1.0::DOUBLE AS weight FROM memory ORDER BY {toss(7, 'idx')}, idx LIMIT 32""",
+    "q_priority_sample": f"""WITH {MEMORY}, {drawn('all', 'true', '32', 7, 10_000)}
+SELECT draw, idx, round(priority, 6) AS priority, round(weight, 6) AS weight FROM drawn_all""",
+    "q_mixed_batch": f"""WITH {MEMORY}, {drawn('demo', DEMO, DEMO_ROWS, 7, 100)}, {drawn('agent', f'NOT {DEMO}', f'32 - {DEMO_ROWS}', 8, 10_000)}
+{batch_rows('demo')} UNION ALL {batch_rows('agent')}""",
+    "q_random_cut": f"""WITH {EVEN}, cuts AS ({CUTS_OF.format(layout='lay')}), acts AS (
+  SELECT (2 * (i * {N} + j) + dir)::INT AS action FROM cuts
+) SELECT 0 AS layout_id, action FROM acts ORDER BY {toss(7, "'0'", 'action')}, action LIMIT 1""",
     "q_bbox": f"""WITH {POINTS}
 SELECT round(min_x, 6) AS min_x, round(max_x, 6) AS max_x, round(min_y, 6) AS min_y, round(max_y, 6) AS max_y FROM bb""",
     "q_bbox_compat": f"""WITH {POINTS}
@@ -288,14 +351,21 @@ FROM boxes LEFT JOIN pts p ON x BETWEEN min_x AND max_x AND y BETWEEN min_y AND
     "q_partition_medians": f"""WITH {EVEN}
 SELECT l.pid, round(coalesce(median(c.x), 0), 6) AS median_x, round(coalesce(median(c.y), 0), 6) AS median_y
 FROM lay l LEFT JOIN cells c ON {IN_PART} GROUP BY l.pid""",
+    "q_assign_closed_fine": f"WITH {FINE_BOXES} SELECT id, pid FROM pts JOIN boxes ON {FINE_CLOSED}",
+    "q_partition_medians_closed_fine": f"""WITH {FINE_BOXES}
+SELECT pid, round(coalesce(median(x), 0), 6) AS median_x, round(coalesce(median(y), 0), 6) AS median_y
+FROM boxes LEFT JOIN pts ON {FINE_CLOSED} GROUP BY pid""",
+    "q_circles_fine": f"""WITH {FINE_BOXES}
+SELECT pid, count(*) AS m FROM boxes JOIN pts ON {overlap(f'{RADIUS}::DOUBLE', FINE)} GROUP BY pid""",
     "q_fullest_partition": f"WITH {STATS} SELECT pid, n FROM stats ORDER BY n DESC, pid LIMIT 1",
     "q_circles_per_partition": f"""WITH {EVEN}, {BOXES}
 SELECT pid, count(*) AS m FROM boxes JOIN pts ON {overlap(f'{RADIUS}::DOUBLE')} GROUP BY pid""",
     "q_distance_join": NEAR + "SELECT * FROM pairs",
     "q_distance_join_layout": NEAR + "SELECT * FROM pairs",
-    "q_distance_join_grouped": NEAR + """
-SELECT circle_id, string_agg(point_id::VARCHAR, ',' ORDER BY point_id) AS point_ids, count(*) AS n
-FROM pairs GROUP BY circle_id""",
+    "q_distance_join_grouped": grouped(10_000),
+    "q_distance_join_grouped_parts": grouped(4),
+    "q_distance_join_two_sided": NEAR + """
+SELECT circle_id, point_id FROM pairs JOIN events ON event_id = circle_id WHERE event_type = 'purchase'""",
     "q_metres_join": f"WITH {pairs('(5000 / 110000::DOUBLE)')} SELECT circle_id, count(*) AS n FROM pairs GROUP BY circle_id",
     "q_median_trials": f"WITH {TRIALS} SELECT layout_id, qid, round(seconds, 6) AS seconds FROM costs",
     "q_workload_cost": f"WITH {TRIALS} SELECT layout_id, round(cost, 8) AS cost, status FROM evals",
@@ -319,6 +389,11 @@ UNION ALL SELECT 'sum', round(sum(total::DOUBLE * rate), 6) FROM worst JOIN work
     "q_nstep": f"""WITH {STEPS}
 SELECT episode, step, round(reward + 0.99::DOUBLE * coalesce(lead(reward) OVER w, 0)
          + 0.9801::DOUBLE * coalesce(lead(reward, 2) OVER w, 0), 8) AS nstep_reward
+FROM steps WINDOW w AS (PARTITION BY episode ORDER BY step)""",
+    "q_nstep_state": f"""WITH {STEPS}
+SELECT episode, step, round(reward + 0.99::DOUBLE * coalesce(lead(reward) OVER w, 0)
+         + 0.9801::DOUBLE * coalesce(lead(reward, 2) OVER w, 0), 8) AS nstep_reward,
+       round(lead(reward, 3) OVER w, 6) AS next_state
 FROM steps WINDOW w AS (PARTITION BY episode ORDER BY step)""",
     "q_rolling_mean": """
 SELECT event_id, CASE WHEN row_number() OVER (ORDER BY event_id) >= 10 THEN round(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import ABORTED, METRES_PER_DEGREE, OK, priority
@@ -38,10 +38,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 MIXED_CUTS = [41, 1240, 27, 47, 1166, 9, 1251]
 EVEN_CUTS = [120, 240, 31, 360, 151, 47, 15]
 
+FINE = 150
+FINE_CUTS = [18000, 81, 18201, 22700]
+
 RADIUS = 0.1
 DISTANCES = [1100.0, 5500.0, 11000.0]
 RATES = [0.25, 0.5, 0.25]
-ABORT_PRICE = 490000.0
+ABORT_PRICE = 300000.0
 
 QUERIES: dict[str, Query] = {}
 
@@ -79,6 +82,18 @@ def workload(spark: SparkSession) -> DataFrame:
     return workload_table(spark, DISTANCES, RATES)
 
 
+def listed(name: str) -> Column:
+    return F.array_join(F.transform(name, lambda p: p.cast("string")), ",").alias(name)
+
+
+def fine_layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, G.Grid, DataFrame]:
+    """Events on a coarse raster, so that many points coincide, under a layout of a 150 x 150 grid."""
+    raster = [(F.floor(F.col(c) * 10) / 10).alias(c) for c in ("x", "y")]
+    points = event_points(spark, sf_dir).select("id", *raster)
+    grid = G.make_grid(G.bounding_box(points), FINE, FINE)
+    return points, grid, L.replay_cuts(spark, grid, FINE_CUTS)
+
+
 def rounded(name: str, places: int = 6) -> Column:
     return F.round(name, places).alias(name)
 
@@ -251,9 +266,8 @@ def q_shift_cut(spark, sf_dir):
 
 @query
 def q_random_cut(spark, sf_dir):
-    points, grid, layout = even_layout(spark, sf_dir)
-    cuts = L.legal_cuts(partition_stats(points, layout, grid).filter("n > 0"), grid)
-    return C.random_cut(cuts, seed=7)
+    _, grid, layout = even_layout(spark, sf_dir)
+    return C.random_cut(L.legal_cuts(layout, grid), seed=7)
 
 
 @query
@@ -305,6 +319,26 @@ def q_circles_per_partition(spark, sf_dir):
     return circles.groupBy("pid").agg(F.count("*").alias("m"))
 
 
+@query
+def q_assign_closed_fine(spark, sf_dir):
+    points, grid, layout = fine_layout(spark, sf_dir)
+    return assign_partitions(points, layout, grid, "closed").select("id", "pid")
+
+
+@query
+def q_partition_medians_closed_fine(spark, sf_dir):
+    points, grid, layout = fine_layout(spark, sf_dir)
+    medians = partition_medians(points, layout, grid, "closed")
+    return medians.select("pid", rounded("median_x"), rounded("median_y"))
+
+
+@query
+def q_circles_fine(spark, sf_dir):
+    points, grid, layout = fine_layout(spark, sf_dir)
+    circles = replicate_circles(buffer_points(points, RADIUS), layout, grid)
+    return circles.groupBy("pid").agg(F.count("*").alias("m"))
+
+
 @query
 def q_partition_by_layout(spark, sf_dir):
     points, grid, layout = even_layout(spark, sf_dir)
@@ -330,8 +364,22 @@ def q_distance_join_layout(spark, sf_dir):
 def q_distance_join_grouped(spark, sf_dir):
     points = event_points(spark, sf_dir)
     matches = J.distance_join_grouped(points, points, RADIUS)
-    ids = F.array_join(F.transform("point_ids", lambda p: p.cast("string")), ",")
-    return matches.select("circle_id", ids.alias("point_ids"), "n")
+    return matches.select("circle_id", "part", listed("point_ids"), "n")
+
+
+@query
+def q_distance_join_grouped_parts(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    matches = J.distance_join_grouped(points, points, RADIUS, max_ids=4)
+    return matches.select("circle_id", "part", listed("point_ids"), "n")
+
+
+@query
+def q_distance_join_two_sided(spark, sf_dir):
+    """Circles around purchases, points of all events; cells of more than 100 rows are split."""
+    points = event_points(spark, sf_dir)
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("id"))
+    return J.distance_join(points.join(bought, "id", "left_semi"), points, RADIUS, hot_rows=100)
 
 
 @query
@@ -346,18 +394,19 @@ def q_metres_join(spark, sf_dir):
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as trial times: nine orders make one layout of three queries with three trials each."""
+    """Orders as trial times: nine order keys make one layout of three queries with three trials each.
+
+    Many runs are aborted, and layouts with all three queries aborted occur.
+    """
     key = F.col("o_orderkey")
     place = key % 9
-    rows = table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         F.floor(key / 9).cast("int").alias("layout_id"),
         F.floor(place / 3).cast("int").alias("qid"),
         (place % 3).cast("int").alias("trial"),
         (F.col("o_totalprice") / 1000).alias("seconds"),
         F.when(F.col("o_totalprice") > ABORT_PRICE, ABORTED).otherwise(OK).alias("status"),
     )
-    whole = rows.groupBy("layout_id").agg(F.count("*").alias("rows")).filter("rows = 9")
-    return rows.join(whole.select("layout_id"), "layout_id", "left_semi")
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -464,6 +513,23 @@ def q_nstep(spark, sf_dir):
     return steps.select("episode", "step", rounded("nstep_reward", 8))
 
 
+@query
+def q_nstep_state(spark, sf_dir):
+    """The state of a step is the value of its event; the next one is what the step leads to."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", (F.col("value") / 100).alias("reward"))
+    ahead = Window.partitionBy("user_id").orderBy("ts")
+    steps = with_position(events, ["user_id"], "ts", "step").select(
+        F.col("user_id").alias("episode"),
+        "step",
+        "reward",
+        F.lead("ts").over(ahead).isNull().alias("done"),
+        F.array(F.lead("reward").over(ahead)).alias("next_state"),
+    )
+    made = X.nstep_return(steps, 3, 0.99)
+    state = F.round(F.get("next_state", F.lit(0)), 6)
+    return made.select("episode", "step", rounded("nstep_reward", 8), state.alias("next_state"))
+
+
 @query
 def q_rolling_mean(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "value")
@@ -539,15 +605,17 @@ def q_route_transitions(spark, sf_dir):
 
 @query
 def q_sample_k(spark, sf_dir):
-    return X.sample_k(memory(spark, sf_dir), 32, seed=7, key="idx")
+    return X.sample_k(memory(spark, sf_dir), 32, seed=7, key="idx").select("idx", rounded("priority"), "weight")
 
 
 @query
 def q_priority_sample(spark, sf_dir):
-    return X.priority_sample(memory(spark, sf_dir), 32, capacity=10_000, progress=0.5, seed=7)
+    drawn = X.priority_sample(memory(spark, sf_dir), 32, capacity=10_000, progress=0.5, seed=7)
+    return drawn.select("draw", "idx", rounded("priority"), rounded("weight"))
 
 
 @query
 def q_mixed_batch(spark, sf_dir):
     rows = memory(spark, sf_dir)
-    return X.mixed_batch(rows.filter("is_demo"), rows.filter("NOT is_demo"), progress=0.5, seed=7)
+    batch = X.mixed_batch(rows.filter("is_demo"), rows.filter("NOT is_demo"), progress=0.5, seed=7)
+    return batch.select("source", "idx", rounded("priority"), rounded("weight"))

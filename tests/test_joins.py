@@ -60,10 +60,14 @@ def test_crowded_cells_on_one_side_only(clumped, brute, listed):
 def test_crowded_cells_are_found_and_spread(clumped):
     side = 0.4 * J.CELL_SLACK
     cells = J.prepare(clumped, side)
-    hot, _ = J.crowded_cells([cells], 40)
-    ways = {(r.cx, r.cy): r.k for r in hot.collect()}
-    assert ways[1, 1] >= 400 // 40
-    none, total = J.crowded_cells([cells], 50_000)
+    hot, _ = J.crowded_cells(cells, None, 40)
+    ways = {(r.cx, r.cy): (r.kp, r.kc) for r in hot.collect()}
+    assert ways[1, 1][0] >= 400 // 40 and ways[1, 1][0] == ways[1, 1][1]
+    few = cells.filter("id % 200 = 0")
+    hot, _ = J.crowded_cells(cells, few, 40)
+    ways = {(r.cx, r.cy): (r.kp, r.kc) for r in hot.collect()}
+    assert ways[1, 1][0] >= 400 // 40 and ways[1, 1][1] == 1
+    none, total = J.crowded_cells(cells, None, 50_000)
     assert none is None and total > 500
 
 
@@ -75,11 +79,13 @@ def test_many_crowded_cells_go_through_a_table(clumped, brute, listed, monkeypat
 
 def test_grouped_parts_cover_each_circle(clumped, brute):
     want = brute(clumped, 0.4)
-    rows = J.distance_join_grouped(clumped, clumped, 0.4, hot_rows=40).collect()
-    got = [(r.circle_id, p) for r in rows for p in r.point_ids]
+    found = [sorted(map(tuple, J.distance_join_grouped(clumped, clumped, 0.4, hot_rows=h, max_ids=50).collect())) for h in (40, 50_000)]
+    assert found[0] == found[1]
+    got = [(c, p) for c, _, ids, _ in found[0] for p in ids]
     assert len(got) == len(set(got)) and set(got) == want
-    assert all(r.n == len(r.point_ids) for r in rows)
-    assert max(r.part for r in rows) > 0 and max(r.n for r in rows) < 200
+    for c, part, ids, n in found[0]:
+        mine = sorted(p for a, p in want if a == c)
+        assert n == len(mine) and ids == mine[50 * part : 50 * part + 50]
     plain = J.distance_join_grouped(clumped, clumped, 0.4).collect()
     assert {r.part for r in plain} == {0} and len(plain) == 600
 

@@ -39,12 +39,14 @@ def test_sliced_running_values_equal_plain_ones(rows, by, inclusive):
     assert plain.count() == 3000 and same_layout(plain, sliced, plain.columns)
 
 
-def test_slices_keep_order_and_stay_small(rows):
-    assert oversized(rows, ["g"], "o", 2000) is None
+@pytest.mark.parametrize("spacing", ["id", "pow(1.02D, id)", "o"])
+def test_slices_keep_order_and_stay_small(rows, spacing):
+    rows = rows.withColumn("o", F.expr(spacing).cast("double"))
+    assert oversized(rows, ["g"], "o", 5000) is None
     large = oversized(rows, ["g"], "o", 100)
-    sliced = with_slices(rows, ["g"], "o", 100, large)
+    sliced = with_slices(rows, ["g"], "o", large)
     sizes = sliced.groupBy("g", SLICE).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 200
+    assert sizes.agg(F.max("count")).first()[0] <= 100
     ends = sliced.groupBy("g", SLICE).agg(F.min("o").alias("a"), F.max("o").alias("b")).collect()
     for p in ends:
         assert all(p.b < q.a for q in ends if q.g == p.g and q[SLICE] > p[SLICE])
@@ -169,7 +171,7 @@ def test_costs_and_records(spark):
     trials = local_table(spark, runs, "layout_id int, qid int, trial int, seconds double, status string")
     costs = E.median_cost(trials)
     assert {(r.layout_id, r.qid): r.seconds for r in costs.collect()} == {
-        (0, 0): 2.0, (0, 1): 4.0, (1, 0): 1.0, (2, 0): 1.0, (2, 1): 2.0, (3, 0): 1.0, (3, 1): 3.0,
+        (0, 0): 2.0, (0, 1): 4.0, (1, 0): 1.0, (1, 1): None, (2, 0): 1.0, (2, 1): 2.0, (3, 0): 1.0, (3, 1): 3.0,
     }
     evals = E.workload_cost(costs, workload).withColumn("seq", F.col("layout_id"))
     assert E.total_query_time(trials).first().seconds == 57.0
@@ -184,5 +186,8 @@ def test_costs_and_records(spark):
         assert [r.improvements for r in counts] == [0, 0, 1, 1]
         budgets = {(r.seq, r.qid): r.budget for r in E.best_costs_so_far(costs, evals, limit).collect()}
         assert budgets == {
-            (0, 0): None, (0, 1): None, (1, 0): 2.0, (2, 0): 2.0, (2, 1): 4.0, (3, 0): 1.0, (3, 1): 2.0,
+            (0, 0): None, (0, 1): None, (1, 0): 2.0, (1, 1): 4.0, (2, 0): 2.0, (2, 1): 4.0, (3, 0): 1.0, (3, 1): 2.0,
         }
+    all_stopped = local_table(spark, [(5, 0, 0, 9.0, "aborted")], "layout_id int, qid int, trial int, seconds double, status string")
+    stopped = E.workload_cost(E.median_cost(trials.unionByName(all_stopped)), workload).filter("layout_id = 5").collect()
+    assert [(r.cost, r.status) for r in stopped] == [(None, "aborted")]

@@ -64,6 +64,16 @@ def reward(best: Column, cost: Column, status: Column) -> Column:
     )
 
 
+#: A toss has this many values: 13 hexadecimal digits.
+TOSSES = 16**13
+
+
+def toss(seed: int, *keys: str) -> Column:
+    """Whole number from 0 below TOSSES, fixed by a seed and keys; any engine with md5 gives the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
+
+
 def nearest_index(candidates: Column, value: Column) -> Column:
     """Index field of the (idx, value) struct nearest to ``value``; the lowest index wins a tie."""
     return F.array_min(

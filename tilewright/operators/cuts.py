@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.scalar import toss
 from tilewright.operators.layout import LAYOUT_KEY
 
 
@@ -16,8 +17,7 @@ def best_cut(scored: DataFrame) -> DataFrame:
 
 def random_cut(cuts: DataFrame, seed: int) -> DataFrame:
     """Per layout, one of its cuts, fixed by the seed."""
-    toss = F.xxhash64(F.lit(seed), LAYOUT_KEY, "action")
-    pick = F.min_by("action", F.struct(toss, "action"))
+    pick = F.min_by("action", F.struct(toss(seed, LAYOUT_KEY, "action"), "action"))
     return cuts.groupBy(LAYOUT_KEY).agg(pick.alias("action"))
 
 

@@ -13,18 +13,22 @@ from tilewright.session import GROUP_ROWS
 
 
 def median_cost(trials: DataFrame, limit: int = MEDIAN_ROWS) -> DataFrame:
-    """costs(layout_id, qid, seconds): median trial time; queries with an aborted trial are left out."""
+    """costs(layout_id, qid, seconds): median trial time, null for a query with an aborted trial."""
     keys = [LAYOUT_KEY, "qid"]
     aborted = trials.filter(F.col("status") == ABORTED).select(*keys).distinct()
     finished = trials.select(*keys, "seconds").join(aborted, keys, "left_anti")
-    return grouped_median(finished, keys, ["seconds"], limit)
+    stopped = aborted.select(*keys, F.lit(None).cast("double").alias("seconds"))
+    return grouped_median(finished, keys, ["seconds"], limit).unionByName(stopped)
 
 
 def workload_cost(costs: DataFrame, workload: DataFrame) -> DataFrame:
-    """(layout_id, cost, status): seconds weighted by rate; null and aborted when a query is missing."""
+    """(layout_id, cost, status) of every layout in ``costs``: seconds weighted by rate.
+
+    Null and aborted when a query of the workload has no time.
+    """
     queries = workload.agg(F.count("*")).scalar()
-    weighted = costs.join(workload.select("qid", "rate"), "qid").groupBy(LAYOUT_KEY).agg(
-        F.sum(F.col("seconds") * F.col("rate")).alias("total"), F.count("seconds").alias("done")
+    weighted = costs.join(workload.select("qid", "rate"), "qid", "left").groupBy(LAYOUT_KEY).agg(
+        F.sum(F.col("seconds") * F.col("rate")).alias("total"), F.count(F.col("seconds") * F.col("rate")).alias("done")
     )
     complete = F.col("done") == queries
     return weighted.select(

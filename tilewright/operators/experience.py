@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.functions.scalar import priority
+from tilewright.functions.scalar import TOSSES, priority, toss
 from tilewright.operators.scan import (
     SLICE,
     ordinal,
@@ -20,9 +20,6 @@ from tilewright.operators.scan import (
 )
 from tilewright.session import GROUP_ROWS, pin
 
-# Value intervals a weighted lookup spreads its cumulative weights over.
-LOOKUP_BINS = 1_000_000
-
 # Fixed value: weight of the importance correction at the start of a run.
 BETA_START = 0.4
 
@@ -51,8 +48,10 @@ def nstep_return(transitions: DataFrame, n: int = 3, gamma: float = 0.99, limit:
     blocks = with_blocks(transitions, "step", n - 1, limit, before=False)
     frame = W.partitionBy("episode", "_block").orderBy("step").rowsBetween(0, n - 1)
     has_state = "next_state" in transitions.columns
-    fields = ["reward", "done", *(["next_state"] if has_state else [])]
-    ahead = blocks.withColumn("_ahead", F.collect_list(F.struct(*fields)).over(frame)).filter("_own")
+    added = {"_ahead": F.collect_list(F.struct("reward", "done")).over(frame)}
+    if has_state:
+        added["_last"] = F.lead("next_state", n - 1).over(W.partitionBy("episode", "_block").orderBy("step"))
+    ahead = blocks.withColumns(added).filter("_own")
     stop = F.array_position(F.transform("_ahead", lambda r: r["done"]), True)
     ended = stop > 0
     kept = F.when(ended, F.slice("_ahead", F.lit(1), stop)).otherwise(F.col("_ahead"))
@@ -67,8 +66,7 @@ def nstep_return(transitions: DataFrame, n: int = 3, gamma: float = 0.99, limit:
     )
     result = ahead.filter(ended | (F.size("_ahead") == n)).withColumn("nstep_reward", total)
     if has_state:
-        last = F.element_at("_ahead", -1)["next_state"]
-        result = result.withColumn("next_state", F.when(~ended, last))
+        result = result.withColumn("next_state", F.when(~ended, F.col("_last")))
     return result.select(*transitions.columns, "nstep_reward")
 
 
@@ -109,12 +107,12 @@ def retain_latest(df: DataFrame, capacity: int, by: Sequence[str], order: str, l
     large = oversized(back, by, "_back", limit)
     if large is None:
         return newest(df, by).select(*df.columns)
-    parts = with_slices(back, by, "_back", limit, large, how="inner")
+    parts = with_slices(back, by, "_back", large, how="inner")
     sizes = parts.groupBy(*by, SLICE).agg(F.count("*").alias("_n"))
     newer = W.partitionBy(*by).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     ahead = sizes.select(*by, SLICE, F.sum("_n").over(newer).alias("_newer")).filter(F.col(SLICE) > 0)
     newer_rows = F.coalesce("_newer", F.lit(0))
-    sliced = with_slices(back, by, "_back", limit, large)
+    sliced = with_slices(back, by, "_back", large)
     open_rows = sliced.join(ahead, [*by, SLICE], "left").filter(newer_rows < capacity)
     kept = newest(open_rows, [*by, SLICE]).filter(F.col("_rank") + newer_rows <= capacity)
     return kept.select(*df.columns)
@@ -135,7 +133,7 @@ def initial_priority(df: DataFrame, order: str | None = None, limit: int = GROUP
 
 def sample_k(df: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
     """Uniform sample of k rows without replacement, weight 1; the same rows for the same seed."""
-    picked = df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+    picked = df.orderBy(toss(seed, key), key).limit(k)
     return picked.withColumn("weight", F.lit(1.0))
 
 
@@ -149,7 +147,8 @@ def weighted_lookup(draws: DataFrame, weights: DataFrame, limit: int = GROUP_ROW
         F.struct(F.sum("priority").alias("total"), F.count("*").alias("rows"))
     ).scalar()
     total = ends["total"]
-    width = total / F.least(ends["rows"], F.lit(LOOKUP_BINS))
+    # As many intervals as rows; a total of zero has nothing to hit.
+    width = F.nullif(total, F.lit(0.0)) / ends["rows"]
     # Running sums of a slice and its neighbour may differ in the last digits.
     # Ranges are widened by that much, and the lowest index that reaches s wins.
     slack = total * F.lit(1e-12)
@@ -178,8 +177,7 @@ def importance(hits: DataFrame, total: Column, capacity: int, progress: float) -
 def uniform_draws(df: DataFrame, k: int, seed: int) -> DataFrame:
     """(draw, s): k values spread uniformly over the total priority, fixed by the seed."""
     total = df.agg(F.sum("priority")).scalar()
-    steps = 1 << 53
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(steps)) + 0.5) / float(steps)
+    u = (toss(seed, "id") + 0.5) / float(TOSSES)
     return df.sparkSession.range(k).select(F.col("id").alias("draw"), (u * total).alias("s"))
 
 

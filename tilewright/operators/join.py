@@ -10,6 +10,7 @@ path in which both sides are salted, so their pairs are made by many tasks.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.operators.assign import (
@@ -30,8 +31,11 @@ CELL_SLACK = 1.0001
 # A tile is 8 x 8 join cells.
 TILE_SHIFT = 3
 
-# Rows one join cell may hold before it is split over several tasks.
-HOT_ROWS = 50_000
+# Rows one join cell may hold before it is split over several tasks: a tile of full cells is one task's share.
+HOT_ROWS = JOIN_ROWS >> (2 * TILE_SHIFT)
+
+# Neighbours in one row of a grouped result.
+MAX_IDS = 10_000
 
 
 def join_cell(v: Column, side: float) -> Column:
@@ -51,35 +55,42 @@ def prepare(df: DataFrame, side: float) -> DataFrame:
     )
 
 
-def crowded_cells(sides: list[DataFrame], hot_rows: int) -> tuple[DataFrame | None, int]:
-    """Join cells with more than ``hot_rows`` rows, as hot(cx, cy, k) split k ways, and the row count.
+def crowded_cells(points: DataFrame, circles: DataFrame | None, hot_rows: int) -> tuple[DataFrame | None, int]:
+    """Join cells with more than ``hot_rows`` points or circles, as hot(cx, cy, kp, kc), and the row count.
 
-    Cell sizes come from rows picked by a hash of their id, about 100 per full
-    cell, so the check moves little and gives the same answer every time. It
-    steers only where pairs are made; every pair is made either way. The rows
+    ``kp`` and ``kc`` say how many ways the points and the circles of the cell are split; without
+    ``circles`` (a self-join) they are equal. Cell sizes come from rows picked by a hash of
+    their id, about 100 per full cell, so the check moves little and gives the same answer every
+    time. It steers only where pairs are made; every pair is made either way. The rows
     not picked form one group, whose size tells how large the table is.
     """
     step = max(1, hot_rows // 100)
     picked = F.pmod(F.xxhash64("id"), F.lit(step)) == 0
-    sizes = [
-        s.groupBy(F.when(picked, F.col("cx")).alias("cx"), F.when(picked, F.col("cy")).alias("cy"))
-        .agg(F.count("*").alias("n"))
-        for s in sides
-    ]
-    both = sizes[0] if len(sizes) == 1 else sizes[0].unionByName(sizes[1])
-    k = F.ceil(F.max("n") * step / F.lit(hot_rows))
-    listed = both.groupBy("cx", "cy").agg(k.alias("k"), F.max("n").alias("n"))
+
+    def sizes(side: DataFrame, of_points: bool) -> DataFrame:
+        counted = side.groupBy(F.when(picked, F.col("cx")).alias("cx"), F.when(picked, F.col("cy")).alias("cy"))
+        n = F.count("*")
+        return counted.agg((n if of_points else n * 0).alias("np"), (n * 0 if of_points and circles is not None else n).alias("nc"))
+
+    both = sizes(points, True) if circles is None else sizes(points, True).unionByName(sizes(circles, False))
+
+    def ways(n: str) -> Column:
+        return F.greatest(F.ceil(F.max(n) * step / F.lit(hot_rows)), F.lit(1)).cast("bigint")
+
+    listed = both.groupBy("cx", "cy").agg(
+        ways("np").alias("kp"), ways("nc").alias("kc"), F.greatest(F.max("np"), F.max("nc")).alias("n")
+    )
     rest = F.col("cx").isNull()
-    listed = listed.filter(rest | (F.col("k") > 1))
+    listed = listed.filter(rest | (F.col("kp") > 1) | (F.col("kc") > 1))
     rows = collect_small(listed)
     if rows is None:
-        hot = cut_lineage(listed.filter(~rest).select("cx", "cy", "k"))
+        hot = cut_lineage(listed.filter(~rest).select("cx", "cy", "kp", "kc"))
         return hot, (listed.filter(rest).first() or listed.first()).n
     total = sum(r.n for r in rows if r.cx is None)
-    cells = [(r.cx, r.cy, r.k) for r in rows if r.cx is not None]
+    cells = [(r.cx, r.cy, r.kp, r.kc) for r in rows if r.cx is not None]
     if not cells:
         return None, total
-    return local_table(sides[0].sparkSession, cells, "cx bigint, cy bigint, k bigint"), total
+    return local_table(points.sparkSession, cells, "cx bigint, cy bigint, kp bigint, kc bigint"), total
 
 
 def neighbour_rows(circles: DataFrame, mirrored: bool, clip: bool) -> DataFrame:
@@ -106,23 +117,17 @@ def neighbour_rows(circles: DataFrame, mirrored: bool, clip: bool) -> DataFrame:
 
 def match(circles: DataFrame, points: DataFrame, keys: list[str], radius: float, mirrored: bool) -> DataFrame:
     """Equi-join on cell keys, distance test, and both orders of each pair of a self-join."""
-    c = circles.select(*keys, *[F.col(n).alias(f"c_{n}") for n in ("id", "x", "y", "cx", "cy", "part")])
-    p = points.select(*keys, *[F.col(n).alias(f"p_{n}") for n in ("id", "x", "y", "part")])
+    c = circles.select(*keys, *[F.col(n).alias(f"c_{n}") for n in ("id", "x", "y", "cx", "cy")])
+    p = points.select(*keys, *[F.col(n).alias(f"p_{n}") for n in ("id", "x", "y")])
     dx, dy = F.col("c_x") - F.col("p_x"), F.col("c_y") - F.col("p_y")
     near = dx * dx + dy * dy <= F.lit(radius * radius)
     if not mirrored:
-        return c.join(p, keys).filter(near).select(
-            F.col("c_id").alias("circle_id"), F.col("p_id").alias("point_id"), F.col("p_part").alias("part")
-        )
+        return c.join(p, keys).filter(near).select(F.col("c_id").alias("circle_id"), F.col("p_id").alias("point_id"))
     other_cell = (F.col("gx") != F.col("c_cx")) | (F.col("gy") != F.col("c_cy"))
     found = c.join(p, keys).filter(near & (other_cell | (F.col("c_id") <= F.col("p_id"))))
 
     def pair(a, b):
-        return F.struct(
-            F.col(f"{a}_id").alias("circle_id"),
-            F.col(f"{b}_id").alias("point_id"),
-            F.col(f"{b}_part").alias("part"),
-        )
+        return F.struct(F.col(f"{a}_id").alias("circle_id"), F.col(f"{b}_id").alias("point_id"))
 
     both = F.when(F.col("c_id") == F.col("p_id"), F.array(pair("c", "p"))).otherwise(
         F.array(pair("c", "p"), pair("p", "c"))
@@ -130,14 +135,6 @@ def match(circles: DataFrame, points: DataFrame, keys: list[str], radius: float,
     return found.select(F.explode(both).alias("pair")).select("pair.*")
 
 
-def with_part(df: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Add ``k``, the split of the row's own cell (null when it is not crowded), and ``part`` within it."""
-    if hot is None:
-        return df.withColumn("part", F.lit(0))
-    part = F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("k")))
-    return df.join(hot, ["cx", "cy"], "left").withColumn("part", part.cast("int"))
-
-
 def tile_moves(
     circles: DataFrame, points: DataFrame, mirrored: bool, total: int, rows_per_task: int | None
 ) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -192,27 +189,26 @@ def layout_moves(
 def crowded_pairs(circles: DataFrame, points: DataFrame, hot: DataFrame, radius: float, mirrored: bool) -> DataFrame:
     """Pairs whose point lies in a crowded cell.
 
-    A cell split k ways is a k x k board: each point goes to one row of it, each
-    circle to one column, and every square is a separate join key.
+    Such a cell is a board of kp rows and kc columns: each point goes to one row and is copied
+    to all columns, each circle to one column and all rows, and every square is a separate join key.
     """
-    board = points.filter(F.col("k").isNotNull()).select(
-        "id", "x", "y", F.col("cx").alias("gx"), F.col("cy").alias("gy"), "part",
-        F.col("part").cast("bigint").alias("ps"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("cs"),
+    zero = F.lit(0).cast("bigint")
+    board = points.join(hot, ["cx", "cy"]).select(
+        "id", "x", "y", F.col("cx").alias("gx"), F.col("cy").alias("gy"),
+        F.pmod(F.xxhash64("id"), F.col("kp")).alias("ps"),
+        F.explode(F.sequence(zero, F.col("kc") - 1)).alias("cs"),
     )
-    targets = hot.select(F.col("cx").alias("gx"), F.col("cy").alias("gy"), F.col("k").alias("gk"))
-    listed = neighbour_rows(
-        circles.withColumns({"tx": F.lit(0).cast("bigint"), "ty": F.lit(0).cast("bigint")}), mirrored, clip=False
-    )
+    targets = hot.select(F.col("cx").alias("gx"), F.col("cy").alias("gy"), "kp", "kc")
+    listed = neighbour_rows(circles.withColumns({"tx": zero, "ty": zero}), mirrored, clip=False)
     probes = (
         listed.join(targets, ["gx", "gy"])
-        .withColumn("cs", F.pmod(F.xxhash64("id"), F.col("gk")))
-        .withColumn("ps", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("gk") - 1)))
+        .withColumn("cs", F.pmod(F.xxhash64("id"), F.col("kc")))
+        .withColumn("ps", F.explode(F.sequence(zero, F.col("kp") - 1)))
     )
     return match(probes, board, ["gx", "gy", "ps", "cs"], radius, mirrored)
 
 
-def pairs_with_part(
+def all_pairs(
     left: DataFrame, right: DataFrame, radius: float, layout: DataFrame | None, grid: Grid | None,
     boundary: str, hot_rows: int, rows_per_task: int | None,
 ) -> DataFrame:
@@ -220,11 +216,8 @@ def pairs_with_part(
     side = radius * CELL_SLACK if radius > 0 else 1.0
     points = prepare(right, side)
     circles = points if mirrored else prepare(left, side)
-    hot, total = crowded_cells([points] if mirrored else [points, circles], hot_rows)
-    points = with_part(points, hot)
-    circles = points if mirrored else with_part(circles, hot)
-
-    quiet = points if hot is None else points.filter(F.col("k").isNull())
+    hot, total = crowded_cells(points, None if mirrored else circles, hot_rows)
+    quiet = points if hot is None else points.join(hot, ["cx", "cy"], "left_anti").select(points.columns)
     if layout is None:
         sent, kept, keys = tile_moves(circles, quiet, mirrored, total, rows_per_task)
     else:
@@ -256,22 +249,24 @@ def distance_join(
     pair is tested once. With a ``layout`` (and its grid) rows meet in the
     layout's partitions; the pairs are the same.
     """
-    pairs = pairs_with_part(left, right, radius, layout, grid, boundary, hot_rows, rows_per_task)
-    return pairs.select("circle_id", "point_id")
+    return all_pairs(left, right, radius, layout, grid, boundary, hot_rows, rows_per_task)
 
 
 def distance_join_grouped(
     left: DataFrame, right: DataFrame, radius: float, layout: DataFrame | None = None,
     grid: Grid | None = None, boundary: str = "half_open", hot_rows: int = HOT_ROWS,
-    rows_per_task: int | None = None,
+    rows_per_task: int | None = None, max_ids: int = MAX_IDS,
 ) -> DataFrame:
-    """matches(circle_id, part, point_ids, n): the neighbours of each circle.
+    """matches(circle_id, part, point_ids, n): the neighbours of each circle in id order.
 
-    A circle is one row (part 0) unless it reaches a crowded cell. Neighbours
-    from crowded cells come in further parts, so no array grows past a few
-    ``hot_rows`` ids and the parts of a circle together are its whole set.
+    Each row holds ``max_ids`` neighbours, the last part the rest; ``n`` is the number of all
+    neighbours of the circle. The rows depend on the pairs alone, not on how they are found.
     """
-    pairs = pairs_with_part(left, right, radius, layout, grid, boundary, hot_rows, rows_per_task)
-    return pairs.groupBy("circle_id", "part").agg(
-        F.array_sort(F.collect_list("point_id")).alias("point_ids"), F.count("*").alias("n")
+    pairs = all_pairs(left, right, radius, layout, grid, boundary, hot_rows, rows_per_task)
+    own = W.partitionBy("circle_id")
+    place = F.row_number().over(own.orderBy("point_id")) - 1
+    placed = pairs.select("circle_id", "point_id", place.alias("place"), F.count("*").over(own).alias("n"))
+    part = F.floor(F.col("place") / max_ids).cast("int")
+    return placed.groupBy("circle_id", part.alias("part")).agg(
+        F.array_sort(F.collect_list("point_id")).alias("point_ids"), F.max("n").alias("n")
     )

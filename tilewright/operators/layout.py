@@ -91,11 +91,10 @@ def apply_cuts(layouts: DataFrame, cuts: DataFrame, grid: Grid) -> DataFrame:
 
 def replay_cuts(spark: SparkSession, grid: Grid, actions: Sequence[int], layout_id: int = 0) -> DataFrame:
     """Layout reached from the root by a cut sequence."""
-    parts = F.array(R.rect(0, grid.nx, 0, grid.ny))
-    nested = local_table(spark, [(layout_id,)], "layout_id int").withColumn("parts", parts)
-    for action in actions:
-        nested = nested.withColumn("parts", R.cut_parts(F.col("parts"), F.lit(action), grid.nx))
-    return flatten(nested, grid)
+    root = F.array(R.rect(0, grid.nx, 0, grid.ny)).cast(f"array<{R.RECT_DDL}>")
+    nested = local_table(spark, [(layout_id, list(actions))], "layout_id int, actions array<int>")
+    parts = F.aggregate("actions", root, lambda parts, a: R.cut_parts(parts, a, grid.nx).cast(f"array<{R.RECT_DDL}>"))
+    return flatten(nested.select(LAYOUT_KEY, parts.alias("parts")), grid)
 
 
 def cell_owner(layout: DataFrame) -> DataFrame:

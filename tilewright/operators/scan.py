@@ -19,6 +19,9 @@ from tilewright.session import GROUP_ROWS, pin
 
 SLICE = "_slice"
 
+# Slices a large group is cut into, and each of those again if it is too full. A power of two.
+WAYS = 256
+
 # How a running value over the rows of a slice joins what came before it.
 AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
@@ -40,47 +43,47 @@ def ordinal(order: str, df: DataFrame) -> Column:
 
 
 def crowded(df: DataFrame, keys: Sequence[str], at: Column, limit: int) -> DataFrame:
-    """Groups with more than ``limit`` rows and the range of their order column.
+    """Groups with more than ``limit`` rows and ``WAYS - 1`` quantiles of their order column.
 
-    They number at most rows / limit, so this table is small whatever the size of ``df``.
+    They number at most rows / limit.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .filter(F.col("_n") > limit)
-    )
+    bounds = F.percentile_approx(at, [k / WAYS for k in range(1, WAYS)], 50 * WAYS)
+    return df.groupBy(*keys).agg(F.count("*").alias("_n"), bounds.alias("_bounds")).filter(F.col("_n") > limit).drop("_n")
 
 
-def cut_up(df: DataFrame, large: DataFrame, keys: Sequence[str], at: Column, limit: int, name: str, how: str) -> DataFrame:
-    """Number equal-width slices within each group listed in ``large``; other groups are slice 0."""
-    k = F.ceil(F.col("_n") * 2 / F.lit(limit))
-    place = F.floor(F.try_divide(at - F.col("_lo"), F.col("_hi") - F.col("_lo")) * k)
-    number = F.when(F.col("_n").isNull(), 0).otherwise(F.coalesce(F.least(place, k - 1), F.lit(0)))
-    return (
-        df.join(F.broadcast(large), list(keys), how)
-        .withColumn(name, number.cast("bigint"))
-        .drop("_n", "_lo", "_hi")
+def cut_up(df: DataFrame, large: DataFrame, keys: Sequence[str], at: Column, name: str, how: str) -> DataFrame:
+    """Number the slices between the quantiles of each group in ``large``; other groups are slice 0."""
+    steps = F.array(*[F.lit(WAYS >> k) for k in range(1, WAYS.bit_length())])
+    place = F.aggregate(
+        steps, F.lit(0), lambda k, step: k + F.when(F.get("_bounds", k + step - 1) < at, step).otherwise(0)
     )
+    number = F.when(F.col("_bounds").isNull(), 0).otherwise(place)
+    return df.join(large, list(keys), how).withColumn(name, number.cast("bigint")).drop("_bounds")
+
 
+def oversized(df: DataFrame, by: Sequence[str], order: str, limit: int) -> tuple[DataFrame, DataFrame] | None:
+    """The groups that must be sliced and those of their slices that are still too full.
 
-def oversized(df: DataFrame, by: Sequence[str], order: str, limit: int) -> DataFrame | None:
-    """The groups that must be sliced, None when there are none. Runs one counting job."""
-    large = pin(crowded(df, by, ordinal(order, df), limit))
-    return None if large.isEmpty() else large
+    None when there are none. Runs one counting job, two if there are some.
+    """
+    at = ordinal(order, df)
+    large = pin(crowded(df, by, at, limit))
+    if large.isEmpty():
+        return None
+    outer = cut_up(df, large, by, at, "_outer", "inner")
+    return large, pin(crowded(outer, [*by, "_outer"], at, limit))
 
 
-def with_slices(df: DataFrame, by: Sequence[str], order: str, limit: int, large: DataFrame, how: str = "left") -> DataFrame:
-    """Add the slice number of each row: 0 in every group that is not in ``large``.
+def with_slices(df: DataFrame, by: Sequence[str], order: str, large: tuple[DataFrame, DataFrame], how: str = "left") -> DataFrame:
+    """Add the slice number of each row: 0 in every group that is not large.
 
-    A large group gets two slices per ``limit`` rows, of equal width in the
-    order column. A slice that is still too full, because the order column is
-    dense there, is cut up once more. ``how="inner"`` keeps large groups only.
+    A large group is cut at its quantiles, so slices hold about as many rows each, however
+    the order column is spaced. A slice that is still too full is cut up once
+    more. ``how="inner"`` keeps large groups only.
     """
     at = ordinal(order, df)
-    outer, inner = list(by), [*by, "_outer"]
-    dense = crowded(cut_up(df, large, outer, at, limit, "_outer", "inner"), inner, at, limit)
-    sliced = cut_up(df, large, outer, at, limit, "_outer", how)
-    sliced = cut_up(sliced, dense, inner, at, limit, "_inner", "left")
+    sliced = cut_up(df, large[0], list(by), at, "_outer", how)
+    sliced = cut_up(sliced, large[1], [*by, "_outer"], at, "_inner", "left")
     number = F.col("_outer") * F.lit(1 << 32) + F.col("_inner")
     return sliced.withColumn(SLICE, number).drop("_outer", "_inner")
 
@@ -124,7 +127,7 @@ def running(
     if large is None:
         return finish(here(base, keys), lambda kind, name: F.col(f"_run_{name}"))
 
-    parts = with_slices(base, keys, order, limit, large, how="inner")
+    parts = with_slices(base, keys, order, large, how="inner")
     sums = parts.groupBy(*keys, SLICE).agg(
         *[AGGREGATES[k](f"_in_{n}").alias(f"_sum_{n}") for n, (k, _) in inputs.items()]
     )
@@ -134,7 +137,7 @@ def running(
         *keys, SLICE,
         *[fold[k](f"_sum_{n}").over(earlier).alias(f"_pre_{n}") for n, (k, _) in inputs.items()],
     ).filter(F.col(SLICE) > 0)
-    sliced = here(with_slices(base, keys, order, limit, large), [*keys, SLICE])
+    sliced = here(with_slices(base, keys, order, large), [*keys, SLICE])
     return finish(
         sliced.join(carry, [*keys, SLICE], "left"),
         lambda kind, name: merge(kind, F.col(f"_pre_{name}"), F.col(f"_run_{name}")),
