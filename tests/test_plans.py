@@ -11,7 +11,7 @@ from tilewright.operators import layout as L
 from tilewright.operators.assign import partition_stats
 from tilewright.operators.medians import grouped_median, partition_medians
 from tilewright.plans.estimate import estimate_cost, partition_loads
-from tilewright.plans.evaluate import as_budgets, evaluate_layout
+from tilewright.plans.evaluate import as_budgets, evaluate_layout, search_and_evaluate
 from tilewright.plans.greedy import greedy_layout, greedy_steps, median_cut
 from tilewright.plans.search import search_layouts, summed_area
 from tilewright.sources.vectors import workload_table
@@ -165,6 +165,23 @@ def test_search_beats_or_meets_greedy(spark, points, grid, workload, how):
     assert best <= greedy * 1.02
 
 
+def test_search_costs_are_exact_whatever_the_histogram(spark, points, grid, workload):
+    for cells in (900, 50_000):
+        found = search_layouts(points, grid, workload, 3, beam=4, seed=1, histogram_cells=cells)
+        costs = {r.layout_id: r.cost for r in found.collect()}
+        exact = estimate_cost(points, found.drop("cost"), workload, grid).collect()
+        assert costs == {r.layout_id: r.cost for r in exact} and sorted(costs.values()) == [costs[k] for k in range(4)]
+
+
+def test_search_and_evaluate_keeps_the_fastest(points, grid, workload):
+    best, evals, trials = search_and_evaluate(points, grid, workload, finalists=2, trials=2, max_partitions=2, beam=2)
+    rows = sorted(evals.collect(), key=lambda r: r.seq)
+    done = [r for r in rows if r.status == "ok"]
+    assert [r.layout_id for r in rows] == [0, 1] and rows[0].status == "ok" and rows[0].reward == 1.0
+    assert {r.layout_id for r in best.collect()} == {min(done, key=lambda r: r.cost).layout_id}
+    assert {r.layout_id for r in trials.collect()} == {0, 1}
+
+
 def test_evaluation_runs_and_aborts(spark, points, grid, workload):
     layout = L.replay_cuts(spark, grid, [180, 209], 4)
     trials = evaluate_layout(points, layout, workload, grid, trials=2).collect()

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import ABORTED, METRES_PER_DEGREE, OK
+from tilewright.operators.evaluation import best_so_far, median_cost, workload_cost
 from tilewright.operators.grid import Grid
 from tilewright.operators.join import distance_join
 from tilewright.operators.layout import LAYOUT_KEY
+from tilewright.plans.search import search_layouts
 from tilewright.session import local_table
 
 # Budget of a query without a best time, and how far a run may exceed the best.
@@ -54,6 +56,33 @@ def evaluate_layout(
     return trial_table(points, rows)
 
 
+def search_and_evaluate(
+    points: DataFrame, grid: Grid, workload: DataFrame, finalists: int = 3, trials: int = 3, **search,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Search layouts, time the best ``finalists`` of them, keep the fastest.
+
+    Returns the kept layout, evals(seq, layout_id, cost, status, best_before, improved, reward) and
+    all trials. Each finalist runs against the times of the best one before it, so a slower
+    one is aborted early. ``search`` goes to ``search_layouts``. If every finalist is
+    aborted, the one with the lowest estimate is kept.
+    """
+    found = search_layouts(points, grid, workload, **search)
+    spark = points.sparkSession
+    budgets, best, rows, runs = None, (None, 0), [], None
+    ids = sorted(r[0] for r in found.select(LAYOUT_KEY).distinct().collect())
+    for seq, key in enumerate(ids[:finalists]):
+        layout = found.filter(F.col(LAYOUT_KEY) == key).drop("cost")
+        timed = evaluate_layout(points, layout, workload, grid, budgets, trials)
+        costs = median_cost(timed)
+        result = workload_cost(costs, workload).first()
+        rows.append((seq, key, result.cost, result.status))
+        runs = timed if runs is None else runs.unionByName(timed)
+        if result.status == OK and (best[0] is None or result.cost < best[0]):
+            best, budgets = (result.cost, key), as_budgets(costs)
+    evals = best_so_far(local_table(spark, rows, "seq int, layout_id int, cost double, status string"))
+    return found.filter(F.col(LAYOUT_KEY) == best[1]), evals, runs
+
+
 def trial_table(points: DataFrame, rows: list) -> DataFrame:
     ddl = "layout_id int, qid int, trial int, seconds double, status string"
     return local_table(points.sparkSession, rows, ddl)

@@ -17,11 +17,9 @@ from tilewright.functions.rectangles import RECT_DDL
 from tilewright.functions.scalar import METRES_PER_DEGREE
 from tilewright.operators.grid import Grid, all_cells, cell_counts, number
 from tilewright.operators.layout import LAYOUT_KEY, with_coordinates
+from tilewright.plans.estimate import estimate_cost
 from tilewright.session import cut_lineage, local_table
 
-# Cells of the histogram that loads are read from, unless the grid itself has more.
-HISTOGRAM_CELLS = 50_000
-
 STATE_DDL = (
     f"parent int, actions array<int>, parts array<{RECT_DDL}>, loads array<array<double>>, cost double"
 )
@@ -131,10 +129,10 @@ EXPLORE = """
 class Loads:
     """How loads of rectangles are read from the histogram of a finer grid."""
 
-    def __init__(self, points: DataFrame, grid: Grid, workload: DataFrame):
+    def __init__(self, points: DataFrame, grid: Grid, workload: DataFrame, histogram_cells: int):
         # Circle copies are counted in whole histogram cells, so finer cells
         # overstate small radii less.
-        self.factor = max(1, math.isqrt(HISTOGRAM_CELLS // grid.cells))
+        self.factor = max(1, math.isqrt(histogram_cells // grid.cells))
         self.fine = Grid(*grid.box, nx=grid.nx * self.factor, ny=grid.ny * self.factor)
         queries = workload.select("qid", "distance", "rate").orderBy("qid").collect()
         self.rates = [float(q.rate) for q in queries]
@@ -197,8 +195,13 @@ class Loads:
 def search_layouts(
     points: DataFrame, grid: Grid, workload: DataFrame, max_partitions: int = 8, beam: int = 8,
     eps_random: float = 0.1, eps_shift: float = 0.2, shift_grids: int = 1, how: str = "max", seed: int = 0,
+    histogram_cells: int = 50_000,
 ) -> DataFrame:
-    """The ``beam`` layouts of lowest estimated cost, best first as layout_id 0, 1, ...
+    """The ``beam`` layouts found, by ascending cost as layout_id 0, 1, ...
+
+    ``cost`` is the exact estimate of ``estimate_cost``. The search itself reads loads from a
+    histogram of about ``histogram_cells`` cells, the grid's own if it has more: it counts
+    circle copies in whole cells, so more cells rank small radii better.
 
     Layouts grow from the root by one cut per round, and every legal cut of every
     kept layout is scored. Until the last cut, layouts are ranked by what they
@@ -207,7 +210,7 @@ def search_layouts(
     from round to round is the kept layouts only.
     """
     spark = points.sparkSession
-    loads = Loads(points, grid, workload)
+    loads = Loads(points, grid, workload, histogram_cells)
     shifts = [s for s in range(-shift_grids, shift_grids + 1) if s != 0]
     explore = EXPLORE
     for name, value in {
@@ -234,11 +237,17 @@ def search_layouts(
         state = local_table(spark, [(k, *row) for k, row in enumerate(kept)], STATE_DDL)
         found = spark.sql(query, state=state, sums=loads.sums).collect()
         kept = [tuple(r.asDict(recursive=True).values()) for r in found]
-    kept.sort(key=lambda row: (row[3] or 0.0, row[0]))
-    rects = [
-        (k, pid, p["c0"], p["c1"], p["r0"], p["r1"], row[3])
-        for k, row in enumerate(kept)
-        for pid, p in enumerate(row[1])
-    ]
     ddl = f"{LAYOUT_KEY} int, pid int, c0 int, c1 int, r0 int, r1 int, cost double"
-    return with_coordinates(local_table(spark, rects, ddl), grid)
+
+    def layouts(rows: list[tuple], costs: list[float | None]) -> DataFrame:
+        rects = [
+            (k, pid, p["c0"], p["c1"], p["r0"], p["r1"], cost)
+            for k, (row, cost) in enumerate(zip(rows, costs))
+            for pid, p in enumerate(row[1])
+        ]
+        return with_coordinates(local_table(spark, rects, ddl), grid)
+
+    found = layouts(kept, [None] * len(kept)).drop("cost")
+    exact = {r[LAYOUT_KEY]: float(r.cost) for r in estimate_cost(points, found, workload, grid, how).collect()}
+    order = sorted(range(len(kept)), key=lambda k: (exact[k], kept[k][0]))
+    return layouts([kept[k] for k in order], [exact[k] for k in order])
