@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that a model of all toxicity labels does not call toxic."""
     labels = on_workers(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, F.lit(True))
-    scored = toxicity_scores(docs.select(F.struct("*").alias("row"), "text"), model)
-    return scored.where("predicted = 0").select("row.*")
+    scored = toxicity_scores(docs, model, into=("_toxic_score", "_toxic"))
+    return scored.where("_toxic = 0").select(docs.columns)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
 from pathlib import Path
 
 import numpy as np
@@ -54,6 +54,21 @@ class Cache(dict):
         return value
 
 
+HELD: dict = {}
+
+
+def held(kind: Hashable, make: Callable):
+    """``make()`` of the kind used last in this worker process, kept over its tasks.
+
+    A worker outlives its tasks, and memos of several operators would add up in it; asking
+    for another kind lets go of the one before.
+    """
+    if kind not in HELD:
+        HELD.clear()
+        HELD[kind] = make()
+    return HELD[kind]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):

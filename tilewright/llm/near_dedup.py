@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import Cache, chained, columns_of, mixed, whole_text, word_hashes
+from tilewright.llm.common import Cache, chained, columns_of, held, mixed, whole_text, word_hashes
 from tilewright.llm.components import components
 from tilewright.session import shuffle_slots, write_table
 
@@ -53,7 +52,7 @@ class Sketcher:
     """Shingle sets and their sketches."""
 
     def __init__(self, s: Settings):
-        self.s, self.memo = s, Cache(xxhash.xxh3_64_intdigest)
+        self.s, self.memo = s, Cache(xxhash.xxh3_64_intdigest, limit=150_000)
         rng = np.random.default_rng(20_240)
         self.a = (rng.integers(0, 1 << 32, s.hashes, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
         self.b = rng.integers(0, 1 << 32, s.hashes, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -103,9 +102,8 @@ class Sketcher:
         return (1 - differ / self.s.hashes - chance) / (1 - chance)
 
 
-@lru_cache(maxsize=2)
 def sketcher(s: Settings) -> Sketcher:
-    return Sketcher(s)
+    return held(("near", s), lambda: Sketcher(s))
 
 
 def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:

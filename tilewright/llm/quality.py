@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tilewright.llm.common import Cache, whole_text, word_hashes
+from tilewright.llm.common import Cache, held, word_hashes
 from tilewright.llm.toxicity import labelled_sample
 
 #: Statistics of a text, each scaled to 0..1.
@@ -98,7 +97,7 @@ class Features:
 
     def __init__(self, s: Settings):
         self.s = s
-        self.words = Cache(lambda w: xxhash.xxh3_64_intdigest(w) % s.buckets, limit=200_000)
+        self.words = Cache(lambda w: xxhash.xxh3_64_intdigest(w) % s.buckets, limit=100_000)
 
     def of(self, data: bytes) -> np.ndarray:
         s, words = self.s, data.split()
@@ -113,9 +112,8 @@ class Features:
         return x
 
 
-@lru_cache(maxsize=2)
 def features(s: Settings) -> Features:
-    return Features(s)
+    return held(("quality", s), lambda: Features(s))
 
 
 @dataclass
@@ -201,16 +199,16 @@ def quality_scores(docs: DataFrame, machine: Machine, settings: Settings | None
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = features(s)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(place)
             scores = np.zeros(batch.num_rows)
             for at in range(0, batch.num_rows, 256):
-                part = [make.of(v.as_buffer().to_pybytes()) for v in texts[at : at + 256]]
+                part = [make.of(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in texts[at : at + 256]]
                 scores[at : at + 256] = machine.scores(np.array(part, np.float32).reshape(-1, s.width))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))],
-                names=[*batch.schema.names[:-1], "score", "predicted"],
+                [*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))],
+                names=[*batch.schema.names, "score", "predicted"],
             )
 
     kept = docs.drop("score", "predicted")
-    rows = kept.withColumn("_bytes", whole_text(text_col).cast("binary"))
-    return rows.mapInArrow(score, StructType(kept.schema.fields).add("score", "double").add("predicted", "integer"))
+    place = kept.columns.index(text_col)
+    return kept.mapInArrow(score, StructType(list(kept.schema.fields)).add("score", "double").add("predicted", "integer"))

@@ -9,11 +9,10 @@ needs encoding once per worker. Other tokenizers encode whole texts.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 
-from tilewright.llm.common import Cache
+from tilewright.llm.common import Cache, held
 
 #: The tokenizer of the packing and counting queries.
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -82,7 +81,6 @@ class Ids:
         return pieces, np.fromiter(map(len, map(self.pieces.__getitem__, pieces)), np.int64, len(pieces)) // 4
 
 
-@lru_cache(maxsize=2)
 def ids_of(name: str) -> Ids:
     """One encoder per worker process, so its memo lasts over tasks."""
-    return Ids(name)
+    return held(("ids", name), lambda: Ids(name))

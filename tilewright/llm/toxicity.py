@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tilewright.llm.common import Cache, chained, columns_of, mixed, whole_text
+from tilewright.llm.common import Cache, chained, held, mixed, whole_text
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 STEMS = (4, 5)  # letters of the stem features
@@ -49,7 +48,7 @@ class Features:
 
     def __init__(self, bits: int):
         self.shift = np.uint64(64 - bits)
-        self.words = Cache(self._word, limit=200_000)
+        self.words = Cache(self._word, limit=100_000)
 
     def _word(self, word: bytes) -> tuple[int, ...]:
         """Hashes of the word and of its stems."""
@@ -67,9 +66,8 @@ class Features:
         return np.unique((np.concatenate(parts) >> self.shift).astype(np.uint32))
 
 
-@lru_cache(maxsize=2)
 def features(bits: int) -> Features:
-    return Features(bits)
+    return held(("toxicity", bits), lambda: Features(bits))
 
 
 def sigmoid(x: float) -> float:
@@ -78,8 +76,10 @@ def sigmoid(x: float) -> float:
 
 def fit_ftrl(rows: list[np.ndarray], labels: list[int], s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and weights that are not zero, and the bias, after ``epochs`` passes in the given order."""
-    held = np.bincount(np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.int64), minlength=1 << s.bits) >= s.seen
-    rows = [at[held[at]] for at in rows]
+    texts = np.zeros(1 << s.bits, np.int32)
+    for at in rows:
+        texts[at] += 1  # indices of one text are distinct
+    rows = [at[texts[at] >= s.seen] for at in rows]
     z, n = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
     bias_z = bias_n = 0.0
 
@@ -144,11 +144,14 @@ def fit_toxicity(
     return np.frombuffer(model.at, np.uint32), np.frombuffer(model.w), model.bias
 
 
-def toxicity_scores(docs: DataFrame, model: tuple, settings: Settings | None = None, text_col: str = "text") -> DataFrame:
+def toxicity_scores(
+    docs: DataFrame, model: tuple, settings: Settings | None = None, text_col: str = "text",
+    into: tuple[str, str] = ("score", "predicted"),
+) -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
     Null text counts as empty; a text without words gets the score of the bias alone.
-    Columns of ``docs`` named score or predicted are replaced.
+    ``into`` names the two columns; columns of ``docs`` with these names are replaced.
     """
     bits = (settings or Settings()).bits
     at, w, bias = model
@@ -157,13 +160,13 @@ def toxicity_scores(docs: DataFrame, model: tuple, settings: Settings | None = N
         make, weights = features(bits), np.zeros(1 << bits)
         weights[at] = w
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            scores = [sigmoid(float(weights[make.of(x.as_buffer().to_pybytes())].sum()) + bias) for x in texts]
+            texts = (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(place))
+            scores = [sigmoid(float(weights[make.of(x)].sum()) + bias) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())],
-                names=[*batch.schema.names[:-1], "score", "predicted"],
+                [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())],
+                names=[*batch.schema.names, *into],
             )
 
-    kept = docs.drop("score", "predicted")
-    rows = kept.withColumn("_bytes", whole_text(text_col).cast("binary"))
-    return rows.mapInArrow(score, StructType(kept.schema.fields).add("score", "double").add("predicted", "integer"))
+    kept = docs.drop(*into)
+    place = kept.columns.index(text_col)
+    return kept.mapInArrow(score, StructType(list(kept.schema.fields)).add(into[0], "double").add(into[1], "integer"))
