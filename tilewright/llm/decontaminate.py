@@ -84,14 +84,16 @@ def contamination(
 
     texts = docs.select(
         F.col(id_col).alias("doc_id"),
-        benchmark_words(whole_text(text_col)).alias("words"),
+        whole_text(text_col).alias("text"),
         (F.struct("*") if row else F.lit(None).cast("int")).alias("whole"),
     )
-    seen = texts.select(F.explode("words").alias("word")).join(vocabulary, "word", "left_semi")
+    words = benchmark_words(F.col("text"))
+    seen = texts.select(F.explode(words).alias("word")).join(vocabulary, "word", "left_semi")
     rarity = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     prefix = write_table(prefixes(items, rarity), "prefixes")
 
-    spots = texts.withColumn("n", F.size("words")).select("doc_id", "n", F.posexplode("words").alias("at", "word"))
+    split = texts.select("doc_id", words.alias("words")).withColumn("n", F.size("words"))
+    spots = split.select("doc_id", "n", F.posexplode("words").alias("at", "word"))
     diagonal = F.col("at") - F.col("place")
     fits = (diagonal + F.col("last") >= 0) & (diagonal + F.col("first") + F.col("span") <= F.col("n"))
     spots = spots.join(prefix, "word").where(fits).select("doc_id", "item", diagonal.alias("diagonal")).distinct()
@@ -102,9 +104,10 @@ def contamination(
 
     joined = texts.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     none = F.filter(F.col("candidates"), lambda c: F.lit(False))
-    # The words are bound once by the outer lambda, so that no inner step splits the text again.
+    # Texts move whole and are split behind the join. The words are bound once by the outer
+    # lambda, so that no inner step splits the text again.
     judged = F.transform(
-        F.array("words"),
+        F.array(words),
         lambda w: F.struct(F.size(w).alias("n"), hits_of(w, F.coalesce("candidates", none)).alias("hits")),
     )[0]
     judged = joined.select("doc_id", "whole", judged.alias("j"))
