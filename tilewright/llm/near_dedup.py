@@ -281,7 +281,8 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
             yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.binary())], names=["node", "component", "size", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), whole_text(text_col).cast("binary").alias("text"))
-    found = texts.join(nodes, "node").select("node", "component", "size", "high", "low", "text")
+    # Hashing the narrow side spares sorting texts, and the plan is the same at every size.
+    found = texts.join(nodes.hint("shuffle_hash"), "node").select("node", "component", "size", "high", "low", "text")
     found = found.mapInArrow(full_sets, "node long, component long, size long, set binary")
     tiles = tiled(found, "component", "size", "node", s.block).select("component", "i", "j", "own", "node", "set")
     tiles = tiles.repartition(slots, "component", "i", "j").sortWithinPartitions("component", "i", "j")
