@@ -30,6 +30,12 @@ def test_ids_equal_the_library(library):
         assert np.frombuffer(ids.of((text or "").encode()), "<u4").tolist() == library(text)
 
 
+def test_ids_of_letters_that_the_normaliser_takes_apart(library):
+    ids = Ids("word_bpe_49k.json")
+    for text in ["TAKSİ.", "İ,", "İ'll,", "\u0958.", "क\u095f! ", "\ufb2a-", "a\ufb4e;", "\u0f43...", "ΟΔΟΣ.", "e\u0301.", "Ǆ,"]:
+        assert np.frombuffer(ids.of(text.encode()), "<u4").tolist() == library(text)
+
+
 def test_other_tokenizers_encode_whole_texts():
     ids = Ids("byte_bpe_50k.json")
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))

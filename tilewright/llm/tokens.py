@@ -48,6 +48,7 @@ class Ids:
             model = Tokenizer.from_file(path)
             model.no_truncation()
             model.no_padding()
+            self.model = model
             self.plain = lambda text: model.encode(text, add_special_tokens=False).ids
             self.many = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.cores = Cache(self._core)
@@ -60,12 +61,16 @@ class Ids:
         return self.encode(core.decode())
 
     def _piece(self, piece: bytes) -> bytes:
-        """A lower-case core of letters and the marks behind it are tokens apart."""
+        """A lower-case core of letters and the marks behind it are tokens apart.
+
+        Letters are judged as the normaliser leaves them: it turns some into a letter and a
+        combining mark, which the pre-tokenizer joins with the marks behind.
+        """
         core = piece.rstrip(b"!#$%&()*+,-./:;=?@[]^_{|}~")
         marks = piece[len(core) :]
         if core.isalpha():  # ASCII letters
             return self.cores[core.lower()] + (self.cores[marks] if marks else b"")
-        if marks and core.decode().isalpha():
+        if marks and core and self.model.normalizer.normalize_str(core.decode()).isalpha():
             return self.cores[core] + self.cores[marks]
         return self.cores[piece]
 
