@@ -1,6 +1,8 @@
 """Token counts and packing against the tokenizer itself."""
 
 import random
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -55,6 +57,32 @@ def test_counts_of_all_prefixes(library, table):
     assert got == {1: [len(library("a bc"[:k])) for k in range(5)], 2: [0]}
 
 
+LONG = [
+    "東京都" * 40, "İstanbul'da!" * 9, "abcdefgh" * 20, "a1b22c333+/" * 12, "don't'll've'rex're" * 6, "!?;''s'" * 14, "가각한글" * 10,
+    "ação" * 20, "x<|endoftext|>yz!<|startoftext|>!<|endof" * 3, "नमस्ते" * 14, "a\u0323\u0301\u20dd" * 20, "word\u3000\u00a0\x85b" * 12,
+    "'re" * 3 + "'re\u20dd" * 20, "\u0958।" * 40, "aaaaaaaaaaaab" * 10, "TheQuickBrownFox" * 8,
+]
+
+
+def test_counts_of_prefixes_of_long_pieces(library):
+    rng = random.Random(5)
+    marks = "aAeéİ한ㅏ가'strevlm!?.1٣²\u0301\u0323\u0958東\u00a0"
+    ids = Ids("word_bpe_49k.json")
+    for text in LONG + [text for one in LONG for text in [unicodedata.normalize("NFD", one)]] + ["".join(rng.choices(marks, k=120)) for _ in range(60)]:
+        p, true = PrefixCounts(text, ids), [len(library(text[:k])) for k in range(len(text) + 1)]
+        assert p.all().tolist() == true and [p.count(k) for k in range(len(text) + 1)] == true
+        for budget in (0, 1, 5, 20, true[-1] - 1):
+            assert p.fitting(budget) == max(k for k, n in enumerate(true) if n <= budget)
+
+
+@pytest.mark.parametrize("text", ["".join(chr(0x4E00 + k * 7919 % 20000) for k in range(350_000)), "QUJDREVG" * 131_072, "xyz" * 350_000])
+def test_budget_of_a_megabyte_without_white_space(library, text):
+    began = time.monotonic()
+    fit = PrefixCounts(text, Ids("word_bpe_49k.json")).fitting(2048)
+    assert time.monotonic() - began < 60
+    assert len(library(text[:fit])) <= 2048 and all(len(library(text[: fit + k])) > 2048 for k in range(1, 60))
+
+
 def test_token_counts(library, table):
     got = token_counts(table(TEXTS, "doc_id", "text")).collect()
     assert len(got) == len(TEXTS)

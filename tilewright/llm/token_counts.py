@@ -1,9 +1,11 @@
 """Exact token counts of whole texts and of their prefixes.
 
 The count of a prefix is a sum over whole pieces plus the count of a beginning of one
-piece. Both are tables: ``PrefixCounts`` holds the running sum at the end of every piece,
-and the worker's memo holds the counts of beginnings of pieces, shared by all texts. So a
-truncation or budget question reads two table entries instead of encoding again.
+piece. ``PrefixCounts`` holds the running sum at the end of every piece. Beginnings of short
+pieces come from the worker's memo, shared by all texts; those of long ones from
+``prefix_table``, one pass of dynamic programming over the piece. So a truncation or budget
+question reads tables instead of encoding again. Tokenizers other than the default have
+one piece, the whole text, and encode each beginning that is asked for.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from tilewright.llm.tokens import DEFAULT_TOKENIZER, Ids, ids_of
 
 PIECE = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Longer pieces, in code points, have a table; the memo holds the beginnings of shorter ones.
+SHORT = 64
+
 
 class PrefixCounts:
     """Token count of every prefix of one text, by code points."""
@@ -35,8 +40,20 @@ class PrefixCounts:
         self.starts = np.array([a for a, _ in spans], np.int64)
         self.ends = np.array([b for _, b in spans], np.int64)
         self.totals = np.cumsum(lengths)
+        self.tables: dict[int, np.ndarray] = {}  # of long pieces that were asked about
+
+    def _long(self, piece: int) -> bool:
+        return self.ids.by_piece and self.ends[piece] - self.starts[piece] > SHORT
+
+    def _table(self, piece: int) -> np.ndarray:
+        if piece not in self.tables:
+            counts = self.ids.table().counts(self.text[self.starts[piece] : self.ends[piece]])
+            self.tables[piece] = np.fromiter(counts, np.int64, int(self.ends[piece] - self.starts[piece]))
+        return self.tables[piece]
 
     def _begun(self, piece: int, length: int) -> int:
+        if self._long(piece):
+            return int(self._table(piece)[length - 1])
         part = self.text[self.starts[piece] : self.starts[piece] + length]
         return len(self.ids.cores[part.encode()] if self.ids.by_piece else self.ids.encode(part)) // 4
 
@@ -68,6 +85,8 @@ class PrefixCounts:
             return len(self.text)
         base = int(self.totals[whole - 1]) if whole else 0
         start = int(self.starts[whole])
+        if self._long(whole):
+            return start + self.ids.table().fitting(self.text[start : self.ends[whole]], budget - base)
         for length in range(int(self.ends[whole]) - start - 1, 0, -1):
             if base + self._begun(whole, length) <= budget:
                 return start + length

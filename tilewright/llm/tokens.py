@@ -13,6 +13,7 @@ import os
 import numpy as np
 
 from tilewright.llm.common import Cache, held
+from tilewright.llm.prefix_table import PrefixTable
 
 #: The tokenizer of the packing and counting queries.
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +52,7 @@ class Ids:
             self.model = model
             self.plain = lambda text: model.encode(text, add_special_tokens=False).ids
             self.many = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.path, self.prefixes = path, None
         self.cores = Cache(self._core)
         self.pieces = Cache(self._piece)
 
@@ -74,6 +76,12 @@ class Ids:
             return self.cores[core] + self.cores[marks]
         return self.cores[piece]
 
+    def table(self) -> PrefixTable:
+        """Counts of all beginnings of a piece, made when a worker first needs them."""
+        if self.prefixes is None:
+            self.prefixes = PrefixTable(self.path, self.model)
+        return self.prefixes
+
     def of(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text."""
         if not self.by_piece:
