@@ -194,6 +194,22 @@ def test_extraction_of_a_host_of_copies_keeps_the_article(table):
     assert {r.text for r in extract_main(table(pages, "page_id", "url", "html"), Settings()).collect()} == {"A\n\nB"}
 
 
+def test_attributes_are_read_by_name():
+    page = parse("""<a href="/t?id=reply-7" data-id='share' title="x class=ad" ID=one id=two CLASS='a b' role>x</a>""")
+    assert page.attributes[1] == {"id": "one", "class": "a b", "role": ""}
+
+
+def test_names_do_not_take_article_text(table):
+    page = """<body class="has-sidebar"><div class="no-sidebar wrap"><div class="article-header"><h1>Headline %d</h1></div>
+<p>See <a href="/thread?id=reply-7" data-id="share" class="share">the thread</a> on %d now.</p></div><div class="sidebar">Side</div></body>"""
+    pages = [(k, "http://many.example/", page % (k, k)) for k in range(8)] + [(50, "http://one.example/", page % (50, 50))]
+    pages += [(60, "http://two.example/", "<div class='sidebar'><p>All there is</p></div>")]
+    text = {r.page_id: r.text for r in extract_main(table(pages, "page_id", "url", "html")).collect()}
+    for k in [*range(8), 50]:
+        assert text[k] == f"Headline {k}\n\nSee the thread on {k} now."
+    assert text[60] == "All there is"
+
+
 @pytest.mark.parametrize("text", ["<p", "<!-- x", "<a href='x>y", "</p>a</div>b", "<script>x", "<b><i>x</b>y</i>", "<>", "< p>", "<p a='1' b=\"2>", "<" * 3000, "<p '" * 2000])
 def test_broken_pages_do_not_break_the_reader(text):
     page = parse(text)

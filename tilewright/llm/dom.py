@@ -32,7 +32,17 @@ TAG = re.compile(
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
+KEPT = frozenset(("class", "id", "role"))
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Class, id and role of a start tag; of an attribute given twice the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        if (name := name.lower()) in KEPT:
+            found.setdefault(name, "".join(values))
+    return found
 
 
 @dataclass
@@ -98,7 +108,7 @@ def parse(text: str) -> Page:
                 elif open_tag in SCOPES:
                     break
         attrs = m["attrs"] or m["attrs2"] or ""
-        found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)} if "=" in attrs else {}
+        found = attributes(attrs) if "=" in attrs else {}
         element = page.add(tag, stack[-1], found)
         if tag in VOID:
             continue

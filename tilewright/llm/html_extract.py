@@ -9,8 +9,9 @@ importance 1 - log(k) / log(m). Importance is carried up from children to parent
 branch without any important element is removed from each page.
 
 Elements that stand for menus, page headers, footers, side columns, notices, adverts,
-forms, scripts and comments by their tag, role or class have no importance on any page,
-so pages of small hosts lose them as well. If the page marks an article, only that counts.
+forms, scripts and comments by their tag or role have no importance on any page,
+so pages of small hosts lose them as well. A class or id that names such a thing lowers the
+importance of a block; without a tree the block goes unless it holds most of the page. If the page marks an article, only that counts.
 
 Statistics are counts per host, element and value, added up inside the tasks before they are
 shuffled; a host with a third of all pages costs one row per element, value and task.
@@ -43,6 +44,10 @@ NOISE_NAMES = frozenset(
     "modal newsletter subscribe signup login share sharing social related recommended comment comments disqus reply "
     "replies respond widget toolbar pagination pager".split()
 )
+#: Words of a class or id that turn its other words into something the element has or belongs to.
+STATE_WORDS = frozenset("has have no with without is not".split())
+HEAD_NAMES = frozenset("header masthead banner".split())
+CONTENT_NAMES = frozenset("article post entry content story main title".split())
 COMMENT_NAMES = frozenset("comment comments disqus reply replies respond".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Inside an article these stay or go with the element around them.
@@ -56,13 +61,18 @@ class Settings:
     threshold: float = 0.2  # an element below this has no importance
     damping: float = 0.9  # how far children speak for their parent
     least_pages: int = 5  # hosts with fewer pages have no style tree
+    named: float = 0.3  # what a noise name leaves of an importance
 
 
-def names(page: Page, k: int) -> set[str]:
-    """Words of an element's class and id."""
-    a = page.attributes[k]
-    text = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class') or ''} {a.get('id') or ''}")
-    return set(re.split(r"[^a-z0-9]+", text.lower()))
+def noise_words(page: Page, k: int) -> set[str]:
+    """Noise words of an element's class and id, each name of them read by itself."""
+    a, out = page.attributes[k], set()
+    for name in f"{a.get('class') or ''} {a.get('id') or ''}".split():
+        words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if STATE_WORDS.isdisjoint(words):
+            found = NOISE_NAMES.intersection(words)
+            out |= found if CONTENT_NAMES.isdisjoint(words) else found - HEAD_NAMES
+    return out
 
 
 def paths(page: Page) -> list[int]:
@@ -145,14 +155,26 @@ def main_blocks(page: Page, tree: dict[int, tuple[float, float]] | None, s: Sett
         holds[k] |= page.tags[k] in ARTICLE_TAGS
         if holds[k] and page.parents[k] >= 0:
             holds[page.parents[k]] = True
-    noise = [False] * n
+    noise, named = [False] * n, [False] * n
     for k in range(n):
         tag, a = page.tags[k], page.attributes[k]
         own = tag in NOISE_TAGS or (tag == "header" and not inside[k]) or (a.get("role") or "").lower() in NOISE_ROLES
-        if not own and (a.get("class") or a.get("id")) and tag not in ("html", "body", "main"):
-            named = names(page, k)
-            own = bool(named & COMMENT_NAMES) if tag == "article" else not holds[k] and bool(named & NOISE_NAMES)
+        words = set() if own or tag in INLINE or tag in ("html", "body", "main") else noise_words(page, k)
+        if tag == "article":
+            own = own or bool(words & COMMENT_NAMES)
         noise[k] = own or (page.parents[k] >= 0 and noise[page.parents[k]])
+        named[k] = bool(words) and tag != "article" and not holds[k]
+
+    size = [0] * n
+    for k, _, text in page.runs:
+        if not noise[k]:
+            size[k] += len(text.strip())
+    for k in range(n - 1, 0, -1):
+        size[page.parents[k]] += size[k]
+    minor = [named[k] and 2 * size[k] <= size[0] for k in range(n)]  # a name does not take the most of a page
+    for k in range(1, n):
+        named[k] = named[k] or named[page.parents[k]]
+        minor[k] = minor[k] or minor[page.parents[k]]
 
     def blocks(weak: list[bool]) -> list[str]:
         parts: dict[tuple[bool, int], list[str]] = {}
@@ -163,14 +185,13 @@ def main_blocks(page: Page, tree: dict[int, tuple[float, float]] | None, s: Sett
         only = any(article for article, _ in rows)
         return [t for article, t in rows if article or not only]
 
-    plain = [False] * n
     if not tree:
-        return blocks(plain)
+        return blocks(minor)
     best, weak = importance(page, tree, s), [False] * n
     for k in range(1, n):
-        follows = page.tags[k] in INLINE or (inside[k] and page.tags[k] in PROSE_TAGS)
-        weak[k] = weak[page.parents[k]] or (not follows and best[k] < s.threshold)
-    return blocks(weak) or blocks(plain)
+        follows = page.tags[k] in INLINE or (inside[k] and page.tags[k] in PROSE_TAGS and not named[k])
+        weak[k] = weak[page.parents[k]] or (not follows and best[k] * (s.named if named[k] else 1.0) < s.threshold)
+    return blocks(weak) or blocks(minor)
 
 
 def style_trees(pages: DataFrame, s: Settings) -> DataFrame:
