@@ -210,6 +210,18 @@ def test_names_do_not_take_article_text(table):
     assert text[60] == "All there is"
 
 
+def test_importances_decide_beside_and_inside_an_article(table):
+    beside = "<body><article><p>Teaser %d</article><div><p>The long text of page %d</div><div>Same strip</div></body>"
+    within = "<body><article><h1>Title %d</h1><p>Text %d<p>Read our paper every day<ul><li>Home<li>News</ul></article></body>"
+    plain = "<body><div><p>Only %d<p>Read our paper every day</div><div class=c><p>Reply %d</div></body>"
+    pages = [(100 * h + k, f"http://h{h}.example/", t % (k, k)) for h, t in enumerate((beside, within, plain)) for k in range(8)]
+    text = {r.page_id: r.text for r in extract_main(table(pages, "page_id", "url", "html")).collect()}
+    for k in range(8):
+        assert text[k] == f"Teaser {k}\n\nThe long text of page {k}"
+        assert text[100 + k] == f"Title {k}\n\nText {k}"
+        assert text[200 + k] == f"Only {k}\n\nReply {k}"
+
+
 @pytest.mark.parametrize("text", ["<p", "<!-- x", "<a href='x>y", "</p>a</div>b", "<script>x", "<b><i>x</b>y</i>", "<>", "< p>", "<p a='1' b=\"2>", "<" * 3000, "<p '" * 2000])
 def test_broken_pages_do_not_break_the_reader(text):
     page = parse(text)

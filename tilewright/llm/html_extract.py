@@ -10,8 +10,11 @@ branch without any important element is removed from each page.
 
 Elements that stand for menus, page headers, footers, side columns, notices, adverts,
 forms, scripts and comments by their tag or role have no importance on any page,
-so pages of small hosts lose them as well. A class or id that names such a thing lowers the
-importance of a block; without a tree the block goes unless it holds most of the page. If the page marks an article, only that counts.
+so pages of small hosts lose them as well. Prose (a paragraph, heading, list, quotation, or a
+table of an article) is judged by its whole text: what most pages hold at that path goes.
+A class or id that names such a thing lowers the
+importance of a block; without a tree the block goes unless it holds most of the page. If the page marks an article, only that counts on hosts without a tree; with one, what is
+outside the article has half its importance.
 
 Statistics are counts per host, element and value, added up inside the tasks before they are
 shuffled; a host with a third of all pages costs one row per element, value and task.
@@ -50,7 +53,8 @@ HEAD_NAMES = frozenset("header masthead banner".split())
 CONTENT_NAMES = frozenset("article post entry content story main title".split())
 COMMENT_NAMES = frozenset("comment comments disqus reply replies respond".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
-#: Inside an article these stay or go with the element around them.
+#: Prose is judged by its own text; prose inside prose stays or goes with it. Tables are prose inside an article only.
+TABLE_TAGS = frozenset("table tbody thead tr td th".split())
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption hr".split())
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -62,6 +66,7 @@ class Settings:
     damping: float = 0.9  # how far children speak for their parent
     least_pages: int = 5  # hosts with fewer pages have no style tree
     named: float = 0.3  # what a noise name leaves of an importance
+    outside: float = 0.5  # what is left of it outside the article, if the page marks one
 
 
 def noise_words(page: Page, k: int) -> set[str]:
@@ -98,8 +103,47 @@ def owners(page: Page) -> list[int]:
     return out
 
 
+def inside_article(page: Page) -> list[bool]:
+    """Whether each element is or lies in an article."""
+    out: list[bool] = []
+    for tag, parent in zip(page.tags, page.parents):
+        out.append(tag in ARTICLE_TAGS or (parent >= 0 and out[parent]))
+    return out
+
+
+def units(page: Page, inside: list[bool]) -> list[int]:
+    """For each element the outermost prose element it is part of, or -1; other blocks begin anew."""
+    out: list[int] = []
+    for k, (tag, parent) in enumerate(zip(page.tags, page.parents)):
+        above = out[parent] if parent >= 0 else -1
+        if tag in INLINE:
+            out.append(above)
+        elif tag in PROSE_TAGS and (inside[k] or tag not in TABLE_TAGS):
+            out.append(above if above >= 0 else k)
+        else:
+            out.append(-1)
+    return out
+
+
+def unit_values(page: Page, unit: list[int]) -> dict[int, int]:
+    """Value of the whole text of each unit that has one."""
+    texts: dict[int, list[str]] = {}
+    for k, block, text in page.runs:
+        if unit[k] >= 0 and text and not text.isspace():
+            texts.setdefault(unit[k], []).append(text)
+    return {k: signed(tidy("\n".join(rows))) for k, rows in texts.items()}
+
+
+def unit_key(path: int, value: int) -> int:
+    """One number for a text at a path."""
+    return signed(f"{path} {value}")
+
+
 def page_values(page: Page) -> Iterator[tuple[int, int, int]]:
-    """(element path, kind, value): its style as kind 0, its content as kind 1, once per page and path."""
+    """(element path, kind, value): its style as kind 0, its content as kind 1, once per page and path.
+
+    Each text of a unit is kind 2, once per page, path and text.
+    """
     path, owner = paths(page), owners(page)
     children: dict[int, list[str]] = {}
     content: dict[int, list[str]] = {}
@@ -118,6 +162,8 @@ def page_values(page: Page) -> Iterator[tuple[int, int, int]]:
         yield p, 0, signed(" ".join(row))
     for p, texts in content.items():
         yield p, 1, signed("\n".join(texts))
+    held = unit_values(page, units(page, inside_article(page)))
+    yield from {(path[k], 2, value) for k, value in held.items()}
 
 
 def importance(page: Page, tree: dict[int, tuple[float, float]], s: Settings) -> list[float]:
@@ -148,9 +194,7 @@ def importance(page: Page, tree: dict[int, tuple[float, float]], s: Settings) ->
 def main_blocks(page: Page, tree: dict[int, tuple[float, float]] | None, s: Settings) -> list[str]:
     """Text blocks of the page that belong to its article."""
     n = len(page.tags)
-    inside, holds = [False] * n, [False] * n
-    for k in range(n):
-        inside[k] = page.tags[k] in ARTICLE_TAGS or (page.parents[k] >= 0 and inside[page.parents[k]])
+    inside, holds = inside_article(page), [False] * n
     for k in range(n - 1, -1, -1):
         holds[k] |= page.tags[k] in ARTICLE_TAGS
         if holds[k] and page.parents[k] >= 0:
@@ -176,27 +220,35 @@ def main_blocks(page: Page, tree: dict[int, tuple[float, float]] | None, s: Sett
         named[k] = named[k] or named[page.parents[k]]
         minor[k] = minor[k] or minor[page.parents[k]]
 
-    def blocks(weak: list[bool]) -> list[str]:
+    def blocks(weak: list[bool], marked: bool) -> list[str]:
         parts: dict[tuple[bool, int], list[str]] = {}
         for k, block, text in page.runs:
             if not noise[k] and not weak[k]:
                 parts.setdefault((inside[k], block), []).append(text)
         rows = [(article, t) for (article, _), texts in parts.items() if (t := tidy("".join(texts)))]
-        only = any(article for article, _ in rows)
+        only = marked and any(article for article, _ in rows)
         return [t for article, t in rows if article or not only]
 
     if not tree:
-        return blocks(minor)
+        return blocks(minor, True)
     best, weak = importance(page, tree, s), [False] * n
+    marked = any(inside[k] and not noise[k] and not text.isspace() for k, _, text in page.runs)
+    path, unit = paths(page), units(page, inside)
+    values = unit_values(page, unit)
     for k in range(1, n):
-        follows = page.tags[k] in INLINE or (inside[k] and page.tags[k] in PROSE_TAGS and not named[k])
-        weak[k] = weak[page.parents[k]] or (not follows and best[k] * (s.named if named[k] else 1.0) < s.threshold)
-    return blocks(weak) or blocks(minor)
+        prior = (s.named if named[k] else 1.0) * (s.outside if marked and not inside[k] and not holds[k] else 1.0)
+        own = best[k]
+        if unit[k] == k:
+            own = tree.get(unit_key(path[k], values[k]), (1.0, 1.0))[1] if k in values else 1.0
+        follows = page.tags[k] in INLINE or (unit[k] >= 0 and unit[k] != k and not named[k])
+        weak[k] = weak[page.parents[k]] or (not follows and own * prior < s.threshold)
+    return blocks(weak, False) or blocks(minor, True)
 
 
 def style_trees(pages: DataFrame, s: Settings) -> DataFrame:
     """One row per host with at least ``least_pages`` pages: host and its tree, a list of
     (path, style importance, content importance). ``pages`` has the columns host and html.
+    Texts of units that several pages hold are rows of their ``unit_key``.
 
     Elements on a single page say nothing and are left out; they count fully.
     """
@@ -205,7 +257,7 @@ def style_trees(pages: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             host, rows = [], []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = list(page_values(parse(text)))
+                own = [(unit_key(p, v), 2, 0) if kind == 2 else (p, kind, v) for p, kind, v in page_values(parse(text))]
                 host += [h] * len(own)
                 rows += own
             path, kind, value = zip(*rows) if rows else ((), (), ())
@@ -222,8 +274,13 @@ def style_trees(pages: DataFrame, s: Settings) -> DataFrame:
     host_pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= s.least_pages)
     size = F.log("m")
     style = F.when(F.col("kind") == 0, (F.log("pages") - F.col("weight") / F.col("pages")) / size)
-    content = F.when(F.col("kind") == 1, 1 - F.col("weight") / F.col("pages") / size)
-    elements = spread.where("pages > 1").join(host_pages, "host").groupBy("host", "path")
+    shared = F.when(F.col("kind") == 1, F.col("weight") / F.col("pages")).when(F.col("kind") == 2, F.log("pages"))
+    content = 1 - shared / size
+    style = F.coalesce(style, F.when(F.col("kind") == 2, 0.0))
+    # A text above this importance stays whatever lowers it, or goes whatever its importance.
+    bound = s.threshold / min(p for p in (1.0, s.named, s.outside, s.named * s.outside) if p >= s.threshold)
+    decides = (F.col("kind") < 2) | (1 - F.log("pages") / size < bound + 1e-9)
+    elements = spread.where("pages > 1").join(host_pages, "host").where(decides).groupBy("host", "path")
     elements = elements.agg(F.max(style).alias("style"), F.coalesce(F.max(content), F.lit(1.0)).alias("content"))
     known = elements.where("style is not null")
     return known.groupBy("host").agg(F.collect_list(F.struct("path", "style", "content")).alias("tree"))
