@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Callable, Hashable
 from pathlib import Path
 
@@ -30,26 +31,34 @@ def remainder(divisor: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def weight(value) -> int:
+    """Bytes that a key or value of a memo takes, roughly."""
+    return sys.getsizeof(value) + (sum(map(sys.getsizeof, value)) if isinstance(value, tuple) else 0)
+
+
 class Cache(dict):
-    """Bounded memo of ``work(key)``: two generations of at most ``limit`` entries each.
+    """Bounded memo of ``work(key)``: two generations that take ``limit`` bytes at most.
 
     A key of the older generation moves on when it is used, so frequent keys stay.
     Keys longer than ``longest`` are worked out each time and never held.
     """
 
-    def __init__(self, work: Callable, limit: int = 300_000, longest: int = 64):
+    def __init__(self, work: Callable, limit: int = 32 << 20, longest: int = 64):
         super().__init__()
-        self.work, self.limit, self.longest, self.old = work, limit, longest, {}
+        self.work, self.half, self.longest = work, limit // 2, longest
+        self.old, self.taken = {}, 0
 
     def __missing__(self, key):
-        value = self.old.get(key)
+        value = self.old.pop(key, None)
         if value is None:
             value = self.work(key)
             if len(key) > self.longest:
                 return value
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        self.taken += weight(key) + weight(value) + 100  # an entry of the dictionary
+        if self.taken > self.half:
+            self.old = self.copy()
             self.clear()
+            self.taken = 0
         self[key] = value
         return value
 

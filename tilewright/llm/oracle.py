@@ -102,10 +102,78 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, place, array_to_string(w[place:place + 12], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS place FROM d WHERE len(w) >= 13)
+), least AS (
+  SELECT doc_id, place, min(doc_id) OVER (PARTITION BY gram) AS first_id FROM grams
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(place, place + 13)) AS place FROM least WHERE first_id < doc_id
+), marks AS (
+  SELECT doc_id, count(*) AS n, list(place) AS places FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS words
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d) ANTI JOIN gone USING (doc_id, place)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: crc32 of a word: its bytes one after the other, each by eight steps of the polynomial.
+OP12 = r"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS n FROM range(256) t(i)
+  UNION ALL
+  SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM steps WHERE n < 8
+), crc AS (
+  SELECT list(c ORDER BY byte) AS t FROM steps WHERE n = 8
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+), one AS (
+  SELECT doc_id, unnest(w) AS word FROM d
+), words AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(hex(encode(word))) // 2 + 1),
+           lambda k: ('0x' || substr(hex(encode(word)), 2 * k - 1, 2))::BIGINT)),
+         lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM one UNION SELECT word FROM i), crc
+), source AS (
+  SELECT bucket, count(*) AS n FROM one JOIN words USING (word) GROUP BY bucket
+), goal AS (
+  SELECT bucket, count(*) AS n FROM i JOIN words USING (word) GROUP BY bucket
+), gains AS (
+  SELECT b.bucket, floor(1000 * ln((coalesce(g.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM one) + 10000)
+                         / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM i) + 10000))))::BIGINT AS gain
+  FROM range(10000) b(bucket) LEFT JOIN source s USING (bucket) LEFT JOIN goal g USING (bucket)
+), weights AS (
+  SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM one JOIN words USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scores AS (
+  SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)
+), ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scores WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scores LEFT JOIN ranks USING (doc_id)
+"""
+
 ORACLE = {
     "op1_exact_dedup": OP1,
     "op4_perspective_rotation": OP4,
     "op7_minhash_near_dedup": OP7,
     "op8_warc_normaliser": OP8,
     "op10_prefix_decontamination": OP10,
+    "op11_recompression": OP11,
+    "op12_importance_resampling": OP12,
 }

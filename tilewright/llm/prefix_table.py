@@ -110,8 +110,8 @@ class PrefixTable:
         self.tails = {raw[k:] for raw, _ in self.spelled.values() for k in range(len(raw))}
         self.normal = model.normalizer.normalize_str
         self.split = model.pre_tokenizer.pre_tokenize_str
-        self.normals = Cache(self.normal, limit=50_000)
-        self.pairs = Cache(self._pair, limit=300_000)
+        self.normals = Cache(self.normal, limit=8 << 20)
+        self.pairs = Cache(self._pair)
 
     def merged(self, raw: bytes, ending: bool) -> list[int]:
         """Ids of a few bytes, by the merges themselves."""

@@ -97,7 +97,7 @@ class Features:
 
     def __init__(self, s: Settings):
         self.s = s
-        self.words = Cache(lambda w: xxhash.xxh3_64_intdigest(w) % s.buckets, limit=100_000)
+        self.words = Cache(lambda w: xxhash.xxh3_64_intdigest(w) % s.buckets)
 
     def of(self, data: bytes) -> np.ndarray:
         s, words = self.s, data.split()

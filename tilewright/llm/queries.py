@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm.alignment import aligned
 from tilewright.llm.chat import rotate
 from tilewright.llm.common import on_workers, remainder
 from tilewright.llm.decontaminate import contamination
 from tilewright.llm.exact_dedup import exact_groups
 from tilewright.llm.html_extract import extract_main
+from tilewright.llm.importance import resampled
 from tilewright.llm.near_dedup import Settings as NearSettings
 from tilewright.llm.near_dedup import near_duplicates
 from tilewright.llm.packing import pack
 from tilewright.llm.quality import fit_quality, quality_scores
+from tilewright.llm.substring_dedup import long_repeats
 from tilewright.llm.token_counts import token_counts
 from tilewright.llm.toxicity import fit_toxicity, toxicity_scores
 from tilewright.llm.warc import archived
@@ -78,6 +81,18 @@ def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_repeats(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,5 +106,8 @@ QUERIES = {
         op8_warc_normaliser,
         op9_site_style_tree,
         op10_prefix_decontamination,
+        op11_recompression,
+        op12_importance_resampling,
+        op13_tokenizer_alignment,
     )
 }
