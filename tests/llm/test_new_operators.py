@@ -1,6 +1,7 @@
 """Long repeats, importance resampling and tokenizer alignment against plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -71,17 +72,29 @@ def noisy_texts(seed, count, letters):
 def test_equal_windows_choose_equal_names(letters, rounds):
     p = Parser(Settings(rounds=rounds))
     chosen = {}
-    for words in noisy_texts(len(letters), 150, letters):
-        words, hashes = p.words(" ".join(words).encode())
-        for k, name in enumerate(p.choices(words, hashes).tolist()):
-            assert chosen.setdefault(tuple(words[k : k + 13]), name) == name
+    texts = noisy_texts(len(letters), 150, letters)
+    for part in (texts[:1], texts[1:40], texts[40:], [[], *texts[3:5], []]):
+        found = p.choices(p.words([" \n".join(t).encode() + b"\t" * (len(t) % 3) for t in part]))
+        assert [len(x) for x in found] == [max(0, len(t) - 12) for t in part]
+        for words, names in zip(part, found):
+            for k, name in enumerate(names.tolist()):
+                assert chosen.setdefault(tuple(words[k : k + 13]), name) == name
 
 
 def test_few_names_for_long_texts():
     rng = random.Random(1)
     p = Parser(Settings())
-    words, hashes = p.words(" ".join(f"w{rng.randrange(5000)}" for _ in range(20_000)).encode())
-    assert len(np.unique(p.choices(words, hashes))) < 0.25 * len(words)
+    names = p.choices(p.words([" ".join(f"w{rng.randrange(5000)}" for _ in range(20_000)).encode()]))[0]
+    assert len(np.unique(names)) < 0.25 * len(names)
+
+
+def test_fingerprints_tell_words_apart():
+    p = Parser(Settings())
+    words = sorted({w for n in range(1, 4) for w in map("".join, itertools.product("ab\x00é", repeat=n))} | {"a" * n for n in range(1, 6000, 7)})
+    for table in (0, 1):
+        found = p.words([" ".join(words).encode()], table).hashes
+        assert len(set(found.tolist())) == len(words)
+        assert (p.words([w.encode() for w in words], table).hashes == found).all()
 
 
 def test_repeats_of_random_texts(table):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 from collections.abc import Callable, Hashable
@@ -104,6 +105,17 @@ def chained(hashes: np.ndarray, gaps: tuple[int, ...]) -> np.ndarray:
     return mixed(out)
 
 
+def settled(table: DataFrame) -> DataFrame:
+    """``table``, a written one, after Spark was asked to drop what its making left on disk.
+
+    Shuffle files live until the driver's garbage is collected, by default every half hour; once a
+    table is written nobody reads them any more.
+    """
+    gc.collect()
+    table.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
 def columns_of(df: DataFrame, *own: str) -> None:
     """Raise when ``df`` lacks one of the columns an operator reads."""
     missing = [c for c in own if c not in df.columns]

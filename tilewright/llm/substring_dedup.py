@@ -12,8 +12,8 @@ words occurs, the symbols whose context lies inside it are the same.
    long run of one word, is named as a whole.
 2. Spark counts the chosen names over all documents. Names that two different texts share
    reveal possible repeats; equal windows always share theirs.
-3. Windows of shared names are verified: 128-bit digests of their words are grouped, and each
-   gets the smallest id it occurs under.
+3. Windows of shared names are verified: those of one name are grouped by a second, independent
+   fingerprint of their words, and each gets the smallest id it occurs under.
 4. Words covered by a window that a smaller id has as well are removed.
 
 Texts with the same words are one text, whose smallest id stands for it. Names and digests
@@ -32,11 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import Cache, columns_of, held, mixed, whole_text, word_hashes
+from tilewright.llm.common import columns_of, held, mixed, settled, whole_text
 from tilewright.session import SMALL_ROWS, write_table
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
+#: ASCII white space, which divides words, and a seed for what stands between two texts.
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+BETWEEN = np.uint64(0xA0761D6478BD642F)
+
+#: Bytes of text that are parsed at a time, at least if there are so many.
+PORTION = 1 << 19
+
 #: Bits of a choice: rounds, then bytes, then the name.
 ROUND_SHIFT, BYTES_SHIFT = np.uint64(60), np.uint64(54)
 
@@ -45,6 +53,7 @@ ROUND_SHIFT, BYTES_SHIFT = np.uint64(60), np.uint64(54)
 class Settings:
     window: int = 13
     rounds: int = 1
+    margin: int = 0  # words beyond the context of a symbol that join its name
 
 
 def folded(parts: list[np.ndarray]) -> np.ndarray:
@@ -108,61 +117,112 @@ def pair_round(s: Symbols, salt: int) -> tuple[Symbols, np.ndarray]:
     return Symbols(name, s.start[first], s.stop[last], *context), is_pair
 
 
+@dataclass
+class Words:
+    """Words of several texts: fingerprints, bytes of each, and the first word of every text; the last entry is the end."""
+
+    hashes: np.ndarray
+    sizes: np.ndarray
+    first: np.ndarray
+
+    @property
+    def text(self) -> np.ndarray:
+        """Text of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
 class Parser:
-    """Words, windows and symbols of texts."""
+    """Words, windows and symbols of texts, many texts at a time."""
 
     def __init__(self, s: Settings):
-        self.s, self.memo = s, Cache(xxhash.xxh3_64_intdigest)
-
-    def words(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
-        words = text.split()  # at ASCII white space
-        return words, word_hashes(words, self.memo)
-
-    def windows(self, hashes: np.ndarray, seed: int) -> np.ndarray:
-        """Fingerprint of the words of every window."""
-        n = len(hashes) - self.s.window + 1
-        if n <= 0:
-            return hashes[:0]
-        if seed:
-            hashes = mixed(hashes ^ np.uint64(seed))
-        return folded([hashes[k : k + n] for k in range(self.s.window)])
-
-    def choices(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
-        """The name every window chooses."""
-        w, n = self.s.window, len(hashes)
-        if n < w:
-            return hashes[:0]
+        self.s = s
+        rng = np.random.default_rng(20_240)
+        self.letters = [rng.integers(0, 1 << 64, 256, dtype=np.uint64) for _ in range(2)]
+        self.places = mixed(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+
+    def words(self, texts: list[bytes], table: int = 0) -> Words:
+        """Words between ASCII white space. The fingerprints of the two tables are independent."""
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        blank = BLANK[data]
+        edges = np.flatnonzero(np.diff(blank, prepend=True))
+        start, size = edges[0::2], edges[1::2] - edges[0::2]
+        text_start = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        first = np.searchsorted(start, text_start)
+        if not len(start):
+            return Words(np.zeros(0, np.uint64), size, first)
+        before = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(before, size)
+        factors = self.places if size.max() <= 4096 else mixed(np.arange(1, size.max() + 1, dtype=np.uint64)) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            values = self.letters[table][data[~blank]] * factors[place]
+            sums = np.add.reduceat(values, before) + size.astype(np.uint64)
+        return Words(mixed(sums), size, first)
+
+    def windows(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows that begin ``at`` these words."""
+        return folded([hashes[at + k] for k in range(self.s.window)])
+
+    def choices(self, words: Words) -> list[np.ndarray]:
+        """Per text, the name every window chooses."""
+        w, texts = self.s.window, len(words.first) - 1
+        # One sequence; between texts stands a symbol that occurs nowhere else, so nothing across it is inside a window.
+        n = len(words.hashes) + texts + 1
+        own = np.arange(len(words.hashes)) + words.text + 1
+        hashes, size = mixed(np.arange(n, dtype=np.uint64) ^ BETWEEN), np.zeros(n + 1, np.int64)
+        hashes[own], size[own + 1] = words.hashes, words.sizes
+        size = np.cumsum(size)
         at = np.arange(n)
         now = Symbols(hashes, at, at + 1, at, at + 1)
-        size = np.cumsum(np.r_[0, np.fromiter(map(len, words), np.int64, n)])
-        best = np.zeros(n - w + 1, np.uint64)
+        best = np.zeros(max(n - w + 1, 0), np.uint64)
         for k in range(1, self.s.rounds + 1):
             now, is_pair = pair_round(run_round(now), k)
-            inner = np.flatnonzero(is_pair & (now.low >= 0) & (now.high <= n) & (now.high - now.low <= w))
+            low, high = now.low - self.s.margin, now.high + self.s.margin
+            inner = np.flatnonzero(is_pair & (low >= 0) & (high <= n) & (high - low <= w))
             if not len(inner):
                 continue
-            low, high = now.low[inner], now.high[inner]
-            # The words around a symbol that fix it belong to every window that holds it, so they join its name.
-            name = folded([now.name[inner], hashes[low], hashes[high - 1], (high - low).astype(np.uint64)])
+            low, high = low[inner], high[inner]
+            # The words at both ends of a symbol belong to every window that chooses it, so they join its name.
+            ends = [hashes[e] for d in range(self.s.margin + 1) for e in (low + d, high - 1 - d)]
+            name = folded([now.name[inner], *ends, (high - low).astype(np.uint64)])
             long = np.minimum(size[now.stop[inner]] - size[now.start[inner]], 63).astype(np.uint64)
             code = np.uint64(k) << ROUND_SHIFT | long << BYTES_SHIFT | name >> np.uint64(10)
             order = np.argsort(code, kind="stable")  # of symbols that reach one window the greatest comes last
             most = w - int((high - low).min()) + 1  # windows that hold the least context
-            code, low, first = code[order], low[order], high[order] - w
+            code, low, begin = code[order], low[order], high[order] - w
             for d in range(most):
-                at = first + d  # the windows from ``first`` to ``low`` hold the context
-                fits = np.flatnonzero((at <= low) & (at >= 0) & (at < len(best)))
-                here = np.zeros(len(best), np.uint64)
-                here[at[fits]] = code[fits]
-                np.maximum(best, here, out=best)
-        whole = self.windows(hashes, 0) >> np.uint64(10)
-        return np.where(best > 0, best, whole).view(np.int64)
+                here = begin + d  # the windows from ``begin`` to ``low`` hold the context
+                fits = (here <= low) & (here >= 0) & (here < len(best))
+                reached = np.zeros(len(best), np.uint64)
+                reached[here[fits]] = code[fits]
+                np.maximum(best, reached, out=best)
+        starts = words.first[:-1] + np.arange(1, texts + 1)
+        counts = np.maximum(np.diff(words.first) - w + 1, 0)
+        out = [best[a : a + c] for a, c in zip(starts.tolist(), counts.tolist())]
+        every = np.concatenate(out) if out else best
+        none = np.flatnonzero(every == 0)
+        if len(none):
+            place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+            every[none] = self.windows(hashes, place[none]) >> np.uint64(10)
+        return np.split(every.view(np.int64), np.cumsum(counts)[:-1])
 
 
 def parser(s: Settings) -> Parser:
     return held(("recompression", s), lambda: Parser(s))
 
 
+def portions(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a batch, in portions of about ``PORTION`` bytes."""
+    now, size = [], 0
+    for value in column:
+        now.append(value.as_buffer().to_pybytes())
+        size += len(now[-1])
+        if size >= PORTION:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
 def joined_sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -174,47 +234,54 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def parsed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, code, n_words, digest of the words (two longs), sha of all words, distinct choices."""
+    """row, doc_id, code, n_words, digest of the words (two longs), sha of all words, distinct choices."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(s)
         for batch in batches:
-            n, digests, shas, names = [], [], [], []
-            for value in batch.column(2):
-                words, hashes = p.words(value.as_buffer().to_pybytes())
-                joined = b" ".join(words)
-                n.append(len(words))
-                digests.append(xxhash.xxh3_128_digest(joined))
-                shas.append(hashlib.sha256(joined).hexdigest())
-                names.append(np.unique(p.choices(words, hashes)).astype(np.int64))
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
-                 pa.array(shas, pa.string()), pa.array(names, pa.list_(pa.int64()))],
-                names=["doc_id", "code", "n_words", "high", "low", "sha", "names"],
-            )
+            done = 0
+            for texts in portions(batch.column(2)):
+                words = p.words(texts)
+                names = [np.unique(x) for x in p.choices(words)]
+                joined = [b" ".join(text.split()) for text in texts]
+                halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, joined)), "<i8").reshape(-1, 2)
+                shas = [hashlib.sha256(x).hexdigest() for x in joined]
+                rows = batch.slice(done, len(texts))
+                done += len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(1), pa.array(np.diff(words.first), pa.int64()), pa.array(halves[:, 0]),
+                     pa.array(halves[:, 1]), pa.array(shas, pa.string()), pa.array(names, pa.list_(pa.int64())), rows.column(3)],
+                    names=["doc_id", "code", "n_words", "high", "low", "sha", "names", "row"],
+                )
 
-    return docs.mapInArrow(make, "doc_id long, code long, n_words long, high long, low long, sha string, names array<long>")
+    columns = "doc_id long, code long, n_words long, high long, low long, sha string, names array<long>, row long"
+    return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(make, columns)
 
 
 def candidate_windows(texts: DataFrame, s: Settings) -> DataFrame:
-    """The text again, with the windows whose choice is among the shared names: places and digests."""
+    """One row per text: the windows whose choice is among the shared names, with names, fingerprints and places."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(s)
         for batch in batches:
-            for k in range(batch.num_rows):  # a row at a time: digests are longer than texts
-                words, hashes = p.words(batch.column(2)[k].as_buffer().to_pybytes())
-                shared = batch.column(3)[k].values.to_numpy()
-                at = np.flatnonzero(np.isin(p.choices(words, hashes), shared))
-                one, two = (p.windows(hashes, seed)[at].view(np.int64) for seed in (0, 0x5DEECE66D))
+            done = 0
+            for part in portions(batch.column(2)):
+                words, again = p.words(part), p.words(part, 1)
+                rows = batch.slice(done, len(part))
+                done += len(part)
+                at, names = [], []
+                for shared, own in zip(rows.column(3), p.choices(words)):
+                    at.append(np.flatnonzero(np.isin(own, shared.values.to_numpy())))
+                    names.append(own[at[-1]])
+                place = np.concatenate([x + a for x, a in zip(at, words.first.tolist())])
+                found = np.concatenate(names), p.windows(again.hashes, place).view(np.int64), np.concatenate(at)
+                offsets = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in zip(found, (pa.int64(), pa.int64(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(k, 1) for c in range(3)), pa.array([at], pa.list_(pa.int32())),
-                     pa.array([one], pa.list_(pa.int64())), pa.array([two], pa.list_(pa.int64()))],
-                    names=["doc_id", "code", "text", "at", "one", "two"],
-                )
+                    [rows.column(0), rows.column(1), *lists], names=["doc_id", "code", "names", "prints", "at"]
+                )
 
-    return texts.mapInArrow(make, "doc_id long, code long, text binary, at array<int>, one array<long>, two array<long>")
+    return texts.mapInArrow(make, "doc_id long, code long, names array<long>, prints array<long>, at array<int>")
 
 
 def without_repeats(texts: DataFrame, s: Settings) -> DataFrame:
@@ -251,32 +318,41 @@ def long_repeats(docs: DataFrame, settings: Settings | None = None, id_col: str
     """
     s = settings or Settings()
     columns_of(docs, id_col, text_col)
-    made = write_table(parsed(coded(docs, id_col, text_col), s), "parsed")
+    made = settled(write_table(parsed(coded(docs, id_col, text_col), s), "parsed"))
     able = made.where((F.col("n_words") >= s.window) & F.col("doc_id").isNotNull())
-    texts = able.groupBy("high", "low").agg(F.min(F.struct("doc_id", "code")).alias("lead"))
-    texts = write_table(texts.select("high", "low", F.col("lead.doc_id").alias("first_id"), "lead.code"), "texts")
-
-    names = able.select("low", F.explode("names").alias("name"))
-    shared = names.groupBy("name").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("name")
-    found = names.join(shared, "name").distinct().groupBy("low").agg(F.collect_list("name").alias("names"))  # those of one text
-    found = write_table(found.join(texts, "low").select(F.col("first_id").alias("doc_id"), "code", "names"), "shared")
-
-    ids = found.select("doc_id", "code")
-    ids = F.broadcast(ids) if found.count() <= SMALL_ROWS else ids
-    rows = coded(docs, id_col, text_col)
-    near = rows.join(ids, ["doc_id", "code"], "left_semi").dropDuplicates(["doc_id", "code"])
-    near = near.join(found, ["doc_id", "code"]).select("doc_id", "code", "text", "names")
-    windows = write_table(candidate_windows(near, s), "windows")
-
-    each = windows.select("doc_id", "code", F.explode(F.arrays_zip("at", "one", "two")).alias("w")).select("doc_id", "code", "w.*")
-    least = each.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    repeated = each.join(least, ["one", "two"]).where("least < doc_id")
-    places = write_table(repeated.groupBy("doc_id", "code").agg(F.collect_list("at").alias("places")), "places")
-    cut = windows.select("doc_id", "code", "text").join(places, ["doc_id", "code"]).select("doc_id", "code", "text", "places")
-    cut = write_table(without_repeats(cut, s), "cut")
-
-    known = texts.join(cut.withColumnRenamed("doc_id", "first_id"), ["first_id", "code"], "left").drop("code")
-    rows = made.drop("names", "code").join(known, ["high", "low"], "left")
+    texts = able.groupBy("high", "low").agg(F.min(F.struct("doc_id", "row", "code")).alias("lead"))
+    texts = write_table(texts.select("high", "low", F.col("lead.doc_id").alias("first_id"), "lead.row", "lead.code"), "texts")
+    leads = texts.select("row", F.col("first_id").alias("doc_id"), "code")
+
+    names = able.select("row", F.explode("names").alias("name"))
+    shared = names.groupBy("name").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("name")
+    shared = settled(write_table(shared, "shared"))
+    hits = settled(write_table(names.join(shared, "name").join(leads.select("row", "doc_id"), "row"), "hits"))
+    # Names that only copies of one text share, or only rows of one id, are out again.
+    least = hits.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name")
+    found = hits.join(least, "name").groupBy("row").agg(F.collect_list("name").alias("names"))  # those of one text
+    found = settled(write_table(found.join(leads, "row").select("doc_id", "code", "names"), "found"))
+
+    def with_text(table: DataFrame) -> DataFrame:
+        """Rows of ``table`` with their text. A narrow list of them goes first if it is short, so that only
+        these texts move; rows repeated under one id collapse before they do."""
+        rows = coded(docs, id_col, text_col)
+        if table.count() <= SMALL_ROWS:
+            rows = rows.join(F.broadcast(table.select("doc_id", "code")), ["doc_id", "code"], "left_semi")
+        return rows.dropDuplicates(["doc_id", "code"]).join(table, ["doc_id", "code"])
+
+    near = with_text(found).select("doc_id", "code", "text", "names")
+    windows = settled(write_table(candidate_windows(near, s), "windows"))
+    each = windows.select("doc_id", "code", F.explode(F.arrays_zip("names", "prints", "at")).alias("w")).select("doc_id", "code", "w.*")
+    least = each.groupBy("names", "prints").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    least = settled(write_table(least.where("least < most").select("names", "prints", "least"), "least"))
+    repeated = each.join(least, ["names", "prints"]).where("least < doc_id")
+    places = settled(write_table(repeated.groupBy("doc_id", "code").agg(F.collect_list("at").alias("places")), "places"))
+    cut = with_text(places).select("doc_id", "code", "text", "places")
+    cut = settled(write_table(without_repeats(cut, s), "cut"))
+
+    known = texts.join(cut.withColumnRenamed("doc_id", "first_id"), ["first_id", "code"], "left").drop("code", "row")
+    rows = made.drop("names", "code", "row").join(known, ["high", "low"], "left")
     copy = F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))
     named = F.col("doc_id").isNotNull()
     return rows.select(
