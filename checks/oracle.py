@@ -6,7 +6,7 @@ range joins and plain windows, none of the methods the library uses.
 
 from __future__ import annotations
 
-from checks.queries import ABORT_PRICE, DISTANCES, EVEN_CUTS, FINE, FINE_CUTS, MIXED_CUTS, RADIUS, RATES
+from checks.queries import ABORT_PRICE, DISTANCES, EVEN_CUTS, FINE, FINE_CUTS, MIXED_CUTS, RADII, RADIUS, RATES
 
 N = 30
 
@@ -251,6 +251,18 @@ def batch_rows(name: str) -> str:
     return f"SELECT '{name}' AS source, idx, round(priority, 6) AS priority, round(weight, 6) AS weight FROM drawn_{name}"
 
 
+def cut_of(layout: str, layout_id: int) -> str:
+    """Median cut of the fullest partition of a layout that ``layout`` names."""
+    return f"""SELECT {layout_id} AS layout_id, pid, CASE WHEN tall THEN 0 ELSE 1 END AS dir, CASE WHEN tall THEN line ELSE r0 END AS i,
+       CASE WHEN tall THEN c0 ELSE line END AS j,
+       (CASE WHEN tall THEN 2 * (line * {N} + c0) ELSE 2 * (r0 * {N} + line) + 1 END)::INT AS action
+FROM ({{}}) AS c_{layout}"""
+
+
+def chosen_cut(layout: str, layout_id: int) -> str:
+    return cut_of(layout, layout_id).format(f"WITH {greedy_rounds(layout, 1)} SELECT * FROM cut_1")
+
+
 DEMO = "idx IN (SELECT event_id FROM events WHERE event_type = 'purchase')"
 DEMO_ROWS = "(SELECT least(8, count(*)) FROM events WHERE event_type = 'purchase')"
 
@@ -366,6 +378,22 @@ SELECT pid, count(*) AS m FROM boxes JOIN pts ON {overlap(f'{RADIUS}::DOUBLE')}
     "q_distance_join_grouped_parts": grouped(4),
     "q_distance_join_two_sided": NEAR + """
 SELECT circle_id, point_id FROM pairs JOIN events ON event_id = circle_id WHERE event_type = 'purchase'""",
+    "q_distance_join_placed": f"WITH {POINTS}" + "".join(
+        f""", near_{k} AS (
+  SELECT {r}::DOUBLE AS radius, a.id AS circle_id, count(*) AS n FROM pts a, pts b
+  WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {r}::DOUBLE * {r}::DOUBLE GROUP BY a.id
+)"""
+        for k, r in enumerate(RADII)
+    ) + " SELECT * FROM near_0 UNION ALL SELECT * FROM near_1 UNION ALL SELECT * FROM near_2",
+    "q_distance_join_placed_split": NEAR + """
+SELECT circle_id, point_id FROM pairs JOIN events ON event_id = circle_id WHERE event_type = 'purchase'""",
+    "q_distance_join_two_layouts": NEAR + "SELECT layout_id, circle_id, point_id FROM pairs, (VALUES (0), (1)) l(layout_id)",
+    "q_distance_join_hub": """
+WITH placed AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events)
+SELECT 7::BIGINT AS circle_id, (place // 64)::INT AS part, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS point_ids,
+       (SELECT count(*) FROM events) AS n FROM placed GROUP BY part""",
+    "q_median_cuts_two_layouts": f"""WITH {EVEN}, {layout_values(MIXED_CUTS, "other")}
+{chosen_cut("lay", 0)} UNION ALL {chosen_cut("other", 1)}""",
     "q_metres_join": f"WITH {pairs('(5000 / 110000::DOUBLE)')} SELECT circle_id, count(*) AS n FROM pairs GROUP BY circle_id",
     "q_median_trials": f"WITH {TRIALS} SELECT layout_id, qid, round(seconds, 6) AS seconds FROM costs",
     "q_workload_cost": f"WITH {TRIALS} SELECT layout_id, round(cost, 8) AS cost, status FROM evals",
@@ -419,6 +447,17 @@ SELECT idx, round(coalesce(max(priority) OVER (ORDER BY idx ROWS BETWEEN UNBOUND
   AS initial_priority FROM memory""",
     "q_weighted_lookup": f"""WITH {MEMORY}
 SELECT draw, h.idx, round(priority, 6) AS priority FROM hits h JOIN memory m ON m.idx = h.idx""",
+    "q_weighted_lookup_heavy": f"""WITH {MEMORY}, heavy AS (
+  SELECT idx, CASE WHEN idx = 300 THEN 1e12::DOUBLE ELSE round(priority, 3) END AS priority FROM memory
+), reach AS (
+  SELECT *, sum(priority) OVER (ORDER BY idx) AS far FROM heavy
+), tosses AS (
+  SELECT k AS draw, (SELECT sum(priority) FROM heavy) * (k + 0.5::DOUBLE) / 32 AS s FROM range(32) t(k)
+  UNION ALL
+  SELECT k + 100, k * 2.5::DOUBLE + 0.3::DOUBLE FROM range(64) t(k)
+), met AS (
+  SELECT draw, min(idx) AS idx FROM tosses JOIN reach ON far >= s GROUP BY draw
+) SELECT draw, idx, round(priority, 6) AS priority FROM met JOIN heavy USING (idx)""",
     "q_priority_weights": f"""WITH {MEMORY}, raw AS (
   SELECT draw, h.idx, pow(10000 * priority / (SELECT sum(priority) FROM memory), -0.7::DOUBLE) AS w
   FROM hits h JOIN memory m ON m.idx = h.idx

@@ -26,6 +26,7 @@ from tilewright.operators.assign import (
     replicate_circles,
 )
 from tilewright.operators.medians import partition_medians
+from tilewright.operators.placement import place
 from tilewright.operators.scan import with_position
 from tilewright.plans.estimate import estimate_cost, partition_loads
 from tilewright.plans.greedy import greedy_layout, median_cut
@@ -390,6 +391,57 @@ def q_metres_join(spark, sf_dir):
     return pairs.groupBy("circle_id").agg(F.count("*").alias("n"))
 
 
+RADII = [0.02, RADIUS, 0.5]
+
+
+def two_layouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, G.Grid, DataFrame]:
+    points, grid, even = even_layout(spark, sf_dir)
+    mixed = L.replay_cuts(spark, grid, MIXED_CUTS).withColumn("layout_id", F.lit(1))
+    return points, grid, even.unionByName(mixed)
+
+
+@query
+def q_distance_join_placed(spark, sf_dir):
+    """Neighbours of each circle for three radii, all joined with points placed once."""
+    points, grid, layout = even_layout(spark, sf_dir)
+    placed = place(points, layout, grid)
+    found = [
+        placed.join(radius=r).groupBy("circle_id").agg(F.count("*").alias("n")).select(F.lit(r).alias("radius"), "circle_id", "n")
+        for r in RADII
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def q_distance_join_placed_split(spark, sf_dir):
+    """The same pairs with every partition in several slots and crowded cells split, circles from purchases."""
+    points, grid, layout = even_layout(spark, sf_dir)
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("id"))
+    circles = points.join(bought, "id", "left_semi")
+    return place(points, layout, grid, rows_per_task=200).join(circles, RADIUS, hot_rows=100)
+
+
+@query
+def q_distance_join_two_layouts(spark, sf_dir):
+    points, grid, layouts = two_layouts(spark, sf_dir)
+    return place(points, layouts, grid).join(radius=RADIUS)
+
+
+@query
+def q_distance_join_hub(spark, sf_dir):
+    """One circle that reaches all points, ranked in slices of 100 ids, in parts of 64."""
+    points = event_points(spark, sf_dir)
+    hub = points.filter("id = 7")
+    matches = J.distance_join_grouped(hub, points, 1000.0, max_ids=64, slice_rows=100)
+    return matches.select("circle_id", "part", listed("point_ids"), "n")
+
+
+@query
+def q_median_cuts_two_layouts(spark, sf_dir):
+    points, grid, layouts = two_layouts(spark, sf_dir)
+    return median_cut(points, layouts, grid).select("layout_id", "pid", "dir", "i", "j", "action")
+
+
 # --- costs
 
 
@@ -577,6 +629,15 @@ def q_weighted_lookup(spark, sf_dir):
     return X.weighted_lookup(even_draws(rows), rows).select("draw", "idx", rounded("priority"))
 
 
+@query
+def q_weighted_lookup_heavy(spark, sf_dir):
+    """One row outweighs all others together by far; draws lie before, in and behind it."""
+    rows = memory(spark, sf_dir).withColumn("priority", F.when(F.col("idx") == 300, 1e12).otherwise(F.round("priority", 3)))
+    far = even_draws(rows)
+    near = spark.range(64).select((F.col("id") + 100).alias("draw"), (F.col("id") * 2.5 + 0.3).alias("s"))
+    return X.weighted_lookup(far.unionByName(near), rows).select("draw", "idx", rounded("priority"))
+
+
 @query
 def q_priority_weights(spark, sf_dir):
     rows = memory(spark, sf_dir)

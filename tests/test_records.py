@@ -1,10 +1,13 @@
+from bisect import bisect_left
+from itertools import accumulate
+
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators import evaluation as E
 from tilewright.operators import experience as X
 from tilewright.operators.layout import same_layout
-from tilewright.operators.scan import SLICE, oversized, running, with_position, with_slices
+from tilewright.operators.scan import SLICE, running, with_position, with_slices
 from tilewright.session import local_table
 from tilewright.sources.vectors import workload_table
 
@@ -34,26 +37,56 @@ def values():
 @pytest.mark.parametrize("by", [[], ["g"]])
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_sliced_running_values_equal_plain_ones(rows, by, inclusive):
-    plain = running(rows, by, "o", values(), inclusive)
-    sliced = running(rows, by, "o", values(), inclusive, limit=100)
+    plain = running(rows, by, "o", values(), inclusive, slices=1)
+    sliced = running(rows, by, "o", values(), inclusive, slices=32)
     assert plain.count() == 3000 and same_layout(plain, sliced, plain.columns)
 
 
 @pytest.mark.parametrize("spacing", ["id", "pow(1.02D, id)", "o"])
 def test_slices_keep_order_and_stay_small(rows, spacing):
     rows = rows.withColumn("o", F.expr(spacing).cast("double"))
-    assert oversized(rows, ["g"], "o", 5000) is None
-    large = oversized(rows, ["g"], "o", 100)
-    sliced = with_slices(rows, ["g"], "o", large)
-    sizes = sliced.groupBy("g", SLICE).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 100
-    ends = sliced.groupBy("g", SLICE).agg(F.min("o").alias("a"), F.max("o").alias("b")).collect()
+    sliced = with_slices(rows, F.col("o"), 32)
+    sizes = sliced.groupBy(SLICE).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100 and sizes.count() == 32
+    ends = sliced.groupBy(SLICE).agg(F.min("o").alias("a"), F.max("o").alias("b")).collect()
     for p in ends:
-        assert all(p.b < q.a for q in ends if q.g == p.g and q[SLICE] > p[SLICE])
+        assert all(p.b < q.a for q in ends if q[SLICE] > p[SLICE])
+
+
+def plain_plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_running_values_start_no_job_and_gather_no_rows(spark, rows):
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    made = [
+        running(rows, [], "o", values()),
+        X.rolling_mean(rows, "o", "v", 7),
+        X.match_streak(rows, "o", F.col("v") > 3, 5),
+        X.retain_latest(rows, 10, ["g"], "o"),
+        X.initial_priority(rows.select(F.col("id").alias("idx"), F.col("v").alias("priority")), "idx"),
+        E.improvement_count(E.best_so_far(rows.selectExpr("id AS seq", "1 AS layout_id", "v AS cost", "'ok' AS status"))),
+    ]
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # Windows are by slice; the only single task adds up sketches of quantiles.
+        for k, line in enumerate(plan.splitlines()):
+            if "Exchange SinglePartition" in line:
+                assert "Aggregate(key" in plan.splitlines()[k + 1]  # sketches, a least value, or a row per slice
+        assert "Window" in plan and "windowspecdefinition(o" not in plan.replace(" ", "")
+
+
+def test_null_keys_and_null_orders(spark):
+    table = local_table(spark, [(None, 1, 2.0), (None, None, 1.0), (1, 2, 5.0), (1, 3, 7.0)], "g int, o int, v double")
+    got = running(table, ["g"], "o", {"s": ("sum", F.col("v"))}, slices=4).collect()
+    assert {(r.g, r.o): r.s for r in got} == {(None, None): 1.0, (None, 1): 3.0, (1, 2): 5.0, (1, 3): 12.0}
+    assert X.retain_latest(table, 1, ["g"], "o", slices=4).count() == 2
 
 
 def test_positions(rows):
-    got = with_position(rows, ["g"], "o", limit=100).groupBy("g").agg(
+    got = with_position(rows, ["g"], "o", slices=32).groupBy("g").agg(
         F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.max("pos").alias("top")
     )
     assert all(r.n == r.d == r.top + 1 for r in got.collect())
@@ -87,13 +120,13 @@ def test_streak_stops_at_patience(spark):
     got = X.match_streak(table, "t", F.col("hit"), 3).orderBy("t").collect()
     assert [r.streak for r in got] == [1, 2, 0, 1, 2, 3]
     assert X.match_streak(table, "t", F.col("hit"), 9).count() == 7
-    sliced = X.match_streak(table, "t", F.col("hit"), 3, limit=2).orderBy("t").collect()
+    sliced = X.match_streak(table, "t", F.col("hit"), 3, slices=4).orderBy("t").collect()
     assert [r.streak for r in sliced] == [1, 2, 0, 1, 2, 3]
 
 
 def test_retention(rows):
-    plain = X.retain_latest(rows, 120, ["g"], "o")
-    sliced = X.retain_latest(rows, 120, ["g"], "o", limit=50)
+    plain = X.retain_latest(rows, 120, ["g"], "o", slices=1)
+    sliced = X.retain_latest(rows, 120, ["g"], "o", slices=64)
     assert same_layout(plain, sliced, plain.columns)
     sizes = {r.g: (r.n, r.low) for r in plain.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("low")).collect()}
     assert sizes[0] == (120, 2998 - 2 * 119)
@@ -115,9 +148,38 @@ def test_initial_priority(spark):
 def test_lookup_takes_the_first_row_that_reaches_the_draw(spark):
     weights = local_table(spark, [(0, 1.0), (1, 0.0), (2, 2.0), (3, 1.0)], "idx int, priority double")
     draws = local_table(spark, [(k, s) for k, s in enumerate((0.0, 1.0, 1.5, 3.0, 3.2, 4.0))], "draw int, s double")
-    for limit in (10_000, 2):
-        got = {r.draw: r.idx for r in X.weighted_lookup(draws, weights, limit).collect()}
+    for slices in (1, 4, 64):
+        got = {r.draw: r.idx for r in X.weighted_lookup(draws, weights, slices).collect()}
         assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 3, 5: 3}
+    assert X.weighted_lookup(draws.limit(0), weights).collect() == []
+    assert X.weighted_lookup(draws, weights.limit(0)).collect() == []
+
+
+def test_lookup_with_one_priority_above_all_others(spark):
+    n = 20_000
+    weights = spark.range(n).select(F.col("id").alias("idx"), F.when(F.col("id") == 7000, 1e12).otherwise(F.col("id") % 3).cast("double").alias("priority"))
+    draws = spark.range(3000).select(F.col("id").alias("draw"), (F.col("id") * (1e12 / 2990)).alias("s"))
+    small = spark.range(200).select((F.col("id") + 5000).alias("draw"), (F.col("id") * 30.0).alias("s"))
+    draws = draws.unionByName(small).unionByName(draws.limit(1).select((F.col("draw") + 9000).alias("draw"), F.lit(50.0).alias("s")))
+    got = {r.draw: r.idx for r in X.weighted_lookup(draws, weights, 64).collect()}
+    priorities = [1e12 if k == 7000 else float(k % 3) for k in range(n)]
+    reach = list(accumulate(priorities))
+    want = {r.draw: bisect_left(reach, r.s) for r in draws.collect() if r.s <= reach[-1]}
+    assert got == want
+
+
+def test_a_mixed_batch_reads_its_memories_a_few_times(spark, tmp_path):
+    path = str(tmp_path / "memory")
+    spark.range(1000).selectExpr("id AS idx", "id % 7 + 0.5D AS priority", "id % 3 = 0 AS is_demo").write.parquet(path)
+    reads = []
+    rows = spark.read.parquet(path)
+    shared = X.cumulative(rows, F.when(F.col("is_demo"), F.lit("demo")).otherwise("agent"))
+    draws = X.spread_draws(spark, "demo", shared.total("demo"), 8, 1).unionByName(X.spread_draws(spark, "agent", shared.total("agent"), 24, 2))
+    plan = X.lookup(draws, shared)._jdf.queryExecution().executedPlan().toString()
+    reads.append(len({line.strip(" :+-*()0123456789") for line in plan.splitlines() if "FileScan parquet" in line}))
+    batch = X.mixed_batch(rows.filter("is_demo"), rows.filter("NOT is_demo"))
+    reads.append(batch._jdf.queryExecution().executedPlan().toString().count("FileScan parquet"))
+    assert reads[0] <= 4 and reads[1] == 0, reads
 
 
 def test_priority_sample(spark):
@@ -175,16 +237,16 @@ def test_costs_and_records(spark):
     }
     evals = E.workload_cost(costs, workload).withColumn("seq", F.col("layout_id"))
     assert E.total_query_time(trials).first().seconds == 57.0
-    for limit in (10_000, 2):
-        marked = {r.seq: r for r in E.best_so_far(evals, limit).collect()}
+    for slices in (1, 4):
+        marked = {r.seq: r for r in E.best_so_far(evals, slices).collect()}
         assert [marked[k].cost for k in range(4)] == [3.5, None, 1.75, 2.5]
         assert [marked[k].status for k in range(4)] == ["ok", "aborted", "ok", "ok"]
         assert [marked[k].best_before for k in range(4)] == [None, 3.5, 3.5, 1.75]
         assert [marked[k].improved for k in range(4)] == [False, False, True, False]
         assert [marked[k].reward for k in range(4)] == [1.0, 0.2, 4.0, pytest.approx(0.49)]
-        counts = E.improvement_count(E.best_so_far(evals, limit), limit).orderBy("seq").collect()
+        counts = E.improvement_count(E.best_so_far(evals, slices), slices).orderBy("seq").collect()
         assert [r.improvements for r in counts] == [0, 0, 1, 1]
-        budgets = {(r.seq, r.qid): r.budget for r in E.best_costs_so_far(costs, evals, limit).collect()}
+        budgets = {(r.seq, r.qid): r.budget for r in E.best_costs_so_far(costs, evals, slices).collect()}
         assert budgets == {
             (0, 0): None, (0, 1): None, (1, 0): 2.0, (1, 1): 4.0, (2, 0): 2.0, (2, 1): 4.0, (3, 0): 1.0, (3, 1): 2.0,
         }

@@ -9,7 +9,6 @@ from tilewright.functions.scalar import ABORTED, OK, reward
 from tilewright.operators.layout import LAYOUT_KEY
 from tilewright.operators.medians import MEDIAN_ROWS, grouped_median
 from tilewright.operators.scan import running
-from tilewright.session import GROUP_ROWS
 
 
 def median_cost(trials: DataFrame, limit: int = MEDIAN_ROWS) -> DataFrame:
@@ -43,14 +42,14 @@ def total_query_time(trials: DataFrame) -> DataFrame:
     return trials.agg(F.sum("seconds").alias("seconds"))
 
 
-def best_so_far(evals: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+def best_so_far(evals: DataFrame, slices: int | None = None) -> DataFrame:
     """Add best_before, improved and reward to evals(seq, layout_id, cost, status).
 
     The first finished layout is the baseline: it has nothing to improve on and
     its reward is 1. Aborted layouts never count as best.
     """
     cost = F.when(F.col("status") != ABORTED, F.col("cost"))
-    seen = running(evals, [], "seq", {"best_before": ("min", cost)}, inclusive=False, limit=limit)
+    seen = running(evals, [], "seq", {"best_before": ("min", cost)}, inclusive=False, slices=slices)
     best = F.coalesce("best_before", "cost")
     improved = F.coalesce((F.col("status") != ABORTED) & (F.col("cost") < F.col("best_before")), F.lit(False))
     return seen.withColumns(
@@ -58,23 +57,23 @@ def best_so_far(evals: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     )
 
 
-def best_costs_so_far(costs: DataFrame, evals: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+def best_costs_so_far(costs: DataFrame, evals: DataFrame, slices: int | None = None) -> DataFrame:
     """(seq, layout_id, qid, budget): per query, the seconds of the best layout before this one.
 
     ``costs`` has one row per evaluated layout and query. Null until a baseline exists.
     """
-    marked = best_so_far(evals, limit)
+    marked = best_so_far(evals, slices)
     leads = F.col("improved") | (F.col("best_before").isNull() & (F.col("status") != ABORTED))
     rows = costs.select(LAYOUT_KEY, "qid", "seconds").join(
         marked.select("seq", LAYOUT_KEY, leads.alias("leads")), LAYOUT_KEY
     )
     seconds = F.when(F.col("leads"), F.col("seconds"))
     return running(
-        rows, ["qid"], "seq", {"budget": ("last", seconds)}, inclusive=False, limit=limit
+        rows, ["qid"], "seq", {"budget": ("last", seconds)}, inclusive=False, slices=slices
     ).select("seq", LAYOUT_KEY, "qid", "budget")
 
 
-def improvement_count(marked: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+def improvement_count(marked: DataFrame, slices: int | None = None) -> DataFrame:
     """Add the number of improvements up to and including each evaluated layout."""
     hit = F.col("improved").cast("bigint")
-    return running(marked, [], "seq", {"improvements": ("sum", hit)}, limit=limit)
+    return running(marked, [], "seq", {"improvements": ("sum", hit)}, slices=slices)

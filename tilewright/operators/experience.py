@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import TOSSES, priority, toss
-from tilewright.operators.scan import (
-    SLICE,
-    ordinal,
-    oversized,
-    running,
-    with_blocks,
-    with_position,
-    with_slices,
-)
-from tilewright.session import GROUP_ROWS, pin
+from tilewright.operators import scan
+from tilewright.operators.scan import running, with_blocks, with_position
+from tilewright.session import BLOCK_ROWS, pin, write_table
 
 # Fixed value: weight of the importance correction at the start of a run.
 BETA_START = 0.4
@@ -28,17 +22,17 @@ LOG_SUMS = ("reward", "loss_n", "loss_e", "loss_l2", "loss_all")
 
 def rolling_mean(
     df: DataFrame, order: str, col: str, n: int, by: Sequence[str] = (), out: str = "rolling_mean",
-    limit: int = GROUP_ROWS,
+    limit: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Mean of the last n rows; null until n rows have been seen."""
-    placed = with_position(df, by, order, "_pos", limit)
+    """Mean of the last n rows; null until n rows have been seen. Windows run over blocks of ``limit`` rows."""
+    placed = with_position(df, by, order, "_pos")
     blocks = with_blocks(placed, "_pos", n - 1, limit, before=True)
     frame = W.partitionBy(*by, "_block").orderBy("_pos").rowsBetween(-(n - 1), 0)
     mean = F.when(F.col("_pos") >= n - 1, F.avg(col).over(frame))
     return blocks.withColumn(out, mean).filter("_own").select(*df.columns, out)
 
 
-def nstep_return(transitions: DataFrame, n: int = 3, gamma: float = 0.99, limit: int = GROUP_ROWS) -> DataFrame:
+def nstep_return(transitions: DataFrame, n: int = 3, gamma: float = 0.99, limit: int = BLOCK_ROWS) -> DataFrame:
     """Add ``nstep_reward`` and the next state n steps on.
 
     The sum stops at the terminal step, and the next state is then null. Rows
@@ -81,44 +75,23 @@ def every_kth(df: DataFrame, order: str, k: int, offset: int = 1) -> DataFrame:
     return df.filter((F.col(order) + offset) % k == 0)
 
 
-def match_streak(df: DataFrame, order: str, match: Column, patience: int, limit: int = GROUP_ROWS) -> DataFrame:
+def match_streak(df: DataFrame, order: str, match: Column, patience: int, slices: int | None = None) -> DataFrame:
     """Add ``streak``, the run of consecutive matches, and stop once it reaches ``patience``."""
-    placed = with_position(df.withColumn("_match", match), [], order, "_pos", limit)
-    miss = F.when(~F.col("_match"), F.col("_pos"))
-    runs = running(placed, [], order, {"_miss": ("max", miss)}, limit=limit)
-    streaks = runs.withColumn("streak", F.col("_pos") - F.coalesce("_miss", F.lit(-1)))
-    stop = streaks.filter(F.col("streak") >= patience).agg(F.min(order)).scalar()
-    return streaks.filter(stop.isNull() | (F.col(order) <= stop)).select(*df.columns, "streak")
+    found = scan.streaks(df, order, match, "streak", slices)
+    stop = found.where(F.col("streak") >= patience).agg(F.min(order)).scalar()
+    return found.where(stop.isNull() | (F.col(order) <= stop))
 
 
-def retain_latest(df: DataFrame, capacity: int, by: Sequence[str], order: str, limit: int = GROUP_ROWS) -> DataFrame:
+def retain_latest(df: DataFrame, capacity: int, by: Sequence[str], order: str, slices: int | None = None) -> DataFrame:
     """Keep the newest ``capacity`` rows of each group.
 
-    Slices of a large group that lie wholly behind the newest ``capacity`` rows
-    are dropped by their counts, before any row is ranked.
+    Slices that lie wholly behind the newest ``capacity`` rows of a group are dropped by
+    their counts, before any row is ranked.
     """
-    latest_first = F.col(order).desc()
-
-    def newest(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-        rank = F.row_number().over(W.partitionBy(*group).orderBy(latest_first))
-        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= capacity)
-
-    back = df.withColumn("_back", -ordinal(order, df))
-    large = oversized(back, by, "_back", limit)
-    if large is None:
-        return newest(df, by).select(*df.columns)
-    parts = with_slices(back, by, "_back", large, how="inner")
-    sizes = parts.groupBy(*by, SLICE).agg(F.count("*").alias("_n"))
-    newer = W.partitionBy(*by).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    ahead = sizes.select(*by, SLICE, F.sum("_n").over(newer).alias("_newer")).filter(F.col(SLICE) > 0)
-    newer_rows = F.coalesce("_newer", F.lit(0))
-    sliced = with_slices(back, by, "_back", large)
-    open_rows = sliced.join(ahead, [*by, SLICE], "left").filter(newer_rows < capacity)
-    kept = newest(open_rows, [*by, SLICE]).filter(F.col("_rank") + newer_rows <= capacity)
-    return kept.select(*df.columns)
-
-
-def initial_priority(df: DataFrame, order: str | None = None, limit: int = GROUP_ROWS) -> DataFrame:
+    return scan.newest(df, by, order, capacity, slices)
+
+
+def initial_priority(df: DataFrame, order: str | None = None, slices: int | None = None) -> DataFrame:
     """Priority a new row gets: the largest one stored, 1 when there is none.
 
     One row for the table as it is; with ``order``, a column with the value each
@@ -126,7 +99,7 @@ def initial_priority(df: DataFrame, order: str | None = None, limit: int = GROUP
     """
     if order is None:
         return df.agg(F.coalesce(F.nullif(F.max("priority"), F.lit(0.0)), F.lit(1.0)).alias("priority"))
-    stored = running(df, [], order, {"_top": ("max", F.col("priority"))}, inclusive=False, limit=limit)
+    stored = running(df, [], order, {"_top": ("max", F.col("priority"))}, inclusive=False, slices=slices)
     top = F.coalesce(F.nullif(F.col("_top"), F.lit(0.0)), F.lit(1.0))
     return stored.withColumn("initial_priority", top).drop("_top")
 
@@ -137,62 +110,102 @@ def sample_k(df: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
     return picked.withColumn("weight", F.lit(1.0))
 
 
-def weighted_lookup(draws: DataFrame, weights: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
-    """(draw, s, idx, priority): the first row, in idx order, whose cumulative priority reaches s.
+@dataclass(frozen=True)
+class Cumulative:
+    """Running priority sums of one or several memories, written once and read by every draw from them.
 
-    Cumulative ranges and draws are matched through equal intervals of the
-    value range, so it is an equality join however large either side is.
+    ``rows`` has memory, idx, priority, cum. ``ends`` has, per memory, the total and the first
+    row that reaches it.
     """
-    ends = weights.agg(
-        F.struct(F.sum("priority").alias("total"), F.count("*").alias("rows"))
-    ).scalar()
-    total = ends["total"]
-    # As many intervals as rows; a total of zero has nothing to hit.
-    width = F.nullif(total, F.lit(0.0)) / ends["rows"]
-    # Running sums of a slice and its neighbour may differ in the last digits.
-    # Ranges are widened by that much, and the lowest index that reaches s wins.
-    slack = total * F.lit(1e-12)
-    ranges = running(weights, [], "idx", {"_cum": ("sum", F.col("priority"))}, limit=limit).withColumn(
-        "_low", F.col("_cum") - F.col("priority") - slack
-    )
-    bins = F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_cum") / width))
-    rows = ranges.select("idx", "priority", "_low", "_cum", F.explode(bins).alias("_bin"))
-    wanted = draws.select("draw", "s", F.floor(F.col("s") / width).alias("_bin"))
-    hits = wanted.join(rows, "_bin").filter((F.col("_low") < F.col("s")) & (F.col("s") <= F.col("_cum")))
-    first = F.min(F.struct("idx", "priority")).alias("hit")
-    return hits.groupBy("draw", "s").agg(first).select("draw", "s", "hit.*")
 
+    rows: DataFrame
+    ends: dict[str, tuple[float, int, float]]
+
+    def total(self, memory: str) -> float:
+        return self.ends[memory][0] if memory in self.ends else 0.0
+
+
+def cumulative(weights: DataFrame, memory: Column | None = None, slices: int | None = None) -> Cumulative:
+    """Running sums of (idx, priority) in idx order, for each value of ``memory``."""
+    rows = weights.select((F.lit("") if memory is None else memory).alias("memory"), "idx", "priority")
+    summed = running(rows, ["memory"], "idx", {"cum": ("sum", F.col("priority"))}, slices=slices)
+    table = write_table(summed, "cumulative")
+    reach = F.min_by(F.struct("cum", "idx", "priority"), F.struct(-F.col("cum"), F.col("idx")))
+    ends = table.where("cum IS NOT NULL").groupBy("memory").agg(reach.alias("end")).collect()  # a row per memory
+    return Cumulative(table, {r.memory: tuple(r.end) for r in ends})
 
-def importance(hits: DataFrame, total: Column, capacity: int, progress: float) -> DataFrame:
-    """Add ``weight``: (capacity * p / total) ^ -beta, scaled so that the largest is 1.
 
-    Beta grows from its start value to 1 with ``progress`` from 0 to 1.
+def lookup(draws: DataFrame, table: Cumulative, slices: int | None = None) -> DataFrame:
+    """(memory, draw, s, idx, priority): the first row, in idx order, of the memory whose cumulative priority reaches s.
+
+    Rows and distinct draws are merged in falling order of their values: a draw's row is the
+    last one before it. Both are cut into slices at common quantiles, so a row that
+    takes nearly all draws is no burden, and neither is a value drawn very often. A value above the total by no
+    more than rounding errors hits the row that reaches the total.
+    """
+    wanted = draws.select("memory", "s").distinct()
+    merged = table.rows.where("cum IS NOT NULL").select(
+        "memory", F.struct((-F.col("cum")).alias("v"), F.lit(0).alias("kind"), (-F.col("idx")).cast("bigint").alias("i")).alias("place"),
+        F.struct("idx", "priority").alias("row"),
+    )
+    values = wanted.select(
+        "memory", F.struct((-F.col("s")).alias("v"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("i")).alias("place"),
+        F.lit(None).cast(merged.schema["row"].dataType).alias("row"),
+    )
+    both = merged.unionByName(values)
+    found = running(both, ["memory"], "place", {"hit": ("last", F.col("row"))}, slices=slices, at=F.col("place.v"))
+    hits = found.where("place.kind = 1").select("memory", (-F.col("place.v")).alias("s"), "hit")
+    last = F.lit(None).cast(merged.schema["row"].dataType)
+    for memory, (total, idx, priority_) in table.ends.items():
+        near = (F.col("memory") == memory) & (F.col("s") <= total * (1 + 1e-12))
+        row = F.struct(F.lit(idx).cast(merged.schema["row"].dataType["idx"].dataType).alias("idx"), F.lit(priority_).alias("priority"))
+        last = F.when(near, row).otherwise(last)
+    hits = hits.withColumn("hit", F.coalesce("hit", last)).where("hit IS NOT NULL")
+    return draws.join(hits, ["memory", "s"]).select("memory", "draw", "s", "hit.*")
+
+
+def weighted_lookup(draws: DataFrame, weights: DataFrame, slices: int | None = None) -> DataFrame:
+    """(draw, s, idx, priority): the first row, in idx order, whose cumulative priority reaches s."""
+    wanted = draws.select(F.lit("").alias("memory"), "draw", "s")
+    return lookup(wanted, cumulative(weights, slices=slices), slices).drop("memory")
+
+
+def importance(hits: DataFrame, totals: Mapping[str, float], capacities: Mapping[str, int], progress: float) -> DataFrame:
+    """Add ``weight``: (capacity * p / total) ^ -beta, scaled so that the largest of a memory is 1.
+
+    Beta grows from its start value to 1 with ``progress`` from 0 to 1. The hits are fixed first, as
+    their largest weight is looked up among them.
     """
     beta = BETA_START + (1 - BETA_START) * progress
-    raw = hits.withColumn("_raw", F.pow(F.lit(float(capacity)) * F.col("priority") / total, F.lit(-beta)))
-    top = raw.agg(F.max("_raw")).scalar()
-    return raw.withColumn("weight", F.col("_raw") / top).drop("_raw")
+    share = F.lit(None).cast("double")
+    for memory, total in totals.items():
+        own = F.lit(float(capacities[memory])) * F.col("priority") / F.lit(total)
+        share = F.when(F.col("memory") == memory, own).otherwise(share)
+    raw = pin(hits.withColumn("_raw", F.pow(share, F.lit(-beta))))
+    top = raw.groupBy("memory").agg(F.max("_raw").alias("_top"))
+    return raw.join(top, "memory").withColumn("weight", F.col("_raw") / F.col("_top")).drop("_raw", "_top")
 
 
-def uniform_draws(df: DataFrame, k: int, seed: int) -> DataFrame:
-    """(draw, s): k values spread uniformly over the total priority, fixed by the seed."""
-    total = df.agg(F.sum("priority")).scalar()
+def spread_draws(spark: SparkSession, memory: str, total: float, k: int, seed: int) -> DataFrame:
+    """(memory, draw, s): k values spread uniformly over a total priority, fixed by the seed."""
     u = (toss(seed, "id") + 0.5) / float(TOSSES)
-    return df.sparkSession.range(k).select(F.col("id").alias("draw"), (u * total).alias("s"))
+    return spark.range(k).select(F.lit(memory).alias("memory"), F.col("id").alias("draw"), (u * F.lit(total)).alias("s"))
 
 
-def sample_at(df: DataFrame, draws: DataFrame, capacity: int, progress: float, limit: int = GROUP_ROWS) -> DataFrame:
+def sample_at(df: DataFrame, draws: DataFrame, capacity: int, progress: float, slices: int | None = None) -> DataFrame:
     """Rows hit by given draws, with importance weights."""
-    total = df.agg(F.sum("priority")).scalar()
-    hits = weighted_lookup(draws, df.select("idx", "priority"), limit)
-    return importance(hits, total, capacity, progress)
+    table = cumulative(df, slices=slices)
+    hits = lookup(draws.select(F.lit("").alias("memory"), "draw", "s"), table, slices)
+    return importance(hits, {"": table.total("")}, {"": capacity}, progress).drop("memory")
 
 
 def priority_sample(
-    df: DataFrame, k: int, capacity: int, progress: float = 0.0, seed: int = 0, limit: int = GROUP_ROWS
+    df: DataFrame, k: int, capacity: int, progress: float = 0.0, seed: int = 0, slices: int | None = None
 ) -> DataFrame:
     """k rows of df(idx, priority) with replacement, chosen in proportion to priority."""
-    return sample_at(df, uniform_draws(df, k, seed), capacity, progress, limit)
+    table = cumulative(df, slices=slices)
+    hits = lookup(spread_draws(df.sparkSession, "", table.total(""), k, seed), table, slices)
+    return importance(hits, {"": table.total("")}, {"": capacity}, progress).drop("memory")
 
 
 def update_priorities(df: DataFrame, td_errors: DataFrame) -> DataFrame:
@@ -210,19 +223,26 @@ def mixed_batch(
     demo: DataFrame, agent: DataFrame, batch: int = 32, demo_ratio: float = 0.25, demo_capacity: int = 100,
     agent_capacity: int = 10_000, progress: float = 0.0, seed: int = 0, prioritized: bool = True,
 ) -> DataFrame:
-    """A batch with ``int(batch * demo_ratio)`` demonstration rows, fewer if fewer exist, rest from agent rows."""
-    n_demo = demo.limit(int(batch * demo_ratio)).count()
+    """A batch with ``int(batch * demo_ratio)`` demonstration rows, fewer if fewer exist, rest from agent rows.
 
-    def draw(df: DataFrame, k: int, capacity: int, source: str, seed: int) -> DataFrame:
-        if prioritized:
-            picked = priority_sample(df, k, capacity, progress, seed)
-        else:
-            picked = sample_k(df, k, seed, key="idx")
-        return picked.select("idx", "priority", "weight", F.lit(source).alias("source"))
-
-    return draw(demo, n_demo, demo_capacity, "demo", seed).unionByName(
-        draw(agent, batch - n_demo, agent_capacity, "agent", seed + 1)
+    Draws by priority share one table of running sums for both memories.
+    """
+    n_demo = demo.limit(int(batch * demo_ratio)).count()
+    if not prioritized:
+        picked = [sample_k(df, k, s, key="idx").withColumn("source", F.lit(name)) for df, k, s, name in (
+            (demo, n_demo, seed, "demo"), (agent, batch - n_demo, seed + 1, "agent"))]
+        return picked[0].select("idx", "priority", "weight", "source").unionByName(
+            picked[1].select("idx", "priority", "weight", "source")
+        )
+    both = [df.select("idx", "priority", F.lit(name).alias("memory")) for df, name in ((demo, "demo"), (agent, "agent"))]
+    table = cumulative(both[0].unionByName(both[1]), F.col("memory"))
+    totals = {name: table.total(name) for name in ("demo", "agent")}
+    spark = demo.sparkSession
+    draws = spread_draws(spark, "demo", totals["demo"], n_demo, seed).unionByName(
+        spread_draws(spark, "agent", totals["agent"], batch - n_demo, seed + 1)
     )
+    hits = importance(lookup(draws, table), totals, {"demo": demo_capacity, "agent": agent_capacity}, progress)
+    return hits.select("idx", "priority", "weight", F.col("memory").alias("source"))
 
 
 def route_transitions(transitions: DataFrame, evals: DataFrame) -> DataFrame:

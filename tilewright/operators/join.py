@@ -9,6 +9,8 @@ path in which both sides are salted, so their pairs are made by many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from tilewright.operators.assign import (
     slot_of,
 )
 from tilewright.operators.grid import Grid
+from tilewright.operators.scan import above
 from tilewright.session import collect_small, cut_lineage, local_table, shuffle_slots
 
 # Join cells are wider than the radius by this factor, so that rounding in the
@@ -115,14 +118,16 @@ def neighbour_rows(circles: DataFrame, mirrored: bool, clip: bool) -> DataFrame:
     return listed.withColumn("gx", F.explode(cells(left_end, cx + 1, base_x)))
 
 
-def match(circles: DataFrame, points: DataFrame, keys: list[str], radius: float, mirrored: bool) -> DataFrame:
-    """Equi-join on cell keys, distance test, and both orders of each pair of a self-join."""
+def match(
+    circles: DataFrame, points: DataFrame, keys: list[str], radius: float, mirrored: bool, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Equi-join on cell keys, distance test, and both orders of each pair of a self-join; ``keep`` lists keys to keep."""
     c = circles.select(*keys, *[F.col(n).alias(f"c_{n}") for n in ("id", "x", "y", "cx", "cy")])
     p = points.select(*keys, *[F.col(n).alias(f"p_{n}") for n in ("id", "x", "y")])
     dx, dy = F.col("c_x") - F.col("p_x"), F.col("c_y") - F.col("p_y")
     near = dx * dx + dy * dy <= F.lit(radius * radius)
     if not mirrored:
-        return c.join(p, keys).filter(near).select(F.col("c_id").alias("circle_id"), F.col("p_id").alias("point_id"))
+        return c.join(p, keys).filter(near).select(*keep, F.col("c_id").alias("circle_id"), F.col("p_id").alias("point_id"))
     other_cell = (F.col("gx") != F.col("c_cx")) | (F.col("gy") != F.col("c_cy"))
     found = c.join(p, keys).filter(near & (other_cell | (F.col("c_id") <= F.col("p_id"))))
 
@@ -132,7 +137,7 @@ def match(circles: DataFrame, points: DataFrame, keys: list[str], radius: float,
     both = F.when(F.col("c_id") == F.col("p_id"), F.array(pair("c", "p"))).otherwise(
         F.array(pair("c", "p"), pair("p", "c"))
     )
-    return found.select(F.explode(both).alias("pair")).select("pair.*")
+    return found.select(*keep, F.explode(both).alias("pair")).select(*keep, "pair.*")
 
 
 def tile_moves(
@@ -255,7 +260,7 @@ def distance_join(
 def distance_join_grouped(
     left: DataFrame, right: DataFrame, radius: float, layout: DataFrame | None = None,
     grid: Grid | None = None, boundary: str = "half_open", hot_rows: int = HOT_ROWS,
-    rows_per_task: int | None = None, max_ids: int = MAX_IDS,
+    rows_per_task: int | None = None, max_ids: int = MAX_IDS, slice_rows: int = JOIN_ROWS,
 ) -> DataFrame:
     """matches(circle_id, part, point_ids, n): the neighbours of each circle in id order.
 
@@ -263,10 +268,44 @@ def distance_join_grouped(
     neighbours of the circle. The rows depend on the pairs alone, not on how they are found.
     """
     pairs = all_pairs(left, right, radius, layout, grid, boundary, hot_rows, rows_per_task)
-    own = W.partitionBy("circle_id")
-    place = F.row_number().over(own.orderBy("point_id")) - 1
-    placed = pairs.select("circle_id", "point_id", place.alias("place"), F.count("*").over(own).alias("n"))
-    part = F.floor(F.col("place") / max_ids).cast("int")
-    return placed.groupBy("circle_id", part.alias("part")).agg(
+    return grouped_pairs(pairs, right, max_ids, slice_rows)
+
+
+def grouped_pairs(pairs: DataFrame, points: DataFrame, max_ids: int = MAX_IDS, slice_rows: int = JOIN_ROWS) -> DataFrame:
+    """Neighbour lists of pairs(circle_id, point_id) whose points are among ``points``.
+
+    A circle may reach all points. Their ids are cut into slices of at most about ``slice_rows``
+    points, so a task ranks the neighbours of a circle in one slice; how many lie in
+    the slices before it is carried over from a table with a row per circle and slice.
+    """
+    slices = 1 << max(0, -(-points.count() // slice_rows) - 1).bit_length()
+    if slices == 1:  # no circle has more neighbours than a task may rank
+        own = W.partitionBy("circle_id")
+        placed = pairs.select(
+            "circle_id", "point_id", F.row_number().over(own.orderBy("point_id")).alias("rank"),
+            F.lit(0).alias("before"), F.count("*").over(own).alias("n"),
+        )
+        return in_parts(placed, max_ids)
+    ids = points.select(F.col("id").alias("point_id"))
+    bounds = ids.agg(F.percentile_approx("point_id", [k / slices for k in range(1, slices)], 16 * slices)).scalar()
+    part = above(F.col("_bounds"), slices, F.col("point_id"))
+    keys = ["circle_id", "slice"]
+    # Both readers below are dealt alike, so Spark makes the pairs once.
+    sliced = pairs.withColumn("_bounds", bounds).withColumn("slice", part).select(*keys, "point_id").repartition(*keys)
+    sizes = sliced.groupBy(*keys).agg(F.count("*").alias("here"))
+    earlier = W.partitionBy("circle_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    carry = sizes.select(
+        *keys,
+        F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"),
+        F.sum("here").over(W.partitionBy("circle_id")).alias("n"),
+    )
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("point_id"))
+    return in_parts(sliced.withColumn("rank", rank).join(carry, keys), max_ids)
+
+
+def in_parts(placed: DataFrame, max_ids: int) -> DataFrame:
+    """Rows of ``max_ids`` neighbours from ranked ones."""
+    row = F.floor((F.col("before") + F.col("rank") - 1) / max_ids).cast("int")
+    return placed.groupBy("circle_id", row.alias("part")).agg(
         F.array_sort(F.collect_list("point_id")).alias("point_ids"), F.max("n").alias("n")
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Mapping
 
 from pyspark import StorageLevel
@@ -10,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import ABORTED, METRES_PER_DEGREE, OK
+from tilewright.operators.assign import only_layout
 from tilewright.operators.evaluation import best_so_far, median_cost, workload_cost
 from tilewright.operators.grid import Grid
 from tilewright.operators.join import distance_join
 from tilewright.operators.layout import LAYOUT_KEY
+from tilewright.operators.placement import place
 from tilewright.plans.search import search_layouts
 from tilewright.session import local_table
 
@@ -24,38 +28,65 @@ ABORT_FACTOR = 2.0
 
 def evaluate_layout(
     points: DataFrame, layout: DataFrame | None, workload: DataFrame, grid: Grid | None = None,
-    best: Mapping[int, float] | None = None, trials: int = 3, boundary: str = "half_open",
+    best: Mapping[int, float] | None = None, trials: int = 3, rows_per_task: int | None = None,
 ) -> DataFrame:
     """trials(layout_id, qid, trial, seconds, status) of the workload's self-joins.
 
-    Each run writes its pairs to nowhere, so timing includes all of the join and
-    nothing is gathered. A run slower than twice the best time of its query is
-    marked aborted and ends the evaluation. ``layout=None`` times the join
-    without a layout, as layout -1.
+    The points are placed once; all queries and trials join them where they are. Each run writes
+    its pairs to nowhere, so timing includes all of the join and nothing is gathered. A run that
+    reaches twice the best time of its query is stopped there, marked aborted, and ends the
+    evaluation. ``layout=None`` times the join without a layout, as layout -1.
     """
     budgets = dict(best or {})
-    layout_id = -1 if layout is None else layout.select(LAYOUT_KEY).first()[0]
-    cached = points.select("id", "x", "y").persist(StorageLevel.MEMORY_AND_DISK)
-    cached.count()
+    if layout is None:
+        layout_id, kept = -1, points.select("id", "x", "y").persist(StorageLevel.MEMORY_AND_DISK)
+        join, release = (lambda radius: distance_join(kept, kept, radius)), kept.unpersist
+    else:
+        layout_id = only_layout(layout, grid)
+        placed = place(points, layout, grid, rows_per_task)
+        kept, join, release = placed.points, (lambda radius: placed.join(radius=radius)), placed.release
     rows = []
     try:
+        kept.count()
         for query in workload.select("qid", "distance").orderBy("qid").collect():
-            radius = query.distance / METRES_PER_DEGREE
-            pairs = distance_join(cached, cached, radius, layout, grid, boundary)
+            pairs = join(query.distance / METRES_PER_DEGREE)
             limit = ABORT_FACTOR * budgets.get(query.qid, FIRST_BUDGET)
             for trial in range(trials):
-                start = time.perf_counter()
-                pairs.write.format("noop").mode("overwrite").save()
-                seconds = time.perf_counter() - start
-                slow = seconds > limit
-                rows.append((layout_id, query.qid, trial, seconds, ABORTED if slow else OK))
-                if slow:
+                seconds, finished = timed(pairs, limit)
+                rows.append((layout_id, query.qid, trial, seconds, OK if finished else ABORTED))
+                if not finished:
                     return trial_table(points, rows)
     finally:
-        cached.unpersist()
+        release()
     return trial_table(points, rows)
 
 
+def timed(pairs: DataFrame, limit: float) -> tuple[float, bool]:
+    """Seconds a run takes, and whether it ended within ``limit`` seconds; its jobs are cancelled at that time."""
+    context = pairs.sparkSession.sparkContext
+    tag = f"trial-{uuid.uuid4().hex}"
+    over = threading.Event()
+
+    def stop() -> None:
+        over.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(limit, stop)
+    context.addJobTag(tag)
+    start = time.perf_counter()
+    timer.start()
+    try:
+        pairs.write.format("noop").mode("overwrite").save()
+    except Exception:
+        if not over.is_set():  # it failed by itself
+            raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+    seconds = time.perf_counter() - start
+    return seconds, seconds <= limit and not over.is_set()
+
+
 def search_and_evaluate(
     points: DataFrame, grid: Grid, workload: DataFrame, finalists: int = 3, trials: int = 3, **search,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

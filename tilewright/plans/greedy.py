@@ -175,21 +175,24 @@ def halves(rect: Rect, split: Split) -> tuple[Rect, Rect]:
 
 
 def median_cut(points: DataFrame, layout: DataFrame, grid: Grid, boundary: str = "half_open") -> DataFrame:
-    """cuts(layout_id, pid, dir, i, j, action): the median cut of the fullest partition.
+    """cuts(layout_id, pid, dir, i, j, action): the median cut of the fullest partition of each layout.
 
-    No row when that partition has no inner line on the side to be cut. The
-    lowest pid wins a tie.
+    No row for a layout whose fullest partition has no inner line on the side to be cut. The
+    lowest pid wins a tie. One job splits the rectangles of all layouts.
     """
     spark = points.sparkSession
-    rows = layout.select(LAYOUT_KEY, "pid", *RECT_COLUMNS).orderBy("pid").collect()
-    rects = [(r.c0, r.c1, r.r0, r.r1) for r in rows]
+    by_layout: dict[int, list] = {}
+    for r in layout.select(LAYOUT_KEY, "pid", *RECT_COLUMNS).orderBy(LAYOUT_KEY, "pid").collect():
+        by_layout.setdefault(r[LAYOUT_KEY], []).append((r.pid, (r.c0, r.c1, r.r0, r.r1)))
+    rects = list(dict.fromkeys(rect for rows in by_layout.values() for _, rect in rows))
     splits = median_splits(spark, profile_points(points, grid), rects, grid, boundary)
-    k = max(range(len(rects)), key=lambda p: (splits[rects[p]].n, -p))
-    split, out = splits[rects[k]], []
-    if split.line is not None:
-        c0, _, r0, _ = rects[k]
-        d, i, j = (0, split.line, c0) if split.axis == "y" else (1, r0, split.line)
-        out = [(rows[k][LAYOUT_KEY], rows[k].pid, d, i, j, action_of(rects[k], split, grid))]
+    out = []
+    for key, rows in by_layout.items():
+        pid, rect = max(rows, key=lambda row: (splits[row[1]].n, -row[0]))
+        split = splits[rect]
+        if split.line is not None:
+            d, i, j = (0, split.line, rect[0]) if split.axis == "y" else (1, rect[2], split.line)
+            out.append((key, pid, d, i, j, action_of(rect, split, grid)))
     return local_table(spark, out, "layout_id int, pid int, dir int, i int, j int, action int")
 
 

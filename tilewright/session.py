@@ -14,9 +14,8 @@ from pyspark.sql.types import StructType
 # and broadcast. Everything larger stays a distributed table.
 SMALL_ROWS = 100_000
 
-# Rows one task may sort, buffer or aggregate for a single key. Groups above
-# this are split into slices before any window or exact median runs on them.
-GROUP_ROWS = 10_000_000
+# Rows of a block in which windows of a fixed number of rows are computed.
+BLOCK_ROWS = 10_000_000
 
 ARROW_TYPES = {
     "boolean": pa.bool_(),
