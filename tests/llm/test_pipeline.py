@@ -44,3 +44,18 @@ def test_empty_documents(table, spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
     assert docs.collect() == []
+
+
+def test_other_texts_under_a_copied_id_stay(table, spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(0, "a b c d e f"), (1, "a b c d e f"), (1, "a unique text of its own"), (1, long), (2, long + " end"), (3, "a  b c d e f")]
+    docs = table(rows, "doc_id", "text")
+    exact = corpus_pipeline.exact_dedup(spark, docs, DIR)
+    assert sorted((r.doc_id, r.text) for r in exact.collect()) == sorted([rows[2], rows[3], rows[4], rows[5]])
+    near = corpus_pipeline.near_dedup(spark, docs, DIR)
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == sorted([rows[0], rows[2], rows[3]])
+
+
+def test_a_named_row_is_kept_before_one_without_an_id(table, spark):
+    docs = table([(None, "a  b  c"), (4, "a b c"), (2, "abc")], "doc_id", "text")
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.exact_dedup(spark, docs, DIR).collect() if r.doc_id] == [(4, "a b c")]

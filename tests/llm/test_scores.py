@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.quality import Features, Machine, Settings, fit_machine, fit_quality, quality_scores
 from tilewright.llm.queries import op2_quality_machine, op6_toxicity
+from tilewright.llm.toxicity import fit_ftrl, labelled_sample
 from tilewright.llm.toxicity import Settings as ToxicSettings
 from tilewright.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -84,3 +85,39 @@ def test_scores_do_not_depend_on_partitions(table, spark):
     one, many = (fit_toxicity(d, labels, F.lit(True)) for d in (docs.coalesce(1), docs.repartition(7)))
     assert np.array_equal(one[0], many[0]) and np.array_equal(one[1], many[1]) and one[2] == many[2]
     assert len(Features(Settings()).of(b"")) == Settings().width
+
+
+def test_one_id_on_many_rows_is_one_sampled_row(table, spark):
+    docs = table([(1, f"text {k}") for k in range(500)] + [(2, "other")], "doc_id", "text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), 100, "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.label) for r in sample) == [(1, 1), (2, 0)]
+
+
+def test_ftrl_follows_plain_loops():
+    rng = np.random.default_rng(3)
+    s = ToxicSettings(bits=5, l1=0.3, epochs=3)
+    rows = [np.unique(rng.integers(0, 32, 6)).astype(np.uint32) for _ in range(40)]
+    labels = [int(5 in r) for r in rows]
+    at, weights, bias = fit_ftrl(rows, labels, s)
+    z, n, z0, n0 = [0.0] * 32, [0.0] * 32, 0.0, 0.0
+
+    def weight(k):
+        if abs(z[k]) <= s.l1:
+            return 0.0
+        return -(z[k] - (s.l1 if z[k] > 0 else -s.l1)) / ((s.beta + n[k] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for r, y in zip(rows, labels):
+            b = -z0 / ((s.beta + n0**0.5) / s.alpha)
+            p = 1 / (1 + np.exp(-(b + sum(weight(k) for k in r))))
+            g = (p - y) * (s.positive_weight if y else 1.0)
+            for k in r.tolist():
+                w = weight(k)
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / s.alpha * w
+                n[k] += g * g
+            z0 += g - ((n0 + g * g) ** 0.5 - n0**0.5) / s.alpha * b
+            n0 += g * g
+    want = {k: weight(k) for k in range(32) if weight(k)}
+    assert at.tolist() == list(want) and np.allclose(weights, list(want.values()))
+    assert np.isclose(bias, -z0 / ((s.beta + n0**0.5) / s.alpha))

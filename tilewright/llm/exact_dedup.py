@@ -93,7 +93,7 @@ def repeated_fingerprints(rows: DataFrame, column: str = "fingerprint", slab_bit
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256, code (xxhash64 of the text as it is).
 
     Texts are equal when identical after their ASCII white space is deleted. The row with
     the most code points in its original text stays, among those the smallest id. Null
@@ -103,11 +103,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     columns_of(docs, id_col, text_col)
     whole = whole_text(text_col)
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.length(whole).alias("chars"), normalised(whole).alias("plain"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole).alias("code"), F.length(whole).alias("chars"), normalised(whole).alias("plain"))
     narrow = write_table(
         plain.select(
             "doc_id",
-            "chars",
+            "code",
             F.xxhash64("plain").alias("fingerprint"),
             F.unhex(F.sha2("plain", 256)).alias("digest"),
         ),
@@ -116,7 +116,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = write_table(repeated_fingerprints(narrow).select("fingerprint"), "repeated")
     suspects = plain.withColumn("fingerprint", F.xxhash64("plain")).join(repeated, "fingerprint", "left_semi")
     # Grouping by the text itself compares whole texts byte by byte.
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("less")))
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "chars", (-F.col("doc_id")).alias("less")))
     groups = suspects.groupBy("fingerprint", "plain").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
     groups = write_table(
         groups.where("size > 1").select(
@@ -135,4 +135,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "code",
     )

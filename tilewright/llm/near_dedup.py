@@ -6,12 +6,15 @@
 3. Representatives that share a band key meet in a bucket. There the equal low bits are
    counted; corrected for chance they estimate the similarity. Pairs clearly below the
    threshold go; the others hold a cluster together.
-4. Inside each cluster the full sets decide, by counting common shingles.
-5. Confirmed links form the components.
+4. The full sets decide, first along the edges that hold a cluster together: a text meets its
+   neighbours one after the other. Where all hold, nothing is left to compare.
+5. A cluster that falls into parts is compared between its parts, by counting common shingles.
+6. Confirmed links form the components.
 
-Buckets and clusters of more than ``block`` texts are split into blocks by a hash, and pairs
-of blocks are tasks' tiles, so no task holds more than two blocks. A tile gives at most one
-edge per text it holds, so a family of near copies never turns into a list of its pairs.
+Buckets and clusters of more than ``block`` texts, or ``block_shingles`` shingles, are split
+into blocks by a hash, and pairs of blocks are tasks' tiles, so no task holds more than two
+blocks. A tile gives at most one edge per text it holds, so a family of near copies never turns
+into a list of its pairs.
 
 With 28 bands of 5 rows, two texts at the threshold of 0.8 miss each other in all bands with
 probability 2e-5, and fall under the estimate's floor with 3e-7.
@@ -25,10 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import Cache, chained, columns_of, held, mixed, whole_text, word_hashes
+from tilewright.llm.common import Cache, chained, columns_of, held, mixed, released, whole_text, word_hashes
 from tilewright.llm.components import components
 from tilewright.session import shuffle_slots, write_table
 
@@ -42,6 +45,7 @@ class Settings:
     bits: int = 4
     floor: float = 0.62  # pairs estimated below are no candidates
     block: int = 512
+    block_shingles: int = 1 << 19
 
     @property
     def hashes(self) -> int:
@@ -123,20 +127,22 @@ def sketches(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "high", "low", "keys", "signature"],
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), batch.column(2)],
+                names=["doc_id", "n_shingles", "high", "low", "keys", "signature", "code"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, n_shingles long, high long, low long, keys array<long>, signature binary")
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("code"))
+    columns = "doc_id long, n_shingles long, high long, low long, keys array<long>, signature binary, code long"
+    return rows.mapInArrow(released(make), columns)
 
 
-def tiled(members: DataFrame, group: str, size: str, node: str, block: int) -> DataFrame:
+def tiled(members: DataFrame, group: str, blocks: Column, node: str) -> DataFrame:
     """Each member once for every tile of its group: ``i`` <= ``j`` are the blocks that meet, ``own`` is the member's."""
-    count = F.ceil(F.col(size) / block).cast("int")
+    count = F.greatest(F.ceil(blocks), F.lit(1)).cast("int")
     own = members.withColumn("own", F.pmod(F.xxhash64(node, group), count).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", size)
+    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
@@ -184,6 +190,9 @@ def candidate_edges(tiles: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa
     """Estimate similarities inside each tile of a bucket; a spanning forest of what may be linked."""
     sk = sketcher(s)
     for block, ids, sizes, signatures in runs(tiles, 3):
+        # The smallest id leads, so tiles of other bands find the same edges.
+        order = np.argsort(np.array(ids), kind="stable").tolist()
+        block, ids, sizes, signatures = ([c[k] for k in order] for c in (block, ids, sizes, signatures))
         sig = np.frombuffer(b"".join(signatures), np.uint64).reshape(len(ids), -1)
         n, side = np.array(sizes), np.array(block)
         cross = side.min() != side.max()
@@ -218,18 +227,34 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def star_edges(stars: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Compare the first text of each star, its middle, with the others, one at a time."""
+    now, middle = None, np.zeros(0, np.uint64)
+    for batch in stars:
+        pairs = []
+        for hub, share, leaf, node, data in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4)):
+            own = np.frombuffer(data.as_buffer(), np.uint64)
+            if not leaf:
+                now, middle = (hub, share), own.copy()
+            elif now == (hub, share):
+                both = len(np.intersect1d(middle, own, assume_unique=True))
+                if 100 * both >= s.percent * (len(middle) + len(own) - both):
+                    pairs.append((hub, node))
+        yield edge_batch(pairs)
+
+
 def confirmed_edges(tiles: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Compare full sets inside each tile of a cluster; a spanning forest of the links."""
-    for block, ids, data in runs(tiles, 3):
+    """Compare full sets of different parts inside each tile of a cluster; a spanning forest of the links."""
+    for block, ids, parts, data in runs(tiles, 3):
         sets = [np.frombuffer(x, np.uint64) for x in data]
-        n, side = np.array([len(x) for x in sets]), np.array(block)
+        n, side, part = np.array([len(x) for x in sets]), np.array(block), np.array(parts)
         cross = side.min() != side.max()
         common = common_counts(sets)
 
         def linked() -> Iterator[tuple[int, np.ndarray]]:
             for k in range(len(ids) - 1):
                 both = common[k, k + 1 :]
-                link = 100 * both >= s.percent * (n[k] + n[k + 1 :] - both)
+                link = (100 * both >= s.percent * (n[k] + n[k + 1 :] - both)) & (part[k + 1 :] != part[k])
                 if cross:
                     link &= side[k + 1 :] != side[k]
                 yield k, k + 1 + np.flatnonzero(link)
@@ -237,8 +262,32 @@ def confirmed_edges(tiles: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa
         yield edge_batch([(ids[x], ids[y]) for x, y in joined(len(ids), linked())])
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``wanted`` (node, high, low and more) with the shingle ``set`` of the text that has this id and digest."""
+    own = [c for c in wanted.columns if c not in ("high", "low")]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sk = sketcher(s)
+        for batch in batches:
+            keep, sets = [], []
+            for k, (value, high, low) in enumerate(zip(*(batch.column(c) for c in ("text", "high", "low")))):
+                shingles = sk.shingles(value.as_buffer().to_pybytes()).tobytes()
+                digest = np.frombuffer(xxhash.xxh3_128_digest(shingles), "<i8")
+                if digest[0] == high.as_py() and digest[1] == low.as_py():
+                    keep.append(k)
+                    sets.append(shingles)
+            kept = [batch.column(c).take(pa.array(keep, pa.int64())) for c in own]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], names=[*own, "set"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), whole_text(text_col).cast("binary").alias("text"))
+    # Hashing the narrow side spares sorting texts, and the plan is the same at every size.
+    found = texts.join(wanted.hint("shuffle_hash"), "node").select(*wanted.columns, "text")
+    columns = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in own)
+    return found.mapInArrow(released(make), f"{columns}, set binary")
+
+
 def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, code (xxhash64 of the text as it is).
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased; a set holds the
     distinct shingles of ``words`` words, or the whole text as one if it has fewer. Texts are linked
@@ -258,43 +307,49 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
     keys = reps.select("node", F.explode("keys").alias("key"))
     busy = write_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = keys.join(busy, "key").join(reps.select("node", "n_shingles", "signature"), "node")
-    tiles = tiled(members, "key", "size", "node", s.block).select("key", "i", "j", "own", "node", "n_shingles", "signature")
+    tiles = tiled(members, "key", F.col("size") / s.block, "node").select("key", "i", "j", "own", "node", "n_shingles", "signature")
     tiles = tiles.repartition(slots, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    likely = tiles.mapInArrow(lambda batches: candidate_edges(batches, s), "a long, b long")
-    clusters = components(likely)
-
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    nodes = clusters.join(sizes, "component").join(classes, "node")
-    nodes = write_table(nodes.select("node", "component", "size", "high", "low"), "nodes")
-
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sk = sketcher(s)
-        for batch in batches:
-            keep, sets = [], []
-            for k, (value, high, low) in enumerate(zip(*(batch.column(c) for c in ("text", "high", "low")))):
-                shingles = sk.shingles(value.as_buffer().to_pybytes()).tobytes()
-                digest = np.frombuffer(xxhash.xxh3_128_digest(shingles), "<i8")
-                if digest[0] == high.as_py() and digest[1] == low.as_py():
-                    keep.append(k)
-                    sets.append(shingles)
-            own = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("node", "component", "size")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.binary())], names=["node", "component", "size", "set"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), whole_text(text_col).cast("binary").alias("text"))
-    # Hashing the narrow side spares sorting texts, and the plan is the same at every size.
-    found = texts.join(nodes.hint("shuffle_hash"), "node").select("node", "component", "size", "high", "low", "text")
-    found = found.mapInArrow(full_sets, "node long, component long, size long, set binary")
-    tiles = tiled(found, "component", "size", "node", s.block).select("component", "i", "j", "own", "node", "set")
-    tiles = tiles.repartition(slots, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = components(tiles.mapInArrow(lambda batches: confirmed_edges(batches, s), "a long, b long"))
+    likely = tiles.mapInArrow(released(lambda batches: candidate_edges(batches, s)), "a long, b long")
+    likely = write_table(likely.distinct(), "likely")
+    clusters = write_table(components(likely), "clusters")
+
+    # Stars: a node and those of its neighbours that have greater ids, dealt in shares.
+    edges = likely.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("node")).distinct()
+    degree = edges.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / s.block).alias("shares"))
+    leaves = edges.join(degree, "hub").select("hub", F.pmod(F.xxhash64("node"), "shares").alias("share"), F.lit(1).alias("leaf"), "node")
+    shares = F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)
+    middles = degree.select("hub", F.explode(shares).alias("share"), F.lit(0).alias("leaf"), F.col("hub").alias("node"))
+    wanted = leaves.union(middles).join(classes, "node").select("hub", "share", "leaf", "node", "high", "low")
+    stars = full_sets(docs, write_table(wanted, "stars"), s, id_col, text_col)
+    stars = stars.repartition(slots, "hub", "share").sortWithinPartitions("hub", "share", "leaf")
+    held_ = write_table(stars.mapInArrow(released(lambda batches: star_edges(batches, s)), "a long, b long"), "held")
+    parts = components(held_).select("node", F.col("component").alias("part"))
+
+    nodes = clusters.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    nodes = nodes.join(reps.select("node", "high", "low", "n_shingles"), "node")
+    nodes = write_table(nodes, "nodes")
+    sizes = nodes.groupBy("component").agg(
+        F.greatest(F.count(F.lit(1)) / s.block, F.sum("n_shingles") / s.block_shingles).alias("blocks"),
+        F.min("part").alias("p"), F.max("part").alias("q"),
+    )
+    open_ = nodes.join(sizes.where("p < q").select("component", "blocks"), "component")  # clusters that fell into parts
+    open_ = write_table(open_.select("node", "component", "part", "blocks", "high", "low"), "open")
+    links = held_
+    if not open_.isEmpty():
+        found = full_sets(docs, open_, s, id_col, text_col)
+        tiles = tiled(found, "component", F.col("blocks"), "node").select("component", "i", "j", "own", "node", "part", "set")
+        tiles = tiles.repartition(slots, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+        links = links.union(tiles.mapInArrow(released(lambda batches: confirmed_edges(batches, s)), "a long, b long"))
+    links = components(links)
 
     lead = classes.join(links, "node", "left").select("high", "low", F.coalesce("component", "node").alias("lead"))
     lead = write_table(lead, "leads")
-    rows = made.select("doc_id", "n_shingles", "high", "low").join(lead, ["high", "low"], "left")
+    rows = made.select("doc_id", "n_shingles", "high", "low", "code").join(lead, ["high", "low"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lead", "doc_id"))
     return rows.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        "code",
     )

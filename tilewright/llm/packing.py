@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import columns_of, whole_text
+from tilewright.llm.common import columns_of, released, whole_text
 from tilewright.llm.tokens import DEFAULT_TOKENIZER, ids_of
 from tilewright.session import write_table
 
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, id_col:
 
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rank long, task long")
+    return rows.mapInArrow(released(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rank long, task long")
 
 
 def pack(
@@ -178,4 +178,4 @@ def pack(
     ranked = table.join(starts.drop("n"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     kind = ranked.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(released(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

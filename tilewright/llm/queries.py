@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("code")
 
 
 def op2_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), NearSettings(words=2))
+    return near_duplicates(table(spark, sf_dir, "documents"), NearSettings(words=2)).drop("code")
 
 
 def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:

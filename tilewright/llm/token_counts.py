@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import columns_of, whole_text
+from tilewright.llm.common import columns_of, released, whole_text
 from tilewright.llm.tokens import DEFAULT_TOKENIZER, Ids, ids_of
 
 PIECE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,7 +129,7 @@ def token_counts(
 
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return rows.mapInArrow(released(count), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def prefix_counts(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,4 +150,4 @@ def prefix_counts(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, id_col: s
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(table, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, counts array<long>")
+    return rows.mapInArrow(released(table), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, counts array<long>")

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tilewright.llm.common import Cache, chained, held, mixed, whole_text
+from tilewright.llm.common import Cache, chained, held, mixed, released, whole_text
+from tilewright.session import write_table
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 STEMS = (4, 5)  # letters of the stem features
@@ -76,10 +77,6 @@ def sigmoid(x: float) -> float:
 
 def fit_ftrl(rows: list[np.ndarray], labels: list[int], s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and weights that are not zero, and the bias, after ``epochs`` passes in the given order."""
-    texts = np.zeros(1 << s.bits, np.int32)
-    for at in rows:
-        texts[at] += 1  # indices of one text are distinct
-    rows = [at[texts[at] >= s.seen] for at in rows]
     z, n = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
     bias_z = bias_n = 0.0
 
@@ -104,13 +101,34 @@ def fit_ftrl(rows: list[np.ndarray], labels: list[int], s: Settings) -> tuple[np
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Texts and labels of at most ``rows`` labelled ids for which ``learn`` holds, chosen by a hash of the id."""
+    """Texts and labels of at most ``rows`` labelled ids for which ``learn`` holds, chosen by a hash of the id.
+
+    One row per id: of several texts under an id the greatest stands for it.
+    """
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).where(learn)
     chosen = chosen.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id")
     chosen = chosen.orderBy(order, "doc_id").limit(rows).withColumn("place", order)
     texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` narrow rows
+    found = texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` narrow rows
+    return found.groupBy("doc_id", "label", "place").agg(F.max("text").alias("text"))
+
+
+def common_features(made: DataFrame, s: Settings) -> np.ndarray:
+    """Bits of the features that at least ``seen`` rows hold. Tasks count before they send; 2 ** bits bounds the result."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = np.zeros(1 << s.bits, np.int32)
+        for batch in batches:
+            for value in batch.column(0):
+                texts[np.frombuffer(value.as_buffer(), np.uint32)] += 1  # indices of one text are distinct
+        held_ = np.flatnonzero(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(held_, pa.int64()), pa.array(texts[held_], pa.int64())], names=["feature", "n"])
+
+    counts = made.select("at").mapInArrow(released(count), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    keep = np.zeros(1 << s.bits, bool)
+    keep[counts.where(F.col("n") >= s.seen).select("feature").toArrow().column(0).to_numpy()] = True
+    return np.packbits(keep)
 
 
 def fit_toxicity(
@@ -119,8 +137,8 @@ def fit_toxicity(
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on a bounded sample of the labels for which ``learn`` holds.
 
-    Features are made where the rows are; one task gathers the sample's features, at most
-    ``sample_rows`` rows, and fits. Without labels all weights are zero and scores are 0.5.
+    Features are made by many tasks, and those in fewer than ``seen`` texts are left out there;
+    one task gathers what is left of at most ``sample_rows`` rows, and fits. Without labels all weights are zero and scores are 0.5.
     """
     s = settings or Settings()
 
@@ -130,17 +148,31 @@ def fit_toxicity(
             rows = [make.of(x.as_buffer().to_pybytes()).tobytes() for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(rows, pa.binary())], names=["place", "label", "at"])
 
+    sample = labelled_sample(docs, labels, label, learn, s.sample_rows, id_col, text_col)
+    made = sample.select("text", "place", "label").mapInArrow(released(extract), "place long, label int, at binary")
+    made = write_table(made, "features")
+    bits = common_features(made, s)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(bits).astype(bool)
+        for batch in batches:
+            rows = (np.frombuffer(value.as_buffer(), np.uint32) for value in batch.column(2))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([at[keep[at]].tobytes() for at in rows], pa.binary())], names=["place", "label", "at"]
+            )
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        at, w, bias = fit_ftrl([np.frombuffer(r[2], np.uint32) for r in rows], [r[1] for r in rows], s)
+        # Views of what Arrow received: the sample is held once.
+        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))]
+        rows.sort(key=lambda r: (r[0], r[1], r[2].as_buffer().to_pybytes()[:64]))
+        at, w, bias = fit_ftrl([np.frombuffer(r[2].as_buffer(), np.uint32) for r in rows], [r[1] for r in rows], s)
         yield pa.RecordBatch.from_arrays(
             [pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([bias], pa.float64())],
             names=["at", "w", "bias"],
         )
 
-    sample = labelled_sample(docs, labels, label, learn, s.sample_rows, id_col, text_col)
-    made = sample.select("text", "place", "label").mapInArrow(extract, "place long, label int, at binary")
-    model = made.repartition(1).mapInArrow(fit, "at binary, w binary, bias double").collect()[0]
+    thinned = made.mapInArrow(released(thin), "place long, label int, at binary")
+    model = thinned.repartition(1).mapInArrow(released(fit), "at binary, w binary, bias double").collect()[0]
     return np.frombuffer(model.at, np.uint32), np.frombuffer(model.w), model.bias
 
 
@@ -169,4 +201,4 @@ def toxicity_scores(
 
     kept = docs.drop(*into)
     place = kept.columns.index(text_col)
-    return kept.mapInArrow(score, StructType(list(kept.schema.fields)).add(into[0], "double").add(into[1], "integer"))
+    return kept.mapInArrow(released(score), StructType(list(kept.schema.fields)).add(into[0], "double").add(into[1], "integer"))
