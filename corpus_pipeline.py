@@ -20,20 +20,26 @@ from tilewright.session import write_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that a model of all toxicity labels does not call toxic."""
+    """Rows that a model of all toxicity labels does not call toxic. Null and empty texts are judged like any other."""
     labels = on_workers(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, F.lit(True))
     scored = toxicity_scores(docs, model, into=("_toxic_score", "_toxic"))
     return scored.where("_toxic = 0").select(docs.columns)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``ids``, a written table, so that Spark knows its size."""
-    return docs.join(write_table(ids.select("doc_id"), "dropped"), "doc_id", "left_anti").select(docs.columns)
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text are not in ``dropped`` (doc_id, code), which is written, so that Spark
+    knows its size. Other texts under the same id stay."""
+    dropped = write_table(dropped.select("doc_id", F.col("code").alias("_code")).distinct(), "dropped")
+    coded = docs.withColumn("_code", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return coded.join(dropped, ["doc_id", "_code"], "left_anti").select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The longest of equal texts stays, then the one with the smallest id; rows repeated under an id are one."""
+    """The longest of equal texts stays, then the one with the smallest id; rows repeated under an id are one.
+
+    A null text counts as empty.
+    """
     on_workers(spark)
     groups = write_table(exact_groups(docs), "exact")
     stays = without(docs, groups.where("not kept and doc_id is not null"))
@@ -47,19 +53,22 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near copies stays: shingles of five words, similarity of 0.8 or more.
+
+    Null and empty texts have no copies.
+    """
     on_workers(spark)
     return without(docs, near_duplicates(docs, NearSettings(words=5)).where("not kept and doc_id is not null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which benchmark passages are less than a twentieth."""
+    """Rows of which benchmark passages are less than a twentieth. Null and empty texts stay."""
     benchmark = on_workers(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs, benchmark, row="row").where("not contaminated").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens; a null or empty text is one token, its end."""
     on_workers(spark)
     return pack(docs)
 
