@@ -3,8 +3,10 @@
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -14,7 +16,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tilewright.llm.chat import rotate
 from tilewright.llm.decontaminate import contamination
 from tilewright.llm.dom import parse, tidy
-from tilewright.llm.html_extract import Settings, extract_main
+from tilewright.llm.html_extract import HOST, Settings, extract_main, main_blocks, page_values, unit_key
 from tilewright.llm.oracle import ORACLE
 from tilewright.llm.queries import QUERIES
 from tilewright.llm.warc import archived, captures, inflated, normalise, read_archives, read_chunks, read_member, write_archives
@@ -222,6 +224,92 @@ def test_importances_decide_beside_and_inside_an_article(table):
         assert text[200 + k] == f"Only {k}\n\nReply {k}"
 
 
+BODY = "The one and only text of this recipe, told at some length so that nobody takes it for a strip, %s."
+CASES = {
+    "one body under many headlines": (
+        "<body><article><h1>Headline %d</h1><p>" + BODY % "first" + "<p>" + BODY % "then" + "</article></body>",
+        "Headline %d\n\n" + BODY % "first" + "\n\n" + BODY % "then",
+    ),
+    "short body under many headlines": ("<body><article><h1>Headline %d</h1><p>Same a<p>Same b</article></body>", "Headline %d\n\nSame a\n\nSame b"),
+    "repeated inner headings": (
+        "<body><article><h1>Dish %d</h1><h2>Ingredients</h2><p>Take %d eggs<h2>Method</h2><p>Stir %d times</article></body>",
+        "Dish %d\n\nIngredients\n\nTake %d eggs\n\nMethod\n\nStir %d times",
+    ),
+    "comments and adverts": (
+        "<body><div class=ad>Buy %d now</div><article><h1>Title %d</h1><p>Text of page %d<div class=comments><p>I said %d</div></article>"
+        "<div class=comments><p>They said %d and a lot more than that</div></body>",
+        "Title %d\n\nText of page %d",
+    ),
+    "plain blocks": (
+        "<body><div><ul><li><a href=/>Home</a><li><a href=/n>News %d</a></ul></div><div>Advert number %d</div><div><h1>Title %d</h1>"
+        "<p>The long text of page %d goes on</div><div>Our firm, %d</div></body>",
+        "Title %d\n\nThe long text of page %d goes on",
+    ),
+    "names without an article": (
+        "<body><div class=menu>Home %d</div><h1>Title %d</h1><p>Text of page %d<div class='site-footer'>Firm %d</div></body>", "Title %d\n\nText of page %d",
+    ),
+}
+
+
+def filled(text, k):
+    return text.replace("%d", str(k))
+
+
+@pytest.mark.parametrize("size", [1, 4, 5, 8, 50])
+def test_extraction_is_the_same_on_hosts_of_every_size(table, size):
+    pages = [(1000 * h + k, f"http://h{h}.example/{k}", filled(page, k)) for h, (page, _) in enumerate(CASES.values()) for k in range(size)]
+    text = {r.page_id: r.text for r in extract_main(table(pages, "page_id", "url", "html")).collect()}
+    for h, (name, (_, want)) in enumerate(CASES.items()):
+        for k in range(size):
+            assert text[1000 * h + k] == filled(want, k), name
+
+
+def slow_trees(pages, s):
+    """Trees of hosts by plain counting."""
+    out = {}
+    for host in {h for h, _ in pages}:
+        texts = [t for h, t in pages if h == host]
+        counts = {}
+        for t in texts:
+            for path, kind, value in page_values(parse(t)):
+                key = (unit_key(path, value), 2) if kind == 2 else (path, kind)
+                counts.setdefault(key, Counter())[0 if kind == 2 else value] += 1
+        tree, m = {}, len(texts)
+        for (path, kind), values in counts.items():
+            n = sum(values.values())
+            if kind == 0 and n > 1:
+                tree.setdefault(path, [None, 1.0])[0] = -sum(x / n * math.log(x / n) for x in values.values()) / math.log(m)
+            if kind == 1 and n > 1:
+                tree.setdefault(path, [None, 1.0])[1] = 1 - sum(x * math.log(x) for x in values.values()) / n / math.log(m + s.smoothing)
+            if kind == 2 and n > 1:
+                tree[path] = [0.0, 1 - math.log(n) / math.log(m + s.smoothing)]
+            if kind == 3 and m > 1:
+                tree.setdefault(path, [None, 1.0])[0] = sum(x * v for v, x in values.items()) / (100 * m)
+        out[host] = {p: (a, b) for p, (a, b) in tree.items() if a is not None}
+    return out
+
+
+def renamed(html):
+    """Without what marks the parts of a page."""
+    return re.sub(r' class="ad"', "", re.sub(r"(</?)(article|nav|footer)\b", r"\1div", html))
+
+
+@pytest.mark.parametrize("change", [str, renamed])
+def test_extraction_of_the_pages_follows_slow_trees(spark, change):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    pages = [(r.page_id, r.url, change(r.html)) for r in rows]
+    got = {r.page_id: r.text for r in extract_main(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    hosts = [(re.match(HOST, u)[1].lower(), h) for _, u, h in pages]
+    trees = slow_trees(hosts, Settings())
+    right = 0
+    for r, (host, html) in zip(rows, hosts):
+        assert got[r.page_id] == "\n\n".join(main_blocks(parse(html), trees[host], Settings()))
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)
+        blocks = [tidy(re.sub(r"<[^>]*>", "", x)) for x in re.split(r"</?(?:p|h1|li|ul|br|div)\b[^>]*>", article[1])] if article else []
+        right += "".join(got[r.page_id].split()) == "".join("".join(blocks).split())
+    assert right >= 0.9 * len(rows)
+
+
 @pytest.mark.parametrize("text", ["<p", "<!-- x", "<a href='x>y", "</p>a</div>b", "<script>x", "<b><i>x</b>y</i>", "<>", "< p>", "<p a='1' b=\"2>", "<" * 3000, "<p '" * 2000])
 def test_broken_pages_do_not_break_the_reader(text):
     page = parse(text)

@@ -2,19 +2,25 @@
 
 The pages of a host are merged into one tree: an element is its path of tags and classes. For
 every element the tree holds how its style (the sequence of its children) and its content
-(its own text) are spread over the host's pages. An element's presentation matters
-when its styles differ between pages: the entropy of its styles in units of log(pages). Its
-content matters when pages do not share it: content found in k of m pages has the
-importance 1 - log(k) / log(m). Importance is carried up from children to parents, and a
-branch without any important element is removed from each page.
-
-Elements that stand for menus, page headers, footers, side columns, notices, adverts,
-forms, scripts and comments by their tag or role have no importance on any page,
-so pages of small hosts lose them as well. Prose (a paragraph, heading, list, quotation, or a
-table of an article) is judged by its whole text: what most pages hold at that path goes.
-A class or id that names such a thing lowers the
-importance of a block; without a tree the block goes unless it holds most of the page. If the page marks an article, only that counts on hosts without a tree; with one, what is
-outside the article has half its importance.
+(its own text) are spread over the host's pages, and how much of the pages' prose lies at its
+place. An element's presentation matters when its styles differ between pages: the entropy of its
+styles in units of log(pages). Its content matters when pages do not share it: content found in k
+of m pages has the importance 1 - log(k) / log(m + 2), so that few pages never say much.
+Importance is carried up from children to parents, and a branch without any important element
+is removed from each page. Prose (a paragraph, heading, list, quotation, or a table of
+an article) is judged by its whole text, headings inside an article not at all.
+
+One rule holds for hosts of every size:
+
+* Elements that stand for menus, page headers, footers, side columns, notices, adverts, forms,
+  scripts and comments by their tag or role go; those that do so by a class or id go unless they
+  hold most of the page.
+* The article is what the page marks as one, unless more prose lies outside of it; without a mark it is
+  the innermost element that holds four fifths of the page's own prose, if prose usually lies there on this
+  host. What is outside the article goes.
+* Inside the article a text that most pages share at that place goes if it is short and most of the
+  article stays. Elsewhere importances decide.
+* Nothing is removed for being shared if no other text than headings would be left.
 
 Statistics are counts per host, element and value, added up inside the tasks before they are
 shuffled; a host with a third of all pages costs one row per element, value and task.
@@ -31,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import columns_of, whole_text
+from tilewright.llm.common import columns_of, released, whole_text
 from tilewright.llm.dom import INLINE, Page, parse, tidy
 from tilewright.session import write_table
 
@@ -57,6 +63,8 @@ ARTICLE_TAGS = frozenset(("article", "main"))
 TABLE_TAGS = frozenset("table tbody thead tr td th".split())
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption hr".split())
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -64,9 +72,10 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 class Settings:
     threshold: float = 0.2  # an element below this has no importance
     damping: float = 0.9  # how far children speak for their parent
-    least_pages: int = 5  # hosts with fewer pages have no style tree
-    named: float = 0.3  # what a noise name leaves of an importance
-    outside: float = 0.5  # what is left of it outside the article, if the page marks one
+    smoothing: int = 2  # pages that are added to a host's when shared content is weighed
+    short: int = 120  # code points of a text that may go from an article
+    most: float = 0.8  # share of a page's prose that an article holds
+    usual: float = 0.3  # mean share of prose at its place on the host
 
 
 def noise_words(page: Page, k: int) -> set[str]:
@@ -90,6 +99,17 @@ def paths(page: Page) -> list[int]:
     return out
 
 
+def places(page: Page) -> list[int]:
+    """Hash of each element's path of tags, with its number among the siblings of that tag."""
+    out: list[int] = []
+    seen: dict[tuple[int, str], int] = {}
+    for tag, parent in zip(page.tags, page.parents):
+        above = out[parent] if parent >= 0 else 0
+        n = seen[parent, tag] = seen.get((parent, tag), 0) + 1
+        out.append(signed(f"place {above} {tag} {n}"))
+    return out
+
+
 def signed(text: str) -> int:
     code = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
     return code - (1 << 64) if code >= 1 << 63 else code
@@ -134,6 +154,11 @@ def unit_values(page: Page, unit: list[int]) -> dict[int, int]:
     return {k: signed(tidy("\n".join(rows))) for k, rows in texts.items()}
 
 
+def unit_size(page: Page, unit: list[int], of: int) -> int:
+    """Code points of the text of a unit."""
+    return sum(len(text.strip()) for k, _, text in page.runs if unit[k] == of)
+
+
 def unit_key(path: int, value: int) -> int:
     """One number for a text at a path."""
     return signed(f"{path} {value}")
@@ -142,7 +167,8 @@ def unit_key(path: int, value: int) -> int:
 def page_values(page: Page) -> Iterator[tuple[int, int, int]]:
     """(element path, kind, value): its style as kind 0, its content as kind 1, once per page and path.
 
-    Each text of a unit is kind 2, once per page, path and text.
+    Each text of a unit is kind 2, once per page, path and text. The share of the page's prose
+    in the branch of an element, in hundredths, is kind 3, at its place.
     """
     path, owner = paths(page), owners(page)
     children: dict[int, list[str]] = {}
@@ -164,6 +190,10 @@ def page_values(page: Page) -> Iterator[tuple[int, int, int]]:
         yield p, 1, signed("\n".join(texts))
     held = unit_values(page, units(page, inside_article(page)))
     yield from {(path[k], 2, value) for k, value in held.items()}
+    mass = prose(page, removed(page), set())
+    for k, place in enumerate(places(page)):
+        if mass[0] and 100 * mass[k] >= mass[0] and page.tags[k] not in PROSE_TAGS | INLINE:
+            yield place, 3, 100 * mass[k] // mass[0]
 
 
 def importance(page: Page, tree: dict[int, tuple[float, float]], s: Settings) -> list[float]:
@@ -191,8 +221,8 @@ def importance(page: Page, tree: dict[int, tuple[float, float]], s: Settings) ->
     return best
 
 
-def main_blocks(page: Page, tree: dict[int, tuple[float, float]] | None, s: Settings) -> list[str]:
-    """Text blocks of the page that belong to its article."""
+def removed(page: Page) -> list[bool]:
+    """Whether each element is no part of an article by its tag, role, class or id, or lies in one that is not."""
     n = len(page.tags)
     inside, holds = inside_article(page), [False] * n
     for k in range(n - 1, -1, -1):
@@ -208,47 +238,104 @@ def main_blocks(page: Page, tree: dict[int, tuple[float, float]] | None, s: Sett
             own = own or bool(words & COMMENT_NAMES)
         noise[k] = own or (page.parents[k] >= 0 and noise[page.parents[k]])
         named[k] = bool(words) and tag != "article" and not holds[k]
-
     size = [0] * n
     for k, _, text in page.runs:
         if not noise[k]:
             size[k] += len(text.strip())
     for k in range(n - 1, 0, -1):
         size[page.parents[k]] += size[k]
-    minor = [named[k] and 2 * size[k] <= size[0] for k in range(n)]  # a name does not take the most of a page
     for k in range(1, n):
-        named[k] = named[k] or named[page.parents[k]]
-        minor[k] = minor[k] or minor[page.parents[k]]
+        minor = named[k] and 2 * size[k] <= size[0]  # a name does not take the most of a page
+        noise[k] = noise[k] or minor or noise[page.parents[k]]
+    return noise
 
-    def blocks(weak: list[bool], marked: bool) -> list[str]:
-        parts: dict[tuple[bool, int], list[str]] = {}
-        for k, block, text in page.runs:
-            if not noise[k] and not weak[k]:
-                parts.setdefault((inside[k], block), []).append(text)
-        rows = [(article, t) for (article, _), texts in parts.items() if (t := tidy("".join(texts)))]
-        only = marked and any(article for article, _ in rows)
-        return [t for article, t in rows if article or not only]
-
-    if not tree:
-        return blocks(minor, True)
-    best, weak = importance(page, tree, s), [False] * n
-    marked = any(inside[k] and not noise[k] and not text.isspace() for k, _, text in page.runs)
-    path, unit = paths(page), units(page, inside)
+
+def prose(page: Page, gone: list[bool], shared: set[int]) -> list[int]:
+    """Code points of prose in the branch of each element, without links, what is gone and the units in ``shared``."""
+    n = len(page.tags)
+    unit, link, mass = units(page, inside_article(page)), [False] * n, [0] * n
+    for k in range(n):
+        link[k] = page.tags[k] == "a" or (page.parents[k] >= 0 and link[page.parents[k]])
+    for k, _, text in page.runs:
+        if unit[k] >= 0 and not gone[k] and not link[k] and unit[k] not in shared:
+            mass[k] += len(text.strip())
+    for k in range(n - 1, 0, -1):
+        mass[page.parents[k]] += mass[k]
+    return mass
+
+
+def article_of(page: Page, gone: list[bool], shared: set[int], tree: dict, s: Settings) -> list[bool] | None:
+    """Whether each element belongs to the page's article; None if it has none that stands out."""
+    n, inside = len(page.tags), inside_article(page)
+    held = {True: 0, False: 0}  # text of a marked article, prose outside of it
+    mass = prose(page, gone, shared)
+    for k, _, text in page.runs:
+        if not gone[k] and inside[k]:
+            held[True] += len(text.strip())
+    outer = [k for k in range(1, n) if inside[k] and not inside[page.parents[k]]]
+    held[False] = mass[0] - sum(mass[k] for k in outer)
+    if held[True]:
+        return inside if held[False] <= held[True] else None
+    now, place = 0, places(page)
+    while True:
+        below = [k for k in range(now + 1, n) if page.parents[k] == now and mass[0] and mass[k] >= s.most * mass[0]]
+        if not below or page.tags[below[0]] in PROSE_TAGS or page.tags[below[0]] in INLINE:
+            break
+        now = below[0]
+    # The page itself is one of its host's, so on a host of one page prose usually lies where it does.
+    usual = tree.get(place[now], (1.0, 1.0))[0]
+    if page.tags[now] in ("#root", "html", "body") or usual < s.usual:
+        return None
+    own = [False] * n
+    for k in range(now, n):
+        own[k] = k == now or (page.parents[k] >= 0 and own[page.parents[k]])
+    return own
+
+
+def main_blocks(page: Page, tree: dict[int, tuple[float, float]], s: Settings) -> list[str]:
+    """Text blocks of the page that belong to its article."""
+    n, gone = len(page.tags), removed(page)
+    path, unit = paths(page), units(page, inside_article(page))
     values = unit_values(page, unit)
+
+    def importance_of(k: int) -> float:
+        return tree.get(unit_key(path[k], values[k]), (1.0, 1.0))[1]
+
+    shared = {k for k in values if not gone[k] and importance_of(k) < s.threshold}
+    article = article_of(page, gone, shared, tree, s)
+    best, weak = importance(page, tree, s), [False] * n
+    listed = [k for k in values if not gone[k] and (article is None or article[k])]
+    body = [k for k in listed if page.tags[k] not in HEADINGS]
+    drop = {k for k in shared if k in listed}
+    if article is not None:
+        drop = {k for k in drop if page.tags[k] not in HEADINGS and unit_size(page, unit, k) <= s.short}
+        drop = drop if 2 * len(drop) <= len(listed) else set()
+    if body and all(k in drop for k in body):
+        drop = set()
     for k in range(1, n):
-        prior = (s.named if named[k] else 1.0) * (s.outside if marked and not inside[k] and not holds[k] else 1.0)
-        own = best[k]
+        follows = page.tags[k] in INLINE or (unit[k] >= 0 and unit[k] != k)
         if unit[k] == k:
-            own = tree.get(unit_key(path[k], values[k]), (1.0, 1.0))[1] if k in values else 1.0
-        follows = page.tags[k] in INLINE or (unit[k] >= 0 and unit[k] != k and not named[k])
-        weak[k] = weak[page.parents[k]] or (not follows and own * prior < s.threshold)
-    return blocks(weak, False) or blocks(minor, True)
+            own = k in drop
+        else:
+            own = not follows and article is None and best[k] < s.threshold
+        weak[k] = weak[page.parents[k]] or own
+
+    def blocks(tests: list[list[bool]]) -> list[str]:
+        parts: dict[int, list[str]] = {}
+        for k, block, text in page.runs:
+            if not gone[k] and not any(t[k] for t in tests):
+                parts.setdefault(block, []).append(text)
+        return [t for texts in parts.values() if (t := tidy("".join(texts)))]
+
+    outside = [not x for x in article] if article is not None else [False] * n
+    return blocks([weak, outside]) or blocks([outside])
 
 
 def style_trees(pages: DataFrame, s: Settings) -> DataFrame:
-    """One row per host with at least ``least_pages`` pages: host and its tree, a list of
+    """One row per host with several pages: host and its tree, a list of
     (path, style importance, content importance). ``pages`` has the columns host and html.
-    Texts of units that several pages hold are rows of their ``unit_key``.
+    Texts of units that several pages hold are rows of their ``unit_key``; rows of places hold
+    the mean share of prose there in place of the style.
 
     Elements on a single page say nothing and are left out; they count fully.
     """
@@ -266,21 +353,21 @@ def style_trees(pages: DataFrame, s: Settings) -> DataFrame:
                 names=["host", "path", "kind", "value"],
             )
 
-    rows = pages.where("host <> ''").mapInArrow(values, "host string, path long, kind int, value long")
+    rows = pages.where("host <> ''").mapInArrow(released(values), "host string, path long, kind int, value long")
     counts = rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
     spread = counts.groupBy("host", "path", "kind").agg(
-        F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("weight")
+        F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("weight"), F.sum(F.col("n") * F.col("value")).alias("total")
     )
-    host_pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= s.least_pages)
-    size = F.log("m")
-    style = F.when(F.col("kind") == 0, (F.log("pages") - F.col("weight") / F.col("pages")) / size)
+    host_pages = pages.groupBy("host").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    size = F.log(F.col("m") + s.smoothing)
+    style = F.when(F.col("kind") == 0, (F.log("pages") - F.col("weight") / F.col("pages")) / F.log("m"))
+    style = style.when(F.col("kind") == 3, F.col("total") / (100 * F.col("m")))
     shared = F.when(F.col("kind") == 1, F.col("weight") / F.col("pages")).when(F.col("kind") == 2, F.log("pages"))
     content = 1 - shared / size
     style = F.coalesce(style, F.when(F.col("kind") == 2, 0.0))
-    # A text above this importance stays whatever lowers it, or goes whatever its importance.
-    bound = s.threshold / min(p for p in (1.0, s.named, s.outside, s.named * s.outside) if p >= s.threshold)
-    decides = (F.col("kind") < 2) | (1 - F.log("pages") / size < bound + 1e-9)
-    elements = spread.where("pages > 1").join(host_pages, "host").where(decides).groupBy("host", "path")
+    # A text that this many pages do not share, and a place that holds prose often enough, decide nothing.
+    decides = (F.col("kind") < 2) | (content < s.threshold + 1e-9) | ((F.col("kind") == 3) & (style < s.usual))
+    elements = spread.where("pages > 1 OR kind = 3").join(host_pages, "host").where(decides).groupBy("host", "path")
     elements = elements.agg(F.max(style).alias("style"), F.coalesce(F.max(content), F.lit(1.0)).alias("content"))
     known = elements.where("style is not null")
     return known.groupBy("host").agg(F.collect_list(F.struct("path", "style", "content")).alias("tree"))
@@ -293,7 +380,7 @@ def extract_main(
 
     ``text`` is the article's blocks in page order, joined by two line ends; inside a block
     white space is one space. Null and empty html give an empty text. Pages without a host
-    have no style tree. Null ids, repeated rows and other columns do not matter.
+    have no style tree, and those of a host of one page only its own. Null ids, repeated rows and other columns do not matter.
     """
     s = settings or Settings()
     columns_of(pages, id_col, url_col, html_col)
@@ -322,4 +409,4 @@ def extract_main(
 
     joined = rows.join(trees, "host", "left").select("page_id", "url", "host", "html", "tree")
     kinds = [joined.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    return joined.mapInArrow(extract, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return joined.mapInArrow(released(extract), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
