@@ -18,6 +18,7 @@ from tilewright.operators.assign import partition_stats
 from tilewright.operators.evaluation import median_cost, workload_cost
 from tilewright.operators.join import distance_join, distance_join_grouped
 from tilewright.operators.medians import partition_medians
+from tilewright.operators.placement import place
 from tilewright.plans.estimate import estimate_cost
 from tilewright.plans.evaluate import evaluate_layout
 from tilewright.plans.greedy import greedy_layout
@@ -31,6 +32,13 @@ def run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def sent_once(points: DataFrame, layout: DataFrame, grid: G.Grid) -> DataFrame:
+    """Placed points that nothing keeps, for timing what placing costs."""
+    made = place(points, layout, grid)
+    made.release()
+    return made.points
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -66,6 +74,13 @@ def main() -> None:
             distance_join(points, points, r, layout, grid)
         )
 
+    # Points placed once; every radius joins them where they are.
+    placed = place(points, layout, grid)
+    placed.points.count()
+    jobs["place"] = lambda: run(sent_once(points, layout, grid))
+    for label, radius in radii.items():
+        jobs[f"distance_join_placed_{label}"] = lambda r=radius: run(placed.join(radius=r))
+
     timings = {}
     for name, job in jobs.items():
         job()

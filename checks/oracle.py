@@ -276,6 +276,38 @@ SELECT draw, idx, round(priority, 6) AS priority, round(weight, 6) AS weight FRO
     "q_random_cut": f"""WITH {EVEN}, cuts AS ({CUTS_OF.format(layout='lay')}), acts AS (
   SELECT (2 * (i * {N} + j) + dir)::INT AS action FROM cuts
 ) SELECT 0 AS layout_id, action FROM acts ORDER BY {toss(7, "'0'", 'action')}, action LIMIT 1""",
+    "q_points_roundtrip": f"WITH {POINTS} SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM pts",
+    "q_vector_roundtrip": """
+WITH users AS (SELECT user_id, avg(value) AS mean FROM events GROUP BY user_id)
+SELECT (row_number() OVER (ORDER BY user_id % 2, user_id) - 1)::INT AS idx, round(mean, 6) AS value FROM users""",
+    "q_costs_roundtrip": f"""WITH {TRIALS}
+SELECT 0 AS run, qid, round(max(seconds), 6) AS seconds, 'ok' AS status FROM costs GROUP BY qid
+UNION ALL SELECT 1, NULL, NULL, 'aborted'""",
+    "q_layout_roundtrip": f"""WITH {EVEN}, {BOXES}
+SELECT l.pid, l.c0, l.c1, l.r0, l.r1, round(min_x, 6) AS min_x, round(max_x, 6) AS max_x,
+       round(min_y, 6) AS min_y, round(max_y, 6) AS max_y, count(c.id) AS n
+FROM boxes l LEFT JOIN cells c ON {IN_PART} GROUP BY ALL""",
+    "q_log_roundtrip": f"WITH {STEPS} SELECT episode, round(reward, 6) AS reward FROM totals",
+    "q_transitions_roundtrip": f"""WITH {STEPS}, kinds AS (
+  SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS step, event_type FROM events
+) SELECT episode, step, round(reward, 6) AS reward, done, true AS is_demo FROM steps JOIN kinds USING (episode, step)
+WHERE event_type = 'purchase'""",
+    "q_search_two_parts": f"""WITH {GRID}, {WORKLOAD}, root(pid, c0, c1, r0, r1) AS (VALUES (0, 0, {N}, 0, {N})),
+cuts AS ({CUTS_OF.format(layout='root')}), lay AS (
+  SELECT (2 * (i * {N} + j) + dir)::INT AS action, 0 AS pid, 0 AS c0, CASE WHEN dir = 1 THEN j ELSE {N} END AS c1,
+         0 AS r0, CASE WHEN dir = 0 THEN i ELSE {N} END AS r1 FROM cuts
+  UNION ALL
+  SELECT (2 * (i * {N} + j) + dir)::INT, 1, CASE WHEN dir = 1 THEN j ELSE 0 END, {N}, CASE WHEN dir = 0 THEN i ELSE 0 END, {N} FROM cuts
+), {BOXES}, loads AS (
+  SELECT b.action, b.pid, w.qid, any_value(rate) AS rate, count(p.id) AS m,
+         (SELECT count(*) FROM cells c WHERE c.j >= b.c0 AND c.j < b.c1 AND c.i >= b.r0 AND c.i < b.r1) AS n
+  FROM boxes b CROSS JOIN workload w LEFT JOIN pts p ON {overlap('w.distance / 110000')}
+  GROUP BY b.action, b.pid, w.qid, b.c0, b.c1, b.r0, b.r1
+), worst AS (
+  SELECT action, qid, max(n * m) * any_value(rate) AS top FROM loads GROUP BY action, qid
+), costs AS (
+  SELECT action, sum(top) AS cost, (row_number() OVER (ORDER BY sum(top), action) - 1)::INT AS layout_id FROM worst GROUP BY action
+) SELECT layout_id, pid, c0, c1, r0, r1, round(cost, 6) AS cost FROM costs JOIN lay USING (action)""",
     "q_bbox": f"""WITH {POINTS}
 SELECT round(min_x, 6) AS min_x, round(max_x, 6) AS max_x, round(min_y, 6) AS min_y, round(max_y, 6) AS max_y FROM bb""",
     "q_bbox_compat": f"""WITH {POINTS}

@@ -5,6 +5,7 @@ Points are the events: x is the time in days since 2024-01-01, y a tenth of the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,7 +32,11 @@ from tilewright.operators.scan import with_position
 from tilewright.plans.estimate import estimate_cost, partition_loads
 from tilewright.plans.greedy import greedy_layout, median_cut
 from tilewright.plans.search import search_layouts, summed_area
-from tilewright.sources.vectors import workload_table
+from tilewright.session import shared_folder
+from tilewright.sources.layouts import read_layout, write_layout
+from tilewright.sources.points import read_points, spread_points
+from tilewright.sources.tables import read_log, read_transitions, write_log, write_transitions
+from tilewright.sources.vectors import read_costs, read_vector, workload_table, write_costs, write_vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +104,67 @@ def rounded(name: str, places: int = 6) -> Column:
     return F.round(name, places).alias(name)
 
 
+# --- sources and sinks, through the shared folder
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/files/{uuid.uuid4().hex}/{name}"
+
+
+@query
+def q_points_roundtrip(spark, sf_dir):
+    """Points written as several files, read with their ids and spread over a fixed number of partitions."""
+    path = fresh_folder(spark, "points")
+    event_points(spark, sf_dir).select("x", "y", "id").repartition(3, "id").write.csv(path)
+    points = spread_points(read_points(spark, path, id_col="id"), 4)
+    return points.select("id", rounded("x"), rounded("y"))
+
+
+@query
+def q_vector_roundtrip(spark, sf_dir):
+    """Mean value of each user, the even users in one file and the odd ones in the next."""
+    path = fresh_folder(spark, "vector")
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("mean"))
+    for half in (0, 1):
+        write_vector(users.filter(F.col("user_id") % 2 == half), f"{path}/half={half}", "user_id", "mean")
+    return read_vector(spark, f"{path}/half=*").select("idx", rounded("value"))
+
+
+@query
+def q_costs_roundtrip(spark, sf_dir):
+    """Median cost per query over all layouts, and the blank file of a stopped run."""
+    costs = E.median_cost(trials(spark, sf_dir)).groupBy("qid").agg(F.max("seconds").alias("seconds"))
+    path, stopped = fresh_folder(spark, "costs"), fresh_folder(spark, "stopped")
+    write_costs(costs, path)
+    write_costs(costs.withColumn("status", F.when(F.col("qid") == 2, ABORTED).otherwise(OK)), stopped)
+    both = [read_costs(spark, p).select(F.lit(k).alias("run"), "qid", rounded("seconds"), "status") for k, p in enumerate((path, stopped))]
+    return both[0].unionByName(both[1])
+
+
+@query
+def q_layout_roundtrip(spark, sf_dir):
+    points, grid, layout = even_layout(spark, sf_dir)
+    path = fresh_folder(spark, "layout")
+    write_layout(layout, path)
+    back = partition_stats(points, read_layout(spark, path, grid), grid)
+    return back.select("pid", "c0", "c1", "r0", "r1", *[rounded(c) for c in ("min_x", "max_x", "min_y", "max_y")], "n")
+
+
+@query
+def q_log_roundtrip(spark, sf_dir):
+    path = fresh_folder(spark, "log")
+    write_log(X.episode_totals(transitions(spark, sf_dir)), path)
+    return read_log(spark, path, "episode bigint, reward double").select("episode", rounded("reward"))
+
+
+@query
+def q_transitions_roundtrip(spark, sf_dir):
+    """The demonstrations of a written experience table; the folder of the other rows is not read."""
+    path = fresh_folder(spark, "memory")
+    write_transitions(transitions(spark, sf_dir), path)
+    return read_transitions(spark, path, is_demo=True).select("episode", "step", rounded("reward"), "done", "is_demo")
+
+
 # --- points, grid, cells
 
 
@@ -279,6 +345,14 @@ def q_search_layouts(spark, sf_dir):
     )
 
 
+@query
+def q_search_two_parts(spark, sf_dir):
+    """A search without chance that keeps all layouts of two parts: every cut of the root by its cost."""
+    points, grid = event_grid(spark, sf_dir)
+    found = search_layouts(points, grid, workload(spark), max_partitions=2, beam=64, eps_random=0.0, eps_shift=0.0)
+    return found.select("layout_id", "pid", "c0", "c1", "r0", "r1", rounded("cost"))
+
+
 # --- partitions
 
 

@@ -105,3 +105,20 @@ def test_pinned_tables(spark):
     assert "Scan ExistingRDD" in large._jdf.queryExecution().executedPlan().toString()
     assert L.same_layout(large, table, ["id", "v"])
     assert cut_lineage(table).count() == 10
+
+
+def test_folders_of_several_files_are_numbered_through(spark, folder):
+    import os
+
+    os.makedirs(f"{folder}/many")
+    for name, lines in (("a.csv", "1.5\n2.5\n"), ("b.csv", "\n"), ("c.csv", "3.5 4.5")):
+        with open(f"{folder}/many/{name}", "w") as f:
+            f.write(lines)
+    got = sorted((r.idx, r.value) for r in read_vector(spark, f"{folder}/many").collect())
+    assert got == [(0, 1.5), (1, 2.5), (2, 3.5), (3, 4.5)]
+    grid = G.make_grid(BOX)
+    os.makedirs(f"{folder}/parts")
+    for k in (0, 1):
+        with open(f"{folder}/parts/{k}.csv", "w") as f:
+            f.write("".join(",".join(map(str, e)) + "\n" for e in EDGES[4 * k : 4 * k + 4]))
+    assert L.same_layout(L.replay_cuts(spark, grid, CUTS), read_layout(spark, f"{folder}/parts", grid))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.grid import Grid, line_index
 from tilewright.operators.layout import LAYOUT_KEY, with_coordinates
+from tilewright.sources.vectors import numbered, whole_files
 
 
 def write_layout(layout: DataFrame, path: str) -> None:
@@ -17,12 +18,15 @@ def write_layout(layout: DataFrame, path: str) -> None:
 
 
 def read_layout(spark: SparkSession, path: str, grid: Grid, layout_id: int = 0) -> DataFrame:
-    """Read a layout and snap its edges to grid lines. Accepts both line endings."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("pid", "line")
+    """Read a layout and snap its edges to grid lines. Accepts both line endings.
+
+    The files of a folder are one layout, in the order of their names.
+    """
+    lines = whole_files(spark, path).select(
+        "file", F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("_line", "line")
     )
     edge = F.transform(F.split(F.trim("line"), ","), lambda v: F.trim(v).cast("double"))
-    edges = lines.filter(F.trim("line") != "").withColumn("edge", edge)
+    edges = numbered(lines.filter(F.trim("line") != ""), "_line", "pid").withColumn("edge", edge)
     rects = edges.select(
         F.lit(layout_id).alias(LAYOUT_KEY),
         "pid",

@@ -3,17 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import ABORTED, OK
 from tilewright.session import local_table
 
 
+def numbered(rows: DataFrame, place: str, name: str) -> DataFrame:
+    """Number the rows (file, place, ...) of several files through, in the order of the files' paths.
+
+    A file's first number is the sum of the sizes of the files before it: one row per file.
+    """
+    sizes = rows.groupBy("file").agg((F.max(place) + 1).alias("_n"), F.lit(0).alias("_all"))
+    earlier = W.partitionBy("_all").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(before, "file").withColumn(name, (F.col(place) + F.col("_before")).cast("int")).drop("file", "_before")
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the text of each file under ``path``."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, value) in line order; no rows for a blank file."""
+    """(idx, value) in line order, over all files of a folder in the order of their names; no rows for a blank file."""
     words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
-    listed = spark.read.text(path, wholetext=True).select(F.posexplode(words).alias("idx", "word"))
-    return listed.filter(F.trim("word") != "").select("idx", F.trim("word").cast("double").alias("value"))
+    listed = whole_files(spark, path).select("file", F.posexplode(words).alias("_line", "word"))
+    listed = numbered(listed.filter(F.trim("word") != ""), "_line", "idx")
+    return listed.select("idx", F.trim("word").cast("double").alias("value"))
 
 
 def write_vector(df: DataFrame, path: str, order: str, value: str) -> None:
