@@ -31,7 +31,7 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
     words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
     listed = whole_files(spark, path).select("file", F.posexplode(words).alias("_line", "word"))
     listed = numbered(listed.filter(F.trim("word") != ""), "_line", "idx")
-    return listed.select("idx", F.trim("word").cast("double").alias("value"))
+    return listed.select("idx", F.trim("word").cast("double").alias("value")).orderBy("idx")
 
 
 def write_vector(df: DataFrame, path: str, order: str, value: str) -> None:
