@@ -4,6 +4,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright.functions.scalar import toss
 from tilewright.operators import evaluation as E
 from tilewright.operators import experience as X
 from tilewright.operators.layout import same_layout
@@ -208,6 +209,14 @@ def test_uniform_sample_and_batches(spark):
         assert sizes == {"demo": 5, "agent": 27}
 
 
+@pytest.mark.parametrize("k", [0, 1, 700, 2999, 3000, 5000])
+def test_large_samples_are_the_lowest_tosses(spark, k):
+    table = spark.range(3000).select(F.col("id").alias("idx"), F.lit(1.0).alias("priority"))
+    want = {r.idx for r in table.orderBy(toss(5, "idx"), "idx").limit(k).collect()}
+    got = [r.idx for r in X.sample_k(table, k, 5, key="idx").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_priorities_are_written_back(spark):
     table = local_table(spark, [(0, 1.0), (1, 2.0)], "idx int, priority double")
     errors = local_table(spark, [(1, -3.0)], "idx int, td_error double")

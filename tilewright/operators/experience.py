@@ -17,6 +17,9 @@ from tilewright.session import BLOCK_ROWS, pin, write_table
 # Fixed value: weight of the importance correction at the start of a run.
 BETA_START = 0.4
 
+# Bins of tosses; a sample ranks the rows of one of them.
+TOSS_BINS = 1 << 16
+
 LOG_SUMS = ("reward", "loss_n", "loss_e", "loss_l2", "loss_all")
 
 
@@ -105,9 +108,25 @@ def initial_priority(df: DataFrame, order: str | None = None, slices: int | None
 
 
 def sample_k(df: DataFrame, k: int, seed: int, key: str = "id") -> DataFrame:
-    """Uniform sample of k rows without replacement, weight 1; the same rows for the same seed."""
-    picked = df.orderBy(toss(seed, key), key).limit(k)
-    return picked.withColumn("weight", F.lit(1.0))
+    """Uniform sample of k rows without replacement, weight 1; the same rows for the same seed.
+
+    The k rows with the lowest toss. Their range ends in one of ``TOSS_BINS`` bins of tosses, found
+    from the sizes of the bins: rows of the bins before it are taken as they are, and only those of that
+    bin are ranked. All rows if there are no more than k.
+    """
+    value = toss(seed, key)
+    binned = df.withColumns({"_toss": value, "_bin": F.floor(value / (TOSSES // TOSS_BINS))})
+    sizes = binned.groupBy("_bin").agg(F.count("*").alias("n"))  # at most TOSS_BINS rows
+    upto = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("_bin"))
+    ends = sizes.select("_bin", upto.alias("upto"), (upto - F.col("n")).alias("before")).where(F.col("upto") >= k)
+    end = ends.agg(F.min(F.struct("_bin", "before"))).scalar()
+    near = binned.withColumn("_end", end)
+    last = F.col("_end._bin")
+    whole = near.where(last.isNull() | (F.col("_bin") < last)).select(df.columns)
+    rank = F.row_number().over(W.partitionBy("_bin").orderBy("_toss", key))
+    part = near.where(F.col("_bin") == last).withColumn("_rank", rank)
+    part = part.where(F.col("_rank") + F.col("_end.before") <= k).select(df.columns)
+    return whole.unionByName(part).withColumn("weight", F.lit(1.0))
 
 
 @dataclass(frozen=True)
