@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import metres_to_degrees
+from tilewright.operators.cut_tree import CutTree, cut_tree
 from tilewright.operators.grid import Grid, assign_cells, cell_span, inside_grid
 from tilewright.operators.layout import LAYOUT_KEY, RECT_COLUMNS
 from tilewright.session import SMALL_ROWS, collect_small, literal_array, shuffle_slots
@@ -25,6 +26,9 @@ JOIN_ROWS = 2_000_000
 # rectangles needs at most 4 n * n, whatever the number of points or cells.
 LOOKUP_ENTRIES = 2_000_000
 
+# A layout whose table of bands and strips would hold more numbers is looked up in the tree of its cuts.
+TABLE_ENTRIES = 100_000
+
 
 @dataclass
 class Owners:
@@ -33,13 +37,19 @@ class Owners:
     The edges of its rectangles cut the grid into bands of rows and strips of columns.
     ``band`` and ``strip`` say where a grid row or column lies, ``cells`` who owns each
     band and strip, in row-major order; -1 is nobody. So the table follows the number of
-    rectangles, however fine the grid.
+    rectangles, however fine the grid. Of layouts with very many of them, ``tree`` is known instead.
     """
 
     layout_id: int
     band: list[int]
     strip: list[int]
     cells: list[int]
+    top: int  # the greatest pid
+    tree: CutTree | None = None
+
+    @property
+    def entries(self) -> int:
+        return 9 * len(self.tree.boxes) if self.tree else len(self.cells) + len(self.band) + len(self.strip)
 
 
 # What has been read of a layout DataFrame, for as long as that DataFrame lives.
@@ -61,7 +71,7 @@ def read_owners(layout: DataFrame, grid: Grid) -> list[Owners]:
     for r in rows:
         by_layout.setdefault(r[LAYOUT_KEY], []).append(r)
     found = [owners_of(key, parts, grid) for key, parts in sorted(by_layout.items())]
-    if sum(len(o.cells) + len(o.band) + len(o.strip) for o in found) > LOOKUP_ENTRIES:
+    if sum(o.entries for o in found) > LOOKUP_ENTRIES:
         raise ValueError(f"the layouts need more than {LOOKUP_ENTRIES} lookup entries")
     return found
 
@@ -73,13 +83,19 @@ def owners_of(layout_id: int, rects: list, grid: Grid) -> Owners:
 
     rows, band = pieces(grid.ny, "r0", "r1")
     columns, strip = pieces(grid.nx, "c0", "c1")
-    width = len(columns) - 1
+    width, top = len(columns) - 1, max(r.pid for r in rects)
+    if width * (len(rows) - 1) > TABLE_ENTRIES:
+        tree = cut_tree([(r.pid, r.c0, r.c1, r.r0, r.r1) for r in rects])
+        if tree is not None:
+            return Owners(layout_id, [], [], [], top, tree)
+        if width * (len(rows) - 1) > LOOKUP_ENTRIES:
+            raise ValueError(f"no line cuts the layout apart, and it needs more than {LOOKUP_ENTRIES} lookup entries")
     cells = [-1] * (width * (len(rows) - 1))
     for r in rects:
         first, stop = columns.index(r.c0), columns.index(r.c1)
         for k in range(rows.index(r.r0), rows.index(r.r1)):
             cells[k * width + first : k * width + stop] = [r.pid] * (stop - first)
-    return Owners(layout_id, band, strip, cells)
+    return Owners(layout_id, band, strip, cells, top)
 
 
 def at(table: list[int], k: Column) -> Column:
@@ -91,6 +107,8 @@ def owner_at(owners: Owners, i: Column, j: Column) -> Column:
 
     Never null, so joins on it push no null test down over the lookup.
     """
+    if owners.tree:
+        return owners.tree.owner(i, j)
     width = max(owners.strip) + 1
     return F.coalesce(at(owners.cells, at(owners.band, i) * width + at(owners.strip, j)), F.lit(-1))
 
@@ -100,6 +118,10 @@ def owners_in_span(owners: Owners, i0: Column, i1: Column, j0: Column, j1: Colum
 
     Nearly every block is one cell, which is answered without building arrays.
     """
+    nobody = F.array(F.lit(-1))
+    if owners.tree:
+        some = owners.tree.owners(i0, i1, j0, j1)
+        return F.when(F.size(some) > 0, some).otherwise(nobody)
     width = max(owners.strip) + 1
     table = literal_array(owners.cells, "int")
     many = F.array_distinct(
@@ -114,7 +136,6 @@ def owners_in_span(owners: Owners, i0: Column, i1: Column, j0: Column, j1: Colum
         )
     )
     some = F.array_remove(many, -1)
-    nobody = F.array(F.lit(-1))
     one = F.array(owner_at(owners, i0, j0))
     single = (i0.isNull() | j0.isNull()) | ((i0 == i1) & (j0 == j1))
     return F.when(single, one).otherwise(F.when(F.size(some) > 0, some).otherwise(nobody))
