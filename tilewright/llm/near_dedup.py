@@ -323,9 +323,9 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
     stars = full_sets(docs, write_table(wanted, "stars"), s, id_col, text_col)
     stars = stars.repartition(slots, "hub", "share").sortWithinPartitions("hub", "share", "leaf")
     held_ = write_table(stars.mapInArrow(released(lambda batches: star_edges(batches, s)), "a long, b long"), "held")
-    parts = components(held_).select("node", F.col("component").alias("part"))
+    links = write_table(components(held_), "parts")
 
-    nodes = clusters.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    nodes = clusters.join(links.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     nodes = nodes.join(reps.select("node", "high", "low", "n_shingles"), "node")
     nodes = write_table(nodes, "nodes")
     sizes = nodes.groupBy("component").agg(
@@ -334,13 +334,11 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None, id_col: s
     )
     open_ = nodes.join(sizes.where("p < q").select("component", "blocks"), "component")  # clusters that fell into parts
     open_ = write_table(open_.select("node", "component", "part", "blocks", "high", "low"), "open")
-    links = held_
     if not open_.isEmpty():
         found = full_sets(docs, open_, s, id_col, text_col)
         tiles = tiled(found, "component", F.col("blocks"), "node").select("component", "i", "j", "own", "node", "part", "set")
         tiles = tiles.repartition(slots, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-        links = links.union(tiles.mapInArrow(released(lambda batches: confirmed_edges(batches, s)), "a long, b long"))
-    links = components(links)
+        links = components(held_.union(tiles.mapInArrow(released(lambda batches: confirmed_edges(batches, s)), "a long, b long")))
 
     lead = classes.join(links, "node", "left").select("high", "low", F.coalesce("component", "node").alias("lead"))
     lead = write_table(lead, "leads")

@@ -53,8 +53,8 @@ class Ids:
             self.plain = lambda text: model.encode(text, add_special_tokens=False).ids
             self.many = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.path, self.prefixes = path, None
-        self.cores = Cache(self._core)
-        self.pieces = Cache(self._piece)
+        self.cores = Cache(self._core, limit=48 << 20)
+        self.pieces = Cache(self._piece, limit=96 << 20)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.plain(text), dtype="<u4").tobytes()
