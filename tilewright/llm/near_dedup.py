@@ -56,7 +56,7 @@ class Sketcher:
     """Shingle sets and their sketches."""
 
     def __init__(self, s: Settings):
-        self.s, self.memo = s, Cache(xxhash.xxh3_64_intdigest)
+        self.s, self.memo = s, Cache(xxhash.xxh3_64_intdigest, limit=56 << 20)
         rng = np.random.default_rng(20_240)
         self.a = (rng.integers(0, 1 << 32, s.hashes, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
         self.b = rng.integers(0, 1 << 32, s.hashes, dtype=np.uint64).astype(np.uint32)[:, None]
