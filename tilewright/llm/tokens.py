@@ -53,7 +53,7 @@ class Ids:
             self.plain = lambda text: model.encode(text, add_special_tokens=False).ids
             self.many = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.path, self.prefixes = path, None
-        self.cores = Cache(self._core, limit=72 << 20)
+        self.cores = Cache(self._core, limit=116 << 20)
         self.pieces = Cache(self._piece, limit=112 << 20)
 
     def encode(self, text: str) -> bytes:
