@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import sys
 from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
@@ -37,34 +36,27 @@ def remainder(divisor: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
-def weight(value) -> int:
-    """Bytes that a key or value of a memo takes, roughly."""
-    return sys.getsizeof(value) + (sum(map(sys.getsizeof, value)) if isinstance(value, tuple) else 0)
-
-
 class Cache(dict):
-    """Bounded memo of ``work(key)``: two generations that take ``limit`` bytes at most.
+    """Bounded memo of ``work(key)``: two generations that take about ``limit`` bytes at most.
 
     A key of the older generation moves on when it is used, so frequent keys stay.
-    Keys longer than ``longest`` are worked out each time and never held.
+    Keys longer than ``longest`` are worked out each time and never held, so entries are short:
+    they are counted, at ``entry`` bytes each.
     """
 
-    def __init__(self, work: Callable, limit: int = 32 << 20, longest: int = 64):
+    def __init__(self, work: Callable, limit: int = 32 << 20, longest: int = 64, entry: int = 190):
         super().__init__()
-        self.work, self.half, self.longest = work, limit // 2, longest
-        self.old, self.taken = {}, 0
+        self.work, self.most, self.longest, self.old = work, limit // 2 // entry, longest, {}
 
     def __missing__(self, key):
-        value = self.old.pop(key, None)
+        value = self.old.get(key)
         if value is None:
             value = self.work(key)
             if len(key) > self.longest:
                 return value
-        self.taken += weight(key) + weight(value) + 100  # an entry of the dictionary
-        if self.taken > self.half:
-            self.old = self.copy()
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-            self.taken = 0
         self[key] = value
         return value
 

@@ -49,7 +49,7 @@ class Features:
 
     def __init__(self, bits: int):
         self.shift = np.uint64(64 - bits)
-        self.words = Cache(self._word, limit=64 << 20)
+        self.words = Cache(self._word, limit=64 << 20, entry=320)
 
     def _word(self, word: bytes) -> tuple[int, ...]:
         """Hashes of the word and of its stems."""
