@@ -90,6 +90,47 @@ def test_grouped_parts_cover_each_circle(clumped, brute):
     assert {r.part for r in plain} == {0} and len(plain) == 600
 
 
+def expected_parts(left, radius, max_ids, brute, right=None):
+    lists = {}
+    for c, p in sorted(brute(left, radius, right)):
+        lists.setdefault(c, []).append(p)
+    return [(c, k // max_ids, ids[k : k + max_ids], len(ids)) for c, ids in sorted(lists.items()) for k in range(0, len(ids), max_ids)]
+
+
+def test_neighbour_lists_are_made_without_moving_pairs(points):
+    near = J.distance_join_grouped(points, points, 0.5)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    # Circles and points move once; the pairs are neither dealt by circle nor ranked in a window.
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2
+    assert "Window" not in plan and "Sort " not in plan
+
+
+@pytest.mark.parametrize("max_ids", [1, 4, 10_000])
+def test_neighbour_lists_of_two_tables_and_layouts(spark, points, grid, brute, max_ids):
+    layout = L.replay_cuts(spark, grid, [180, 209, 29, 360])
+    left, right = points.filter("id % 3 = 0"), points.filter("id % 3 = 1")
+    want = expected_parts(left, 0.5, max_ids, brute, right)
+    for extra in ((), (layout, grid), (layout, grid, "closed")):
+        got = J.distance_join_grouped(left, right, 0.5, *extra, rows_per_task=90, max_ids=max_ids).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("hot_rows", [5, 40])
+def test_neighbour_lists_beside_crowded_cells(clumped, brute, hot_rows):
+    few = clumped.filter("id % 50 = 0").select("id", "x", "y")
+    for left, right in ((clumped, clumped), (few, clumped), (clumped, few)):
+        got = J.distance_join_grouped(left, right, 0.4, hot_rows=hot_rows, max_ids=7, slice_rows=100).collect()
+        assert sorted(map(tuple, got)) == expected_parts(left, 0.4, 7, brute, right)
+
+
+def test_circles_with_one_id_share_their_list(spark, points):
+    some = points.filter("id < 40")
+    twice = some.unionByName(some.filter("id < 10")).unionByName(some.filter("id = 3").selectExpr("id", "x + 3 AS x", "y"))
+    pairs = J.distance_join(twice, twice.select("id", "x", "y"), 2.0)
+    want = sorted((r.circle_id, 0, sorted(r.ids), len(r.ids)) for r in pairs.groupBy("circle_id").agg(F.collect_list("point_id").alias("ids")).collect())
+    assert sorted(map(tuple, J.distance_join_grouped(twice, twice, 2.0).collect())) == want
+
+
 def test_plans_have_no_all_pairs_join(spark, points, grid):
     layout = L.replay_cuts(spark, grid, [180, 209, 29, 360])
     for df in (
