@@ -262,3 +262,12 @@ def test_costs_and_records(spark):
     all_stopped = local_table(spark, [(5, 0, 0, 9.0, "aborted")], "layout_id int, qid int, trial int, seconds double, status string")
     stopped = E.workload_cost(E.median_cost(trials.unionByName(all_stopped)), workload).filter("layout_id = 5").collect()
     assert [(r.cost, r.status) for r in stopped] == [(None, "aborted")]
+
+
+def test_rolling_blocks_fit_a_task(spark):
+    """Two million rows are windowed in several blocks, none above half a million rows of its own and the reach."""
+    log = spark.range(2_000_000).select(F.col("id").alias("t"), (F.col("id") % 7).cast("double").alias("v"))
+    blocks = X.with_blocks(log, "t", 9, X.BLOCK_ROWS, before=True).groupBy("_block").count().collect()
+    assert len(blocks) >= 4 and max(r["count"] for r in blocks) <= 500_009
+    wrong = X.rolling_mean(log, "t", "v", 7).filter("t >= 6 AND rolling_mean <> 3 OR t < 6 AND rolling_mean IS NOT NULL")
+    assert wrong.count() == 0

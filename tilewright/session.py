@@ -14,8 +14,9 @@ from pyspark.sql.types import StructType
 # and broadcast. Everything larger stays a distributed table.
 SMALL_ROWS = 100_000
 
-# Rows of a block in which windows of a fixed number of rows are computed.
-BLOCK_ROWS = 10_000_000
+# Rows of a block in which windows of a fixed number of rows are computed. Sort and window of a
+# block take some 170 bytes a row, and a task may get several blocks.
+BLOCK_ROWS = 500_000
 
 ARROW_TYPES = {
     "boolean": pa.bool_(),
