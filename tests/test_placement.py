@@ -1,8 +1,11 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators import grid as G
 from tilewright.operators import layout as L
+from tilewright.operators import placement as P
 from tilewright.operators.ordered import with_rank
 from tilewright.operators.placement import place
 from tilewright.session import local_table
@@ -87,6 +90,47 @@ def test_placed_points_do_not_move_again(spark, points, grid):
     placed.release()
 
 
+def test_tasks_do_not_follow_the_slots(spark, points, grid, brute, listed):
+    """Slots of five points each share some tasks; every task reports to the driver."""
+    placed = place(points, L.replay_cuts(spark, grid, CUTS), grid, 5)
+    assert placed.slots.total >= 180 and placed.points.rdd.getNumPartitions() == 4 * 8
+    got = listed(placed.join(radius=0.3))
+    assert len(got) == len(set(got)) and set(got) == brute(points, 0.3)
+    placed.release()
+
+
+def counts_of(pairs):
+    return sorted(Counter(c for c, _ in pairs).items())
+
+
+@pytest.mark.parametrize("fine", [None, 3, 8, 32])
+def test_counts_are_those_of_the_pairs(spark, points, clumped, grid, brute, monkeypatch, fine):
+    """Neighbours are counted by cells wholly inside the circles; none is lost at their edges, beyond slots or in crowded cells."""
+    if fine:
+        monkeypatch.setattr(P, "fineness", lambda *_: fine)
+    left = points.filter("id % 3 = 0")
+    placed = place(points, L.replay_cuts(spark, grid, CUTS), grid, 100)
+    assert sorted(map(tuple, placed.join(radius=2.5, counted=True).collect())) == counts_of(brute(points, 2.5))
+    assert sorted(map(tuple, placed.join(left, 0.7, counted=True).collect())) == counts_of(brute(left, 0.7, points))
+    placed.release()
+    around = G.make_grid(G.bounding_box(clumped), 6, 6)
+    layouts = L.replay_cuts(spark, around, [3 * 12, 7])
+    placed = place(clumped, layouts.unionByName(layouts.withColumn("layout_id", F.lit(4))), around, 50)
+    want = counts_of(brute(clumped, 0.4))
+    got = sorted(map(tuple, placed.join(radius=0.4, hot_rows=20, counted=True).collect()))
+    assert got == [(k, *w) for k in (0, 4) for w in want]
+    placed.release()
+
+
+def test_few_points_are_tested_where_neighbours_are_counted(spark):
+    """In a dense square cells are small, and most cells a circle meets lie wholly inside it; a radius of one cell has none such."""
+    at = F.col("id")
+    dense = spark.range(10_000).select("id", (at % 100 / 50).alias("x"), (F.floor(at / 100) / 50).cast("double").alias("y"))
+    fine = P.fineness(dense, 1.0)
+    whole, edge = P.offsets(fine)
+    assert 8 < fine <= P.FINEST and len(whole) > len(edge) and P.offsets(1) == ([], P.offsets(1)[1]) and len(P.offsets(1)[1]) == 9
+
+
 def inside_cache(plan, line):
     """Whether a line of a plan belongs to the plan that filled a cache."""
     lines = plan.splitlines()
