@@ -159,3 +159,18 @@ def test_plans_of_many_pieces_stay_small():
     plan = Plan({k: 1_000_000 + k for k in range(1, 2049)}, 2048)
     total = sum(k * (1_000_000 + k) for k in range(1, 2049))
     assert len(plan.places) < 60_000 and plan.sequences <= 1.001 * total / 2048 + 1
+
+
+def test_ids_of_words_are_packed_without_an_array(monkeypatch):
+    """Words of any number of ids, marks and letters of other scripts; only words of very many ids go through an array."""
+    from tilewright.llm import tokens
+
+    ids = tokens.Ids(tokens.DEFAULT_TOKENIZER)
+    for text in ("Plain words, (marked)... ÄÖ é́! 中文 x_y #1 ..", "xq" * 400, "é" * 30, " \t", ""):
+        assert ids.of(text.encode()) == np.array(ids.plain(text), "<u4").tobytes()
+
+    def refused(*_, **__):
+        raise AssertionError("an array for a short word")
+
+    monkeypatch.setattr(tokens.np, "array", refused)
+    assert len(ids.of(b"unseen wordlings, here.")) % 4 == 0

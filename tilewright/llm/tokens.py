@@ -9,6 +9,7 @@ needs encoding once per worker. Other tokenizers encode whole texts.
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 
@@ -22,6 +23,10 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 SPLITS_AT_SPACE = {"word_bpe_49k.json"}
 
 
+#: Packers of as many ids as their place says.
+PACKERS = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a tokenizer file: a path as it is, else a name the installed package knows."""
     if os.path.sep in name:
@@ -60,7 +65,9 @@ class Ids:
         return np.array(self.plain(text), dtype="<u4").tobytes()
 
     def _core(self, core: bytes) -> bytes:
-        return self.encode(core.decode())
+        """Ids of one word, for tokenizers by piece. Words have few ids, which are packed faster than through an array."""
+        ids = self.model.encode(core.decode(), add_special_tokens=False).ids
+        return PACKERS[len(ids)](*ids) if len(ids) < len(PACKERS) else np.array(ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: bytes) -> bytes:
         """A lower-case core of letters and the marks behind it are tokens apart.
@@ -69,9 +76,11 @@ class Ids:
         combining mark, which the pre-tokenizer joins with the marks behind.
         """
         core = piece.rstrip(b"!#$%&()*+,-./:;=?@[]^_{|}~")
-        marks = piece[len(core) :]
         if core.isalpha():  # ASCII letters
-            return self.cores[core.lower()] + (self.cores[marks] if marks else b"")
+            if len(core) == len(piece):
+                return self.cores[core.lower()]
+            return self.cores[core.lower()] + self.cores[piece[len(core) :]]
+        marks = piece[len(core) :]
         if marks and core and self.model.normalizer.normalize_str(core.decode()).isalpha():
             return self.cores[core] + self.cores[marks]
         return self.cores[piece]
