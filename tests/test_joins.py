@@ -147,3 +147,31 @@ def test_circle_squares(points):
     row = J.buffer_points(points, 0.5).first()
     assert (row.bx0, row.bx1, row.by0, row.by1) == (row.x - 0.5, row.x + 0.5, row.y - 0.5, row.y + 0.5)
     assert J.buffer_points(points, F.lit(2.0)).first().radius == 2.0
+
+
+def crowd(spark, n):
+    """Points scattered over a unit square by hashes, n of them, and two that are near nothing."""
+    def at(k):
+        return F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100_003)) / 100_003
+
+    nowhere = spark.createDataFrame([(-1, float("nan"), 0.5), (-2, None, 0.5)], "id bigint, x double, y double")
+    return spark.range(n).select("id", at(1).alias("x"), at(2).alias("y")).unionByName(nowhere)
+
+
+def test_blocks_of_close_points_give_the_same_pairs(spark, brute, listed):
+    points = crowd(spark, 900).cache()
+    want = brute(points.filter("id >= 0"), 0.4)
+    got = listed(J.distance_join(points, points, 0.4))
+    assert len(got) == len(set(got)) and set(got) == want
+    got = listed(J.distance_join(points.select("id", "x", "y"), points, 0.4))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def bytes_per_row(pairs, folder):
+    pairs.write.parquet(str(folder))
+    return sum(f.stat().st_size for f in folder.glob("*.parquet")) / pairs.sparkSession.read.parquet(str(folder)).count()
+
+
+def test_written_pairs_take_little_room(spark, tmp_path):
+    points = crowd(spark, 3000).cache()
+    assert bytes_per_row(J.distance_join(points, points, 0.3), tmp_path / "pairs") < 0.8
