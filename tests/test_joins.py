@@ -175,3 +175,10 @@ def bytes_per_row(pairs, folder):
 def test_written_pairs_take_little_room(spark, tmp_path):
     points = crowd(spark, 3000).cache()
     assert bytes_per_row(J.distance_join(points, points, 0.3), tmp_path / "pairs") < 0.8
+
+
+def test_written_pairs_of_a_layout_take_little_room(spark, tmp_path):
+    points = crowd(spark, 3000).cache()
+    grid = G.make_grid((0.0, 1.0, 0.0, 1.0), 4, 4)
+    layout = L.replay_cuts(spark, grid, [5, 16])
+    assert bytes_per_row(J.distance_join(points, points, 0.3, layout, grid), tmp_path / "pairs") < 0.9
