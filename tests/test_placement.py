@@ -176,3 +176,19 @@ def test_a_slow_layout_costs_no_more_than_its_budget(spark, points, grid):
     assert [(r.qid, r.trial, r.status) for r in rows] == [(0, 0, "aborted")]
     fine = evaluate_layout(points, layout, workload, grid, best={0: 500.0, 1: 500.0}, trials=2).collect()
     assert [(r.qid, r.trial, r.status) for r in fine] == [(0, 0, "ok"), (0, 1, "ok"), (1, 0, "ok"), (1, 1, "ok")]
+
+
+def test_written_pairs_of_two_layouts_take_little_room(spark, tmp_path):
+    def at(k):
+        return F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100_003)) / 100_003
+
+    dense = spark.range(3000).select("id", at(1).alias("x"), at(2).alias("y")).cache()
+    around = G.make_grid((0.0, 1.0, 0.0, 1.0), 4, 4)
+    layout = L.replay_cuts(spark, around, [5, 16])
+    placed = place(dense, layout.unionByName(layout.withColumn("layout_id", F.lit(4))), around)
+    placed.join(radius=0.3).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    n = pairs.count()
+    assert n == pairs.distinct().count() == 2 * placed.join(dense, 0.3).where("layout_id = 4").count()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) / n < 0.9
+    placed.release()
