@@ -182,3 +182,16 @@ def test_written_pairs_of_a_layout_take_little_room(spark, tmp_path):
     grid = G.make_grid((0.0, 1.0, 0.0, 1.0), 4, 4)
     layout = L.replay_cuts(spark, grid, [5, 16])
     assert bytes_per_row(J.distance_join(points, points, 0.3, layout, grid), tmp_path / "pairs") < 0.9
+
+
+def test_dense_points_are_dealt_over_many_tasks(spark, tmp_path):
+    points = crowd(spark, 4000).cache()
+    grid = G.make_grid((0.0, 1.0, 0.0, 1.0), 4, 4)
+    layout = L.replay_cuts(spark, grid, [5])
+    # All points lie in one tile of 8 x 8 cells; a task should get some 500 of them.
+    for extra in ((), (layout, grid)):
+        pairs = J.distance_join(points, points, 0.125, *extra, rows_per_task=500)
+        folder = tmp_path / str(len(extra))
+        pairs.write.parquet(str(folder))
+        per_file = spark.read.parquet(str(folder)).groupBy(F.input_file_name()).agg(F.countDistinct("point_id").alias("n"))
+        assert per_file.agg(F.max("n")).first()[0] < 2500 and per_file.agg(F.sum("n")).first()[0] >= 4000
