@@ -195,3 +195,13 @@ def test_dense_points_are_dealt_over_many_tasks(spark, tmp_path):
         pairs.write.parquet(str(folder))
         per_file = spark.read.parquet(str(folder)).groupBy(F.input_file_name()).agg(F.countDistinct("point_id").alias("n"))
         assert per_file.agg(F.max("n")).first()[0] < 2500 and per_file.agg(F.sum("n")).first()[0] >= 4000
+
+
+def test_parts_of_a_list_are_cut_before_they_become_rows(spark, points):
+    """No row of a part takes the whole list along, and no filter makes lists a second time to test their size."""
+    found = J.distance_join_grouped(points, points, 0.5, max_ids=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert any("_parts#" in line for line in made)
+    assert not any("ids#" in line.split("], ")[-2].split("[")[-1] for line in made)
+    assert not [line for line in plan.splitlines() if "Filter" in line and "filter(" in line]
